@@ -47,7 +47,7 @@ def main():
     from __spark_entry__ import oracle_sql, queries
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     prefixes = tuple(sys.argv[2:])
-    spark = build_session("check", "local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8",
+    spark = build_session("check", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8",
                           spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     oracles, bad = oracle_sql(), []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from venuelens.operators.ordering import running_total
 from venuelens.operators.skew import spread_join
+from venuelens.session import cut_lineage
 
 
 def draw_order(key: str, seed: int = 42) -> Column:
@@ -37,10 +38,11 @@ def stratified_venues(rows: DataFrame, key: str, stratum: str, total: int, seed:
 
     ``rows`` are reviews with the stratum of their venue.
     """
-    venues = rows.groupBy(key).agg(F.max(stratum).alias(stratum)).withColumn("_d", draw_order(key, seed))
+    venues = cut_lineage(rows.groupBy(key).agg(F.max(stratum).alias(stratum)).withColumn("_d", draw_order(key, seed)))
     quotas = stratum_quotas(rows, stratum, total).select(stratum, "quota")
     ranked = _draw_rank(venues.filter(F.col(stratum).isNotNull()), [stratum], "_r")
     chosen = spread_join(ranked, quotas, [stratum]).filter(F.col("_r") <= F.col("quota")).select(key)
+    chosen = cut_lineage(chosen)
     missing = F.lit(total) - chosen.agg(F.count("*")).scalar()
     rest = _draw_rank(venues.join(chosen, key, "left_anti"), [], "_r").filter(F.col("_r") <= missing).select(key)
     return chosen.unionByName(rest)
