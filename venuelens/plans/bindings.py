@@ -42,7 +42,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
         F.when(d % 11 == 0, None).otherwise(1 + d % 5).cast("double").alias("rating"),
         F.when(d % 31 == 0, None).otherwise(F.date_add(F.lit("2020-01-01").cast("date"), (d * 7 % 1400).cast("int")))
          .alias("publishedDate"),
-        F.concat(F.lit("Avis "), d.cast("string")).alias("title"))
+        F.concat(F.lit("Avis "), d.cast("string")).alias("title"), "source")
 
 
 REVIEWS_SQL = """reviews AS (SELECT doc_id AS review_id,
@@ -50,7 +50,7 @@ REVIEWS_SQL = """reviews AS (SELECT doc_id AS review_id,
   CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'ja' ELSE lang END AS language, text,
   CAST(CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 1 + doc_id % 5 END AS DOUBLE) AS rating,
   CASE WHEN doc_id % 31 = 0 THEN NULL ELSE DATE '2020-01-01' + CAST(doc_id * 7 % 1400 AS INTEGER) END AS "publishedDate",
-  'Avis ' || CAST(doc_id AS VARCHAR) AS title FROM documents)"""
+  'Avis ' || CAST(doc_id AS VARCHAR) AS title, source FROM documents)"""
 
 
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:

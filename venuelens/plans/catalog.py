@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from venuelens.plans import q_filters, q_joins, q_rollups, q_sources  # noqa: F401
+from venuelens.plans import q_charts, q_filters, q_incremental, q_joins, q_rollups, q_sources, q_stats  # noqa: F401
 from venuelens.plans.registry import ORACLES, QUERIES  # noqa: F401

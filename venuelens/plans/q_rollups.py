@@ -13,12 +13,9 @@ from venuelens.plans.registry import query
 V, RV, SC, IT, MG = B.VENUES_SQL, B.REVIEWS_SQL, B.SCORED_SQL, B.ITEMS_SQL, B.MERGED_SQL
 
 
-@query("d1_sentiment_rollup", f"""WITH {SC}, by_source AS (SELECT s.*, d.source FROM scored s JOIN documents d ON d.doc_id = s.review_id)
-  {B.rollup_sql('source', 'by_source')}""", doubles=B.ROLLUP_COLUMNS)
+@query("d1_sentiment_rollup", f"""WITH {SC} {B.rollup_sql('source')}""", doubles=B.ROLLUP_COLUMNS)
 def _(spark, sf):
-    # The source of a document is derived from the same scan: reviews carry every document.
-    src = B.table(spark, sf, "documents", ["doc_id", "source"]).withColumnRenamed("doc_id", "review_id")
-    return R.sentiment_rollup(B.scored(spark, sf).join(src, "review_id"), "source")
+    return R.sentiment_rollup(B.scored(spark, sf), "source")
 
 
 @query("d1_hot_venue_rollup", f"""WITH {SC} {B.rollup_sql('"locationId"')}""", doubles=B.ROLLUP_COLUMNS)
