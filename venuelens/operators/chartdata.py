@@ -10,7 +10,7 @@ from venuelens import lexicons as L
 from venuelens.functions import scalars as S
 from venuelens.operators import ordering as O
 from venuelens.operators.quantiles import grouped_stats
-from venuelens.operators.skew import frequent_keys, spread_join
+from venuelens.operators.skew import spread_join
 
 
 def _equal_width(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -52,9 +52,8 @@ def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
                       {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)})
     fences = (q.withColumn("fence_low", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
                .withColumn("fence_high", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
-    hot = frequent_keys(fences, [group], "n")
     x = F.col(value)
-    rows = spread_join(data.select(group, value), fences.select(group, "fence_low", "fence_high"), [group], hot=hot)
+    rows = spread_join(data.select(group, value), fences.select(group, "fence_low", "fence_high"), [group])
     ends = rows.groupBy(group).agg(
         F.min(F.when(x >= F.col("fence_low"), x)).alias("whisker_low"),
         F.max(F.when(x <= F.col("fence_high"), x)).alias("whisker_high"),

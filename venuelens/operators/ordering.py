@@ -9,75 +9,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 2048
+from venuelens.operators.skew import spread_join
+from venuelens.session import cut_lineage
 
+ROWS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 10_000
 
-def value_bounds(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Cut points with about equally many rows between them; at most ``MAX_BUCKETS`` doubles.
+
+def value_bounds(df: DataFrame, value: str, rows_per_bucket: int | None = None) -> list[float]:
+    """Cut points that leave about ``rows_per_bucket`` rows between them; at most ``MAX_BUCKETS`` doubles.
 
     They only balance the work: any cut points give the same result.
     """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(2, min(buckets, MAX_BUCKETS))
+    rows = df.count()
+    buckets = min(-(-rows // (rows_per_bucket or ROWS_PER_BUCKET)), MAX_BUCKETS)
+    if buckets < 2:
+        return []
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10 * buckets)).first()
+    row = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 5 * buckets)).first()
     return sorted(set(row[0] or []))
 
 
-def with_bucket(df: DataFrame, value: str, bounds: list[float], out: str) -> DataFrame:
+def bucket_of(df: DataFrame, value: str, bounds: list[float], out: str) -> DataFrame:
     """Ordered bucket number of the value; equal values share a bucket."""
-    if not bounds:
-        return df.withColumn(out, F.lit(0))
-    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_cut", outputCol=out,
-                     handleInvalid="keep")
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_cut", outputCol=out, handleInvalid="keep")
     return cut.transform(df.withColumn("_cut", F.col(value).cast("double"))).drop("_cut") \
               .withColumn(out, F.col(out).cast("int"))
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[Column], bucket: str, weight: str,
-                  out: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[Column], weight: str | Column, out: str,
+                  bucket: Column | str | None = None, bounds: list[float] | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` per key in the given order.
 
-    ``bucket`` must be monotonic in the order. The sum runs inside each (key, bucket) and the totals
-    of the earlier buckets are added, so no task needs a whole key. Keys must not be NULL.
+    ``bucket`` is a column that is monotonic in the order, or with ``bounds`` the numeric column to
+    cut at them. The sum runs inside each (key, bucket) and the totals of the earlier buckets are
+    added, so no task needs a whole key. Empty ``bounds`` mean a table small enough for one window.
+    Keys must not be NULL.
     """
-    part = [*keys, bucket]
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    if bucket is None or bounds == []:
+        whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(weight).over(whole))
+    placed = df.withColumn("_b", bucket) if bounds is None else bucket_of(df, bucket, bounds, "_b")
+    part = [*keys, "_b"]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (df.groupBy(*part).agg(F.sum(weight).alias("_t"))
-                 .withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t"))
-    return (df.withColumn(out, F.sum(weight).over(inside))
-              .join(offsets, part)
-              .withColumn(out, F.col(out) + F.col("_before")).drop("_before"))
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (placed.groupBy(*part).agg(F.sum(weight).alias("_t"))
+               .withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t"))
+    return (placed.withColumn(out, F.sum(weight).over(inside)).join(offsets, part)
+            .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_b"))
 
 
 def value_counts(df: DataFrame, cols: list[str], n: str = "n") -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias(n))
 
 
-def average_ranks(df: DataFrame, value: str, out: str = "rank_avg", bounds: list[float] | None = None) -> DataFrame:
-    """One row per distinct value with its tie count ``n`` and its average-tie rank."""
-    data = df.filter(F.col(value).isNotNull())
-    bounds = value_bounds(data, value) if bounds is None else bounds
-    counts = with_bucket(value_counts(data.select(value), [value]), value, bounds, "_b")
-    cum = running_total(counts, [], [F.col(value)], "_b", "n", "_cum")
+def ranks_of_counts(counts: DataFrame, value: str, out: str = "rank_avg", rows_per_bucket: int | None = None) -> DataFrame:
+    """Average-tie rank of every distinct value, from the table of values and their count ``n``."""
+    cum = running_total(counts, [], [F.col(value)], "n", "_cum", value, value_bounds(counts, value, rows_per_bucket))
     return cum.select(value, "n", (F.col("_cum") - F.col("n") + (F.col("n") + 1) / 2).alias(out))
 
 
-def row_ranks(df: DataFrame, value: str, out: str = "rank_avg") -> DataFrame:
+def average_ranks(df: DataFrame, value: str, out: str = "rank_avg", rows_per_bucket: int | None = None) -> DataFrame:
+    """One row per distinct value with its tie count ``n`` and its average-tie rank."""
+    counts = cut_lineage(value_counts(df.filter(F.col(value).isNotNull()), [value]))
+    return ranks_of_counts(counts, value, out, rows_per_bucket)
+
+
+def row_ranks(df: DataFrame, value: str, out: str = "rank_avg", rows_per_bucket: int | None = None) -> DataFrame:
     """Every row with its average-tie rank; frequent values are spread over tasks."""
-    from venuelens.operators.skew import frequent_keys, spread_join
-    ranks = average_ranks(df, value, out)
-    hot = frequent_keys(ranks, [value], "n")
-    return spread_join(df.filter(F.col(value).isNotNull()), ranks.drop("n"), [value], "inner", hot)
+    data = df.filter(F.col(value).isNotNull())
+    counts = cut_lineage(value_counts(data, [value]))
+    ranks = ranks_of_counts(counts, value, out, rows_per_bucket)
+    return spread_join(data, ranks.drop("n"), [value], counts=(counts, "n"))
 
 
-def global_row_number(df: DataFrame, order: str, out: str = "row_no", bounds: list[float] | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order: str, out: str = "row_no", rows_per_bucket: int | None = None) -> DataFrame:
     """1-based position of every row by a unique numeric column."""
-    bounds = value_bounds(df, order) if bounds is None else bounds
-    one = with_bucket(df, order, bounds, "_b").withColumn("_one", F.lit(1))
-    return running_total(one, [], [F.col(order)], "_b", "_one", out).drop("_b", "_one")
+    return running_total(df, [], [F.col(order)], F.lit(1), out, order, value_bounds(df, order, rows_per_bucket))
 
 
 def assign_chunks(df: DataFrame, order: str, chunks: int, out: str = "chunk_id") -> DataFrame:
@@ -86,15 +95,15 @@ def assign_chunks(df: DataFrame, order: str, chunks: int, out: str = "chunk_id")
         out, F.pmod(F.col("_rn") - 1, F.lit(chunks)).cast("int")).drop("_rn")
 
 
-def empirical_cdf(df: DataFrame, value: str, group: str, top_n: int = 8) -> DataFrame:
+def empirical_cdf(df: DataFrame, value: str, group: str, top_n: int = 8, rows_per_bucket: int | None = None) -> DataFrame:
     """Cumulative share per distinct value in the ``top_n`` largest groups.
 
     Rows with equal values are folded into one with their count, which keeps every step of the curve.
     """
     top = top_groups(df, group, top_n)
     data = df.filter(F.col(value).isNotNull()).join(F.broadcast(top), group, "left_semi")
-    counts = with_bucket(value_counts(data, [group, value]), value, value_bounds(data, value), "_b")
-    cum = running_total(counts, [group], [F.col(value)], "_b", "n", "cum_n")
+    counts = cut_lineage(value_counts(data, [group, value]))
+    cum = running_total(counts, [group], [F.col(value)], "n", "cum_n", value, value_bounds(counts, value, rows_per_bucket))
     sizes = counts.groupBy(group).agg(F.sum("n").alias("group_n")).filter("group_n >= 2")
     return cum.join(F.broadcast(sizes), group).select(
         group, value, "n", (F.col("cum_n") / F.col("group_n")).alias("cdf"))

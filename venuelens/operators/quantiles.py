@@ -6,21 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from venuelens.operators.skew import frequent_keys, spread_join
+from venuelens.operators.skew import spread_join
 from venuelens.session import cut_lineage
 
 ACCURACY = 10000
+# A group of at most this many rows fits one task and takes the built-in exact percentile.
+DIRECT_ROWS = 200_000
 
 
-def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column],
-                  quantiles: dict[str, tuple[str, float]], accuracy: int = ACCURACY) -> DataFrame:
+def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: dict[str, tuple[str, float]],
+                  accuracy: int = ACCURACY, direct_rows: int | None = None) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` plus exact quantiles ``{name: (numeric column, q)}``.
 
+    The rows per group are counted first. If every group is small, one aggregate does it all. Otherwise
+    see ``_bracketed``. Keys must not be NULL; without keys the whole table is one group.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if largest <= (DIRECT_ROWS if direct_rows is None else direct_rows):
+        exact = [F.percentile(F.col(c).cast("double"), q).alias(name) for name, (c, q) in quantiles.items()]
+        return df.groupBy(*keys).agg(*aggs, *exact)
+    return _bracketed(df, keys, aggs, quantiles, accuracy)
+
+
+def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: dict[str, tuple[str, float]],
+               accuracy: int) -> DataFrame:
+    """Exact quantiles of groups that are too large for one task.
+
     Pass 1 computes the plain aggregates and, by mergeable sketches, two values that bracket each
     wanted rank; its one row per group is materialised. Pass 2 counts what lies below the bracket
     and keeps only the distinct values inside it, about 6/accuracy of a group, from which the linear
     interpolation is taken exactly. Groups of at most 2·accuracy rows are bracketed as a whole. A rank
-    outside its bracket raises an error instead of giving a wrong value. Keys must not be NULL; without keys the whole table is one group.
+    outside its bracket raises an error instead of giving a wrong value.
     """
     ungrouped = not keys
     if ungrouped:
@@ -44,7 +61,7 @@ def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column],
     if ungrouped:
         joined = slim.join(F.broadcast(limits), keys)
     else:
-        joined = spread_join(slim, limits, keys, hot=frequent_keys(first, keys, "_rows"))
+        joined = spread_join(slim, limits, keys, counts=(first, "_rows"))
     cells = []
     for i, (c, q) in enumerate(quantiles.values()):
         j = columns.index(c)

@@ -17,22 +17,22 @@ from venuelens.operators import ordering as O
 from venuelens.operators import stats
 from venuelens.operators.quantiles import grouped_stats
 from venuelens.operators.skew import spread_join
+from venuelens.session import cut_lineage
 
 
-def rankings(df: DataFrame, group: str, metric: str, key: str) -> DataFrame:
+def rankings(df: DataFrame, group: str, metric: str, key: str, rows_per_bucket: int | None = None) -> DataFrame:
     """Rank, row number (ties by id) and percent rank of every row in its group, highest first.
 
     Built on bucketed running totals, so a group of any size is spread over tasks.
     """
     data = df.filter(F.col(group).isNotNull() & F.col(metric).isNotNull()).select(
         key, group, metric, (-F.col(metric)).alias("_m"))
-    counts = O.with_bucket(O.value_counts(data, [group, "_m"]), "_m", O.value_bounds(data, "_m"), "_b")
-    cum = O.running_total(counts, [group], [F.col("_m")], "_b", "n", "_cum")
+    counts = cut_lineage(O.value_counts(data, [group, "_m"]))
+    cum = O.running_total(counts, [group], [F.col("_m")], "n", "_cum", "_m", O.value_bounds(counts, "_m", rows_per_bucket))
     sizes = counts.groupBy(group).agg(F.sum("n").alias("_size"))
-    ranks = cum.join(sizes, group).select(group, "_m", "n", "_size", (F.col("_cum") - F.col("n") + 1).alias("rank"))
-    tied = O.with_bucket(data, key, O.value_bounds(data, key), "_b").withColumn("_one", F.lit(1))
-    placed = O.running_total(tied, [group, "_m"], [F.col(key)], "_b", "_one", "_pos")
-    out = spread_join(placed, ranks.drop("n"), [group, "_m"])
+    ranks = spread_join(cum, sizes, [group]).select(group, "_m", "_size", (F.col("_cum") - F.col("n") + 1).alias("rank"))
+    placed = O.running_total(data, [group, "_m"], [F.col(key)], F.lit(1), "_pos", key, O.value_bounds(data, key, rows_per_bucket))
+    out = spread_join(placed, ranks, [group, "_m"], counts=(counts, "n"))
     return out.select(key, group, metric, "rank", (F.col("rank") + F.col("_pos") - 1).alias("row_no"),
                       F.when(F.col("_size") > 1, (F.col("rank") - 1) / (F.col("_size") - 1)).otherwise(0.0).alias("percent_rank"))
 

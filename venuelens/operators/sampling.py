@@ -22,8 +22,8 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame
 
 def _draw_rank(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     """Position in draw order per key. The leading hash digits make buckets of equal size."""
-    one = (df.withColumn("_b", F.conv(F.substring("_d", 1, 3), 16, 10).cast("int")).withColumn("_one", F.lit(1)))
-    return running_total(one, keys, [F.col("_d")], "_b", "_one", out).drop("_b", "_one")
+    bucket = F.conv(F.substring("_d", 1, 3), 16, 10).cast("int")
+    return running_total(df, keys, [F.col("_d")], F.lit(1), out, bucket)
 
 
 def stratum_quotas(rows: DataFrame, stratum: str, total: int) -> DataFrame:

@@ -4,40 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 64
+SALTS = 64
+# Below this many rows a skewed join is harmless and is left to adaptive execution.
+MIN_ROWS = 1_000_000
 
 
-def frequent_keys(counts: DataFrame, keys: list[str], n: str, parts: int = DEFAULT_SALTS) -> DataFrame:
-    """Keys that hold more than 1/parts of the weight: fewer than ``parts`` rows by arithmetic."""
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.filter(F.col(n) * parts > total).select(*keys)
+def frequent_keys(counts: DataFrame, keys: list[str], n: str, parts: int = SALTS, min_rows: int | None = None) -> list[Row]:
+    """Keys that hold more than 1/parts of all rows: fewer than ``parts`` of them, by arithmetic."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    if total < max(MIN_ROWS if min_rows is None else min_rows, 1):
+        return []
+    return counts.filter(F.col(n) * parts > total).select(*keys).collect()
 
 
 def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner",
-                hot: DataFrame | None = None, salts: int = DEFAULT_SALTS) -> DataFrame:
+                counts: tuple[DataFrame, str] | None = None, salts: int = SALTS,
+                min_rows: int | None = None) -> DataFrame:
     """Equi-join in which the rows of frequent keys are spread over ``salts`` tasks.
 
-    ``one`` has at most one row per key. Its rows for hot keys are repeated once per salt, so the
-    result is that of the plain join. ``hot`` has fewer than ``salts`` rows (see ``frequent_keys``),
-    which bounds what is broadcast; when not given it is counted from ``many``.
-    Rows with NULL keys are kept by left and anti joins like in the plain join.
+    ``one`` has at most one row per key. Its rows for frequent keys are repeated once per salt, so
+    the result is that of the plain join. Without frequent keys it is the plain join, and Spark
+    broadcasts the smaller side if its measured size allows. ``counts`` gives the rows per key of
+    ``many`` and the name of the count where they are known already.
     """
-    if hot is None:
-        hot = frequent_keys(many.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_n", salts)
-    marked = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count("*").alias("_n")), "_n"
+    hot = frequent_keys(counts[0], keys, counts[1], salts, min_rows)
+    if not hot:
+        return many.join(one, keys, how)
+    flag = _is_one_of(keys, hot)
     payload = [c for c in many.columns if c not in keys] or keys
-    m = many.join(marked, keys, "left")
-    # Rows without a key match nothing, so they may go anywhere: spread them as well.
-    spread = F.col("_hot") | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    m = m.withColumn("_salt", _salt(spread, payload, salts)).drop("_hot")
-    o = one.join(marked, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0)))).drop("_hot")
+    spread = F.pmod(F.xxhash64(*payload), F.lit(salts)).cast("int")
+    m = many.withColumn("_salt", F.when(flag, spread).otherwise(0))
+    o = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(flag, salts - 1).otherwise(0))))
     return m.join(o, [*keys, "_salt"], how).drop("_salt")
 
 
-def _salt(flag: Column, payload: list[str], salts: int) -> Column:
-    spread = F.pmod(F.xxhash64(*payload), F.lit(salts)).cast("int")
-    return F.when(flag, spread).otherwise(0)
+def _is_one_of(keys: list[str], rows: list[Row]) -> Column:
+    tests = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]) for r in rows]
+    return reduce(lambda a, b: a | b, tests)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelens.operators.skew import frequent_keys, spread_join
+from venuelens.operators.skew import spread_join
 from venuelens.session import cut_lineage
 
 EARTH_RADIUS_KM = 6371.0
@@ -146,9 +146,9 @@ def competition(df: DataFrame, key: str = "locationId", lat: str = "latitude", l
         k = neighbour_weights(points, chord(km, compat_double_radius)).withColumn(
             name, (F.col("k") - 1).cast("double")).drop("k")
         counts = counts.join(k, ["_lat", "_lon"])
-    hot = frequent_keys(points, ["_lat", "_lon"], "w")
     venues = df.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    return spread_join(venues, counts.drop("w"), ["_lat", "_lon"], "left", hot).select(key, *radii)
+    return spread_join(venues, counts.drop("w"), ["_lat", "_lon"], "left",
+                       counts=(points, "w")).select(key, *radii)
 
 
 def grid_density(df: DataFrame, lat: str, lon: str, weight: str, degrees: float = 0.01) -> DataFrame:

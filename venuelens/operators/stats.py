@@ -15,7 +15,8 @@ from venuelens.functions import pvalues as P
 from venuelens.functions import scalars as S
 from venuelens.operators import ordering as O
 from venuelens.operators.quantiles import grouped_stats
-from venuelens.operators.skew import frequent_keys, spread_join
+from venuelens.operators.skew import spread_join
+from venuelens.session import cut_lineage
 
 
 def verdict(result: DataFrame, test: str, test_name: str, effect_name: str, p: Column | None = None) -> DataFrame:
@@ -117,22 +118,23 @@ def anova(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFra
                    P.f_p("statistic", "dof_between", "dof_within")) if with_p else out
 
 
-def kruskal_wallis(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFrame:
+def kruskal_wallis(df: DataFrame, group: str, value: str, with_p: bool = True,
+                   rows_per_bucket: int | None = None) -> DataFrame:
     """Rank test of equal location with tie correction.
 
     Values are counted per (value, group); the average rank of a value comes from a bucketed running
     total, so neither a frequent value nor a large group lands in one task.
     """
-    keep = _valid_groups(df, group, value).select(F.col("group").alias(group))
-    data = df.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    data = spread_join(data, keep, [group], "left_semi")
-    ranks = O.average_ranks(data, "_v", "rank")
-    pairs = O.value_counts(data, [group, "_v"], "m")
-    hot = frequent_keys(ranks, ["_v"], "n")
-    placed = spread_join(pairs, ranks.select("_v", "rank"), ["_v"], "inner", hot)
+    pairs = cut_lineage(O.value_counts(df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
+                                       .select(group, F.col(value).cast("double").alias("_v")), [group, "_v"], "m"))
+    keep = pairs.groupBy(group).agg(F.sum("m").alias("_n")).filter(F.col("_n") >= 2).select(group)
+    pairs = spread_join(pairs, keep, [group], "left_semi")
+    counts = cut_lineage(pairs.groupBy("_v").agg(F.sum("m").alias("n")))
+    ranks = O.ranks_of_counts(counts, "_v", "rank", rows_per_bucket)
+    placed = spread_join(pairs, ranks.select("_v", "rank"), ["_v"])
     sums = placed.groupBy(group).agg(F.sum(F.col("rank") * F.col("m")).alias("r"), F.sum("m").alias("n"))
     t = F.col("n").cast("double")
-    ties = ranks.agg(F.sum(t * t * t - t)).scalar()
+    ties = counts.agg(F.sum(t * t * t - t)).scalar()
     base = sums.agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_total"),
                     F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"))
     n, k = F.col("n_total").cast("double"), F.col("n_groups")
@@ -154,16 +156,17 @@ def group_quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
                                             (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
-def spearman(df: DataFrame, x: str, y: str, with_p: bool = True, min_n: int = 3) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, with_p: bool = True, min_n: int = 3,
+             rows_per_bucket: int | None = None) -> DataFrame:
     """Rank correlation with average ties over complete pairs."""
-    pairs = O.value_counts(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-                           .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")),
-                           ["_x", "_y"], "m")
-    data = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rx, ry = O.average_ranks(data, "_x", "rx"), O.average_ranks(data, "_y", "ry")
-    placed = spread_join(pairs, rx.select("_x", "rx"), ["_x"], "inner", frequent_keys(rx, ["_x"], "n"))
-    placed = spread_join(placed, ry.select("_y", "ry"), ["_y"], "inner", frequent_keys(ry, ["_y"], "n"))
+    pairs = cut_lineage(O.value_counts(
+        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), ["_x", "_y"], "m"))
+    placed = pairs
+    for v, r in (("_x", "rx"), ("_y", "ry")):
+        counts = pairs.groupBy(v).agg(F.sum("m").alias("n"))
+        ranks = O.ranks_of_counts(counts, v, r, rows_per_bucket).select(v, r)
+        placed = spread_join(placed, ranks, [v], counts=(pairs.groupBy(v).agg(F.count("*").alias("k")), "k"))
     middle = (pairs.agg(F.sum("m")).scalar() + 1) / 2
     dx, dy, m = F.col("rx") - middle, F.col("ry") - middle, F.col("m")
     base = placed.agg(F.sum(m).alias("n_samples"), F.sum(m * dx * dy).alias("xy"),
@@ -225,24 +228,22 @@ def ols(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
 def local_trend(df: DataFrame, x: str, y: str, points: int = 20, width: float = 0.3) -> DataFrame:
     """Tricube-weighted local line at evenly spaced points between the extremes of x.
 
-    The window is a fixed share of the range. Each row is sent only to the points it can reach, and
-    the weighted moments are combined before the shuffle.
+    The window is a fixed share of the range. A row counts at the points it can reach, and the weighted
+    moments are combined before the shuffle.
     """
     data = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     g = data.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("g")).scalar()
     span = g["hi"] - g["lo"]
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(
-        i.alias("i"), (g["lo"] + span * i / (points - 1)).alias("at")))
-    h = span * width
-    reach = data.select("x", "y", h.alias("h"), F.explode(grid).alias("p")).select(
-        "y", F.col("p.i").alias("i"), F.col("p.at").alias("at"), (F.col("x") - F.col("p.at")).alias("d"), "h")
+    at = g["lo"] + span * F.col("i") / (points - 1)
+    reach = data.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select(
+        "y", "i", at.alias("x_at"), (F.col("x") - at).alias("d"), (span * width).alias("h"))
     u = F.abs("d") / F.col("h")
     w = (1 - u * u * u) ** 3
-    m = reach.filter(F.abs("d") < F.col("h")).withColumn("w", w).groupBy("i", "at").agg(
+    m = reach.filter(F.abs("d") < F.col("h")).withColumn("w", w).groupBy("i", "x_at").agg(
         F.count("*").alias("n"), F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("d")).alias("s1"),
         F.sum(F.col("w") * F.col("d") * F.col("d")).alias("s2"), F.sum(F.col("w") * F.col("y")).alias("t0"),
         F.sum(F.col("w") * F.col("d") * F.col("y")).alias("t1"))
     det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    return m.select("i", "at", "n", F.when(det > 0, (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / F.nullif(det, F.lit(0.0)))
+    return m.select("i", "x_at", "n", F.when(det > 0, (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / F.nullif(det, F.lit(0.0)))
                     .otherwise(F.col("t0") / F.col("s0")).alias("fit"))

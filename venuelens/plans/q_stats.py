@@ -136,7 +136,7 @@ def _(spark, sf):
     return K.welch(B.venues(spark, sf), F.col("hasMichelin"), "rating", with_p=False).drop("error", "name_a", "name_b")
 
 
-@query("k6_welch_p", f"""WITH {V}, d AS (SELECT rating AS x, price_level_num > 2 AS f FROM venues WHERE price_level_num IS NOT NULL), {WELCH} SELECT statistic, {t_tail_sql('w.statistic', 'w.dof')} AS p_value FROM w""",
+@query("k6_welch_p", f"""WITH {V}, d AS (SELECT rating AS x, price_level_num > 2 AS f FROM venues WHERE price_level_num IS NOT NULL), {WELCH} SELECT statistic, {t_tail_sql('q.statistic', 'q.dof')} AS p_value FROM w AS q""",
        doubles="statistic p_value")
 def _(spark, sf):
     return K.welch(B.venues(spark, sf), F.col("price_level_num") > 2, "rating").select("statistic", "p_value")
@@ -173,9 +173,9 @@ def _(spark, sf):
     return K.ols(B.table(spark, sf, "lineitem", ["l_quantity", "l_extendedprice"]), "l_quantity", "l_extendedprice")
 
 
-@query("k10_local_trend", """WITH g AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), p AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 19 AS at, (hi - lo) * 0.3e0 AS h FROM g, generate_series(0, 19) AS s(i)),
-  d AS (SELECT i, at, l_quantity - at AS d, l_extendedprice AS y, power(1 - power(abs(l_quantity - at) / h, 3), 3) AS w FROM lineitem JOIN p ON abs(l_quantity - at) < h),
-  m AS (SELECT i, at, count(*) AS n, sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*y) AS t0, sum(w*d*y) AS t1 FROM d GROUP BY 1, 2)
-  SELECT i, at, n, (s2*t0 - s1*t1) / (s0*s2 - s1*s1) AS fit FROM m""", doubles="at fit")
+@query("k10_local_trend", """WITH g AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), p AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 19 AS x_at, (hi - lo) * 0.3e0 AS h FROM g, generate_series(0, 19) AS s(i)),
+  d AS (SELECT i, x_at, l_quantity - x_at AS d, l_extendedprice AS y, power(1 - power(abs(l_quantity - x_at) / h, 3), 3) AS w FROM lineitem JOIN p ON abs(l_quantity - x_at) < h),
+  m AS (SELECT i, x_at, count(*) AS n, sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*y) AS t0, sum(w*d*y) AS t1 FROM d GROUP BY 1, 2)
+  SELECT i, x_at, n, (s2*t0 - s1*t1) / (s0*s2 - s1*s1) AS fit FROM m""", doubles="x_at fit")
 def _(spark, sf):
     return K.local_trend(B.table(spark, sf, "lineitem", ["l_quantity", "l_extendedprice"]), "l_quantity", "l_extendedprice")
