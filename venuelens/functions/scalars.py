@@ -101,14 +101,21 @@ def item_category(title: Cols, description: Cols, menu_cat: Cols, price: Cols,
 
 def tokens(text: Cols, min_chars: int = 3) -> Column:
     """Unicode word tokens of the lower-cased text with at least ``min_chars`` characters."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(r"(?U)(\w+)"), 1)
-    return F.filter(words, lambda w: F.length(w) >= min_chars)
+    pattern = F.lit(rf"(?U)(\w{{{min_chars},}})")
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), pattern, 1)
 
 
-def terms_in(text: Column, terms: list[str]) -> Column:
-    """The terms of a fixed list that occur in the text as substrings."""
-    listed = F.array(*[F.lit(t) for t in terms])
-    return F.filter(listed, lambda t: F.contains(text, t))
+def count_words(text: Cols, words: list[str]) -> Column:
+    """How many word tokens of the text are in the list."""
+    pattern = F.lit(rf"(?U)\b(?:{'|'.join(words)})\b")
+    return F.regexp_count(F.lower(F.coalesce(_c(text), F.lit(""))), pattern)
+
+
+def terms_in(text: Column, groups: dict[str, list[str]], group: str = "season") -> Column:
+    """The ``(group, term)`` pairs of fixed lists whose term occurs in the text as a substring."""
+    return F.array_compact(F.array(*[
+        F.when(F.contains(text, F.lit(t)), F.struct(F.lit(g).alias(group), F.lit(t).alias("term")))
+        for g, terms in groups.items() for t in terms]))
 
 
 # ---- sentiment -------------------------------------------------------------------------

@@ -125,11 +125,10 @@ def word_frequencies(scored: DataFrame, key: str = "locationId", text: str = "te
     ranking keeps at most ``top`` rows per venue and task before its own.
     """
     polarity = F.when(F.col("sent_class") <= 2, "negative").when(F.col("sent_class") >= 4, "positive")
-    stop = F.array(*[F.lit(w) for w in L.STOP_WORDS])
-    words = F.filter(S.tokens(text, min_chars), lambda w: ~F.array_contains(stop, w))
     counts = (scored.filter(F.col(key).isNotNull()).select(key, polarity.alias("polarity"), text)
               .filter(F.col("polarity").isNotNull())
-              .select(key, "polarity", F.explode(words).alias("word"))
+              .select(key, "polarity", F.explode(S.tokens(text, min_chars)).alias("word"))
+              .filter(~F.col("word").isin(L.STOP_WORDS))
               .groupBy(key, "polarity", "word").agg(F.count("*").alias("n")))
     order = W.partitionBy(key, "polarity").orderBy(F.desc("n"), F.asc("word"))
     return counts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top)

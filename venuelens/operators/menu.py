@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from venuelens import lexicons as L
@@ -72,12 +72,8 @@ def season_hits(rows: DataFrame, text: str = "text", key: str = "locationId") ->
 
     Terms are looked up per row; the one term of two words is not matched across two items.
     """
-    def hits(season: str, terms: list[str]) -> Column:
-        return F.transform(S.terms_in(F.col("_t"), terms), lambda t: F.struct(F.lit(season).alias("season"), t.alias("term")))
-
-    found = [hits(season, terms) for season, terms in L.SEASON_TERMS.items()]
     return (rows.filter(F.col(key).isNotNull()).select(key, F.lower(F.col(text)).alias("_t"))
-            .select(key, F.explode(F.concat(*found)).alias("h"))
+            .select(key, F.explode(S.terms_in(F.col("_t"), L.SEASON_TERMS)).alias("h"))
             .groupBy(key, F.col("h.season").alias("season"), F.col("h.term").alias("term"))
             .agg(F.count("*").alias("n")))
 

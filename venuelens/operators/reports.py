@@ -129,10 +129,8 @@ def spatial_clusters(venues: DataFrame, k: int = 8, seed: int = 42, key: str = "
 
 def lexicon_sentiment(reviews: DataFrame, key: str = "locationId", text: str = "text") -> DataFrame:
     """Positive and negative word counts per venue over whole texts."""
-    words = S.tokens(text, 1)
-    count = lambda terms: F.size(F.filter(words, lambda w: w.isin(terms)))
     return (reviews.filter(F.col(key).isNotNull())
-            .select(key, count(L.POSITIVE_TERMS).alias("p"), count(L.NEGATIVE_TERMS).alias("m"))
+            .select(key, S.count_words(text, L.POSITIVE_TERMS).alias("p"), S.count_words(text, L.NEGATIVE_TERMS).alias("m"))
             .groupBy(key).agg(F.sum("p").alias("n_positive"), F.sum("m").alias("n_negative"),
                               F.avg(F.col("p") - F.col("m")).alias("mean_balance")))
 

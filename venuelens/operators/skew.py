@@ -35,7 +35,7 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     hot = frequent_keys(counts[0], keys, counts[1], salts, min_rows)
     if not hot:
         return many.join(one, keys, how)
-    flag = _is_one_of(keys, hot)
+    flag = is_one_of(keys, hot)
     payload = [c for c in many.columns if c not in keys] or keys
     spread = F.pmod(F.xxhash64(*payload), F.lit(salts)).cast("int")
     m = many.withColumn("_salt", F.when(flag, spread).otherwise(0))
@@ -43,6 +43,7 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     return m.join(o, [*keys, "_salt"], how).drop("_salt")
 
 
-def _is_one_of(keys: list[str], rows: list[Row]) -> Column:
+def is_one_of(keys: list[str], rows: list[Row]) -> Column:
+    """Whether the key columns equal one of a few collected keys; NULL equals NULL."""
     tests = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]) for r in rows]
     return reduce(lambda a, b: a | b, tests)

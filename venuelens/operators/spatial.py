@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelens.operators.skew import spread_join
+from venuelens.operators.skew import frequent_keys, is_one_of, spread_join
 from venuelens.session import cut_lineage
 
 EARTH_RADIUS_KM = 6371.0
@@ -89,9 +89,13 @@ def _split_pairs(dense: DataFrame, finer: DataFrame) -> DataFrame:
     return wide.select(*[F.col(f"n{p}{c}").alias(p + c) for p in "ab" for c in keep])
 
 
-def _compare(points: DataFrame, pairs: DataFrame, side: float, limit: float) -> DataFrame:
+def _compare(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float, limit: float, last: bool) -> DataFrame:
     """Per location, the weight of the neighbours found in the cubes listed as near."""
     placed = points.select(*_cell(side), "_lat", "_lon", "x", "y", "z", "w")
+    # A cube with a large share of all points is never near before the last depth: leave its points out.
+    crowded = [] if last else frequent_keys(cells, CELL, "m")
+    if crowded:
+        placed = placed.filter(~is_one_of(CELL, crowded))
     a, b = _renamed(placed, "a"), _renamed(placed, "b")
     near = pairs.select(*["a" + c for c in CELL], *["b" + c for c in CELL])
     hit = sum((F.col("b" + t) - F.col("a" + t)) ** 2 for t in "xyz") <= limit * limit
@@ -99,19 +103,19 @@ def _compare(points: DataFrame, pairs: DataFrame, side: float, limit: float) ->
             .groupBy(F.col("a_lat").alias("_lat"), F.col("a_lon").alias("_lon")).agg(F.sum("bw").alias("k")))
 
 
-def _inner(points: DataFrame, pairs: DataFrame, side: float) -> DataFrame:
+def _inner(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float) -> DataFrame:
     """Per location, the weight of the cubes that are neighbours as a whole."""
     per_cell = pairs.groupBy(*["a" + c for c in CELL]).agg(F.sum("bw").alias("k"))
     per_cell = per_cell.select(*[F.col("a" + c).alias(c) for c in CELL], "k")
     placed = points.select("_lat", "_lon", *_cell(side))
-    return spread_join(placed, per_cell, CELL).select("_lat", "_lon", "k")
+    return spread_join(placed, per_cell, CELL, counts=(cells, "m")).select("_lat", "_lon", "k")
 
 
 def neighbour_weights(points: DataFrame, limit: float) -> DataFrame:
     """``(_lat, _lon, k)``: number of points within the chord of each location, itself included."""
     side = limit
-    finer = cut_lineage(_cells(points, side))
-    pairs = _root_pairs(finer)
+    cells = cut_lineage(_cells(points, side))
+    pairs = _root_pairs(cells)
     found = []
     for depth in range(MAX_DEPTH + 1):
         # One pass writes the classified cube pairs; the branches below read that copy.
@@ -120,13 +124,14 @@ def neighbour_weights(points: DataFrame, limit: float) -> DataFrame:
         last = depth == MAX_DEPTH
         compare = ["near", "dense"] if last else ["near"]
         if "inner" in present:
-            found.append(_inner(points, kinds.filter(F.col("kind") == "inner"), side))
+            found.append(_inner(points, cells, kinds.filter(F.col("kind") == "inner"), side))
         if present & set(compare):
-            found.append(_compare(points, kinds.filter(F.col("kind").isin(compare)), side, limit))
+            found.append(_compare(points, cells, kinds.filter(F.col("kind").isin(compare)), side, limit, last))
         if last or "dense" not in present:
             break
         side = side / SPLIT
-        pairs = _split_pairs(kinds.filter(F.col("kind") == "dense"), _cells(points, side))
+        cells = cut_lineage(_cells(points, side))
+        pairs = _split_pairs(kinds.filter(F.col("kind") == "dense"), cells)
     total = found[0]
     for f in found[1:]:
         total = total.unionByName(f)

@@ -56,13 +56,18 @@ def wide_contingency(cells: DataFrame, columns: list) -> DataFrame:
 
 
 def expected_counts(cells: DataFrame) -> DataFrame:
-    """The full row x column grid with observed count ``n`` and expected count ``e``."""
-    rows = cells.groupBy("row").agg(F.sum("n").alias("r"))
-    cols = cells.groupBy("col").agg(F.sum("n").alias("c"))
-    marginal = cols.agg(F.collect_list(F.struct("col", "c"))).scalar()
-    total = rows.agg(F.sum("r")).scalar()
-    grid = rows.select("row", "r", F.explode(marginal).alias("m")).select("row", "r", "m.col", "m.c")
-    return (grid.join(cells, ["row", "col"], "left").fillna(0, ["n"])
+    """The full row x column grid with observed count ``n`` and expected count ``e``.
+
+    The dense matrix is the result here. Rows meet columns by equal part number, so neither margin is
+    gathered in one place.
+    """
+    parts = 16
+    rows = cells.groupBy("row").agg(F.sum("n").alias("r")).withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    cols = cells.groupBy("col").agg(F.sum("n").alias("c")).withColumn(
+        "_p", F.pmod(F.xxhash64("col"), F.lit(parts)).cast("int"))
+    total = cells.agg(F.sum("n")).scalar()
+    return (rows.join(cols, "_p").join(cells, ["row", "col"], "left").fillna(0, ["n"])
             .select("row", "col", "n", (F.col("r") * F.col("c") / total).alias("e")))
 
 
@@ -71,13 +76,26 @@ def residuals(cells: DataFrame) -> DataFrame:
 
 
 def chi2_independence(cells: DataFrame, with_p: bool = True) -> DataFrame:
-    """Chi-square of a contingency in long form, with the continuity correction for one degree of freedom."""
-    grid = expected_counts(cells)
+    """Chi-square of a contingency in long form, with the continuity correction for one degree of freedom.
+
+    Only occurring cells are visited: an empty cell adds its expected count, and those sum to what the
+    occurring cells leave of the total. With two rows and two columns all four gaps are equal, so the
+    corrected statistic follows from one gap and the margins.
+    """
+    cells = cut_lineage(cells)
+    rows = cells.groupBy("row").agg(F.sum("n").alias("r"))
+    cols = cells.groupBy("col").agg(F.sum("n").alias("c"))
+    total = cells.agg(F.sum("n")).scalar()
+    by_row = rows.agg(F.struct(F.count("*").alias("k"), F.sum(1 / F.col("r")).alias("inv")).alias("v")).scalar()
+    by_col = cols.agg(F.struct(F.count("*").alias("k"), F.sum(1 / F.col("c")).alias("inv")).alias("v")).scalar()
+    placed = cells.join(rows, "row").join(cols, "col").withColumn("e", F.col("r") * F.col("c") / total)
     gap = F.abs(F.col("n") - F.col("e"))
-    base = grid.agg(
-        F.sum(gap * gap / F.col("e")).alias("plain"),
-        F.sum((gap - F.least(gap, F.lit(0.5))) ** 2 / F.col("e")).alias("yates"),
-        F.countDistinct("row").alias("nr"), F.countDistinct("col").alias("nc"), F.sum("n").alias("n_samples"))
+    sums = placed.agg(F.sum(gap * gap / F.col("e")).alias("seen"), F.sum("e").alias("e"), F.sum("n").alias("n_samples"),
+                      F.max(gap).alias("gap"))
+    base = sums.select(
+        (F.col("seen") + F.col("n_samples") - F.col("e")).alias("plain"),
+        ((F.col("gap") - F.least("gap", F.lit(0.5))) ** 2 * F.col("n_samples") * by_row["inv"] * by_col["inv"]).alias("yates"),
+        by_row["k"].alias("nr"), by_col["k"].alias("nc"), "n_samples")
     out = base.select(
         F.when((F.col("nr") - 1) * (F.col("nc") - 1) == 1, F.col("yates")).otherwise(F.col("plain")).alias("statistic"),
         ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("int").alias("dof"), "n_samples",

@@ -20,8 +20,9 @@ DISHES = ["Tarte aux pommes", "Salade verte", "Entrecote au poivre", "Coca", "So
 SECOND_LABELS = ["Italien", "Bistro", "Asiatique", "Grill", "Vegan", "Marin", "Bistro"]
 
 
-def table(spark: SparkSession, sf: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet", columns)
+def table(spark: SparkSession, sf: str, name: str, columns: list[str] | None = None,
+          where: Column | None = None) -> DataFrame:
+    return read_table(spark, f"{sf}/{name}.parquet", columns, where)
 
 
 def _pick(values: list[str], index) -> Column:

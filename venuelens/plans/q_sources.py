@@ -106,7 +106,7 @@ def _(spark, sf):
 
 @query("a6_projected_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000", doubles="o_totalprice")
 def _(spark, sf):
-    return B.table(spark, sf, "orders", ["o_orderkey", "o_totalprice"]).filter("o_totalprice > 250000")
+    return B.table(spark, sf, "orders", ["o_orderkey", "o_totalprice"], F.col("o_totalprice") > 250000)
 
 
 def write_shards(spark, sf, name):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,18 @@ def normalise(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan; only ``columns`` are read when given."""
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
+               where: Column | None = None) -> DataFrame:
+    """Parquet scan; only ``columns`` are read when given.
+
+    ``where`` holds comparisons (no test for NULL). It is applied to the stored columns, where it
+    reaches the file scan, and again after the normalisation, which turns NaN into NULL.
+    """
     df = spark.read.parquet(path)
-    return normalise(df.select(*columns) if columns else df)
+    if where is not None:
+        df = df.filter(where)
+    df = normalise(df.select(*columns) if columns else df)
+    return df if where is None else df.filter(where)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
