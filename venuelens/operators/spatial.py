@@ -20,7 +20,7 @@ from venuelens.session import cut_lineage
 EARTH_RADIUS_KM = 6371.0
 SPLIT = 4
 MAX_DEPTH = 8
-PAIR_LIMIT = 4096
+PAIR_LIMIT = 65_536
 SLACK = 1e-9
 
 
@@ -114,7 +114,7 @@ def _inner(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float) -
 def neighbour_weights(points: DataFrame, limit: float) -> DataFrame:
     """``(_lat, _lon, k)``: number of points within the chord of each location, itself included."""
     side = limit
-    cells = cut_lineage(_cells(points, side))
+    cells = _cells(points, side)
     pairs = _root_pairs(cells)
     found = []
     for depth in range(MAX_DEPTH + 1):
@@ -130,7 +130,7 @@ def neighbour_weights(points: DataFrame, limit: float) -> DataFrame:
         if last or "dense" not in present:
             break
         side = side / SPLIT
-        cells = cut_lineage(_cells(points, side))
+        cells = _cells(points, side)
         pairs = _split_pairs(kinds.filter(F.col("kind") == "dense"), cells)
     total = found[0]
     for f in found[1:]:
