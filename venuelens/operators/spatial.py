@@ -92,8 +92,10 @@ def _split_pairs(dense: DataFrame, finer: DataFrame) -> DataFrame:
 def _compare(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float, limit: float, last: bool) -> DataFrame:
     """Per location, the weight of the neighbours found in the cubes listed as near."""
     placed = points.select(*_cell(side), "_lat", "_lon", "x", "y", "z", "w")
-    # A cube with a large share of all points is never near before the last depth: leave its points out.
-    crowded = [] if last else frequent_keys(cells, CELL, "m")
+    # Before the last depth a cube with more than PAIR_LIMIT locations is never near. Leave out the points
+    # of those that hold a large share of all, so that they do not crowd one task.
+    shares = [] if last else frequent_keys(cells, [*CELL, "m"], "m")
+    crowded = [r for r in shares if r["m"] > PAIR_LIMIT]
     if crowded:
         placed = placed.filter(~is_one_of(CELL, crowded))
     a, b = _renamed(placed, "a"), _renamed(placed, "b")

@@ -10,6 +10,7 @@ from venuelens.operators import reports as P
 from venuelens.operators import rollups as R
 from venuelens.operators import spatial
 from venuelens.plans import bindings as B
+from venuelens.plans.q_filters import QP_SQL
 from venuelens.plans.q_joins import REVIEW_TEXTS, season_hits_sql
 from venuelens.plans.q_stats import rho_sql
 from venuelens.plans.registry import query
@@ -235,6 +236,20 @@ def _(spark, sf):
     return P.lexicon_sentiment(B.reviews(spark, sf))
 
 
-@query("n1_narrative")
+PAIRS = [("rating", "reviewCount"), ("rating", "nb_items_total"), ("rating", "nb_restos_500m"), ("reviewCount", "nb_items_total"),
+         ("reviewCount", "nb_restos_500m"), ("nb_items_total", "nb_restos_500m")]
+
+
+@query("n1_narrative", f"""WITH {V}, {QP_SQL}, arr AS (SELECT arrondissement AS a, avg(rating) AS m, round(abs(avg(rating) - (SELECT avg(rating) FROM venues)), 6) AS gap
+  FROM venues WHERE arrondissement IS NOT NULL GROUP BY 1 HAVING count(rating) >= 5 ORDER BY 3 DESC, 1 LIMIT 4),
+  cc AS ({' UNION ALL '.join(f"""SELECT '{a}' AS x, '{b}' AS y, corr("{a}", "{b}") AS c FROM venues""" for a, b in PAIRS)}),
+  best AS (SELECT name, round(qp_score, 6) AS s, "locationId" AS i FROM qp WHERE rating IS NOT NULL ORDER BY 2 DESC, 3 LIMIT 3),
+  facts AS (SELECT 'summary' AS kind, 0e0 AS rank, printf('%d restaurants analyses dans %d arrondissements — note moyenne %.2f/5, mediane %.2f/5',
+    count(*), count(DISTINCT arrondissement), avg(rating), median(rating)) AS text FROM venues
+  UNION ALL SELECT 'contrast', -gap, printf('Arr %d : note moyenne %.2f', a, m) FROM arr
+  UNION ALL SELECT 'anticorrelation', round(c, 6), y || ' diminue quand ' || x || ' augmente' FROM cc WHERE c < 0
+  UNION ALL SELECT 'recommendation', 1, '**Meilleur rapport qualite/prix** : ' || string_agg(name, ', ' ORDER BY s DESC, i) FROM best),
+  placed AS (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY rank, text) AS INTEGER) AS "position", text FROM facts)
+  SELECT * FROM placed WHERE "position" <= CASE kind WHEN 'contrast' THEN 4 WHEN 'anticorrelation' THEN 2 WHEN 'recommendation' THEN 2 ELSE 1 END""")
 def _(spark, sf):
     return P.narrative(B.venues(spark, sf))
