@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,9 @@ from venuelens.session import cut_lineage
 
 ACCURACY = 10000
 # A group of at most this many rows fits one task and takes the built-in exact percentile.
-DIRECT_ROWS = 200_000
+DIRECT_ROWS = 2_000_000
+# The brackets of at most this many groups are broadcast; more are joined through a shuffle.
+BROADCAST_GROUPS = 100_000
 
 
 def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: dict[str, tuple[str, float]],
@@ -24,8 +28,12 @@ def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column], quantiles:
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
     if largest <= (DIRECT_ROWS if direct_rows is None else direct_rows):
-        exact = [F.percentile(F.col(c).cast("double"), q).alias(name) for name, (c, q) in quantiles.items()]
-        return df.groupBy(*keys).agg(*aggs, *exact)
+        # One buffer per column serves all its quantiles.
+        shares = {c: sorted({q for col, q in quantiles.values() if col == c}) for c, _ in quantiles.values()}
+        exact = [F.percentile(F.col(c).cast("double"), qs).alias(f"_p_{c}") for c, qs in shares.items()]
+        picked = [F.col(f"_p_{c}")[shares[c].index(q)].alias(name) for name, (c, q) in quantiles.items()]
+        out = df.groupBy(*keys).agg(*aggs, *exact)
+        return out.select(*[c for c in out.columns if not c.startswith("_p_")], *picked)
     return _bracketed(df, keys, aggs, quantiles, accuracy)
 
 
@@ -34,10 +42,11 @@ def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: di
     """Exact quantiles of groups that are too large for one task.
 
     Pass 1 computes the plain aggregates and, by mergeable sketches, two values that bracket each
-    wanted rank; its one row per group is materialised. Pass 2 counts what lies below the bracket
-    and keeps only the distinct values inside it, about 6/accuracy of a group, from which the linear
+    wanted rank; its one row per group is materialised. Pass 2 counts what lies below each bracket,
+    and keeps only the distinct values inside, about 6/accuracy of a group, from which the linear
     interpolation is taken exactly. Groups of at most 2·accuracy rows are bracketed as a whole. A rank
-    outside its bracket raises an error instead of giving a wrong value.
+    outside its bracket raises an error instead of giving a wrong value. The brackets of few groups are
+    broadcast, so that the rows stay where they are.
     """
     ungrouped = not keys
     if ungrouped:
@@ -58,11 +67,11 @@ def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: di
 
     slim = df.select(*keys, *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(columns)])
     limits = first.select(*keys, *helper_columns[1:])
-    if ungrouped:
+    if first.count() <= BROADCAST_GROUPS:
         joined = slim.join(F.broadcast(limits), keys)
     else:
         joined = spread_join(slim, limits, keys, counts=(first, "_rows"))
-    cells = []
+    inside, cells, below = [], [], []
     for i, (c, q) in enumerate(quantiles.values()):
         j = columns.index(c)
         x = F.col(f"_x{j}")
@@ -72,18 +81,24 @@ def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: di
             lo = F.when(small, lo).otherwise(F.col(f"_e{j}")[edges[c, q - margin]])
         if q + margin < 1:
             hi = F.when(small, hi).otherwise(F.col(f"_e{j}")[edges[c, q + margin]])
-        cells.append(F.when(x <= hi, F.struct(
-            F.lit(i).alias("_q"), (F.lit(q) * (F.col(f"_n{j}") - 1)).alias("_pos"),
-            F.when(x >= lo, x).alias("_v"))))
-    counted = (joined.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_c"))
-               .select(*keys, "_c.*").groupBy(*keys, "_q", "_pos", "_v").agg(F.count("*").alias("_k")))
-    order = W.partitionBy(*keys, "_q").orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0)
-    inside, cum = F.col("_v").isNotNull(), F.col("_cum")
-    picked = counted.withColumn("_cum", F.sum("_k").over(order)).groupBy(*keys, "_q").agg(
-        F.max("_pos").alias("_pos"),
-        F.coalesce(F.max(F.when(~inside, cum)), F.lit(0)).alias("_below"),
-        F.min(F.when(inside & (cum >= F.floor("_pos") + 1), F.col("_v"))).alias("_a"),
-        F.min(F.when(inside & (cum >= F.ceil("_pos") + 1), F.col("_v"))).alias("_b"))
+        inside.append((x >= lo) & (x <= hi))
+        below.append(F.count_if(x < lo).alias(f"_below{i}"))
+        cells.append(F.when(inside[-1], F.struct(F.lit(i).alias("_q"), x.alias("_v"))))
+    ranks = joined.groupBy(*keys).agg(*below).join(first.select(*keys, *helper_columns[1:]), keys)
+    wanted = F.array(*[F.struct(F.lit(i).alias("_q"), F.col(f"_below{i}").alias("_below"),
+                                (F.lit(q) * (F.col(f"_n{columns.index(c)}") - 1)).alias("_pos"))
+                       for i, (c, q) in enumerate(quantiles.values())])
+    ranks = ranks.select(*keys, F.explode(wanted).alias("_w")).select(*keys, "_w.*")
+    counted = (joined.filter(reduce(lambda a, b: a | b, inside))
+               .select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("_c"))
+               .select(*keys, "_c.*").groupBy(*keys, "_q", "_v").agg(F.count("*").alias("_k")))
+    order = W.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    placed = counted.withColumn("_in", F.sum("_k").over(order)).join(ranks, [*keys, "_q"])
+    cum = F.col("_below") + F.col("_in")
+    picked = placed.groupBy(*keys, "_q").agg(
+        F.max("_pos").alias("_pos"), F.max("_below").alias("_below"),
+        F.min(F.when(cum >= F.floor("_pos") + 1, F.col("_v"))).alias("_a"),
+        F.min(F.when(cum >= F.ceil("_pos") + 1, F.col("_v"))).alias("_b"))
     sound = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_below") <= F.floor("_pos"))
     value = F.when(sound, F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))) \
              .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from venuelens import lexicons as L
 from venuelens.functions import scalars as S
 from venuelens.operators.rollups import with_irony, with_sentiment
-from venuelens.sources.tables import read_table
+from venuelens.sources.tables import read_table, spread_small_input
 
 MENU_TITLES = ["Boissons", "Nos desserts", "Les entrées", "Plat principal", "Menu Dégustation", "Garniture", "",
                "Carte", "Divers", "Soir", "Midi", "Cocktails & bieres"]
@@ -35,9 +35,15 @@ def _sql_list(values: list[str]) -> str:
 
 # ---- reviews ---------------------------------------------------------------------------
 
-def reviews(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for text work: spread over the cores if they are stored in few splits."""
+    return spread_small_input(table(spark, sf, "documents"), f"{sf}/documents.parquet", "doc_id")
+
+
+def reviews(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
     d = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    source = documents(spark, sf) if spread else table(spark, sf, "documents")
+    return source.select(
         d.alias("review_id"), F.when(d % 3 == 0, 7).otherwise(d % 50).cast("long").alias("locationId"),
         F.when(d % 29 == 0, None).when(d % 13 == 0, "ja").otherwise(F.col("lang")).alias("language"), "text",
         F.when(d % 11 == 0, None).otherwise(1 + d % 5).cast("double").alias("rating"),
@@ -54,15 +60,15 @@ REVIEWS_SQL = """reviews AS (SELECT doc_id AS review_id,
   'Avis ' || CAST(doc_id AS VARCHAR) AS title, source FROM documents)"""
 
 
-def probabilities(spark: SparkSession, sf: str) -> DataFrame:
+def probabilities(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
     """Reviews with five probabilities p_k = w_k / sum(w), w_k = 1 + id·(k+2) mod 7."""
     w = [1 + F.col("review_id") * (k + 2) % 7 for k in range(1, 6)]
     total = sum(w[1:], w[0])
-    return reviews(spark, sf).select("*", *[(w[k] / total).alias(f"p_{k + 1}star") for k in range(5)])
+    return reviews(spark, sf, spread).select("*", *[(w[k] / total).alias(f"p_{k + 1}star") for k in range(5)])
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return with_irony(with_sentiment(probabilities(spark, sf)))
+def scored(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    return with_irony(with_sentiment(probabilities(spark, sf, spread)))
 
 
 _W = [f"(1 + review_id * {k + 2} % 7)" for k in range(1, 6)]

@@ -114,7 +114,7 @@ STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in L.STOP_WORDS)
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY "locationId", polarity ORDER BY n DESC, word) AS INTEGER) AS "position" FROM c)
   SELECT * FROM r WHERE "position" <= 50""")
 def _(spark, sf):
-    return C.word_frequencies(B.scored(spark, sf))
+    return C.word_frequencies(B.scored(spark, sf, spread=True))
 
 
 # ---- reports ---------------------------------------------------------------------------
@@ -195,7 +195,7 @@ def _(spark, sf):
 @query("p11_season_detail", f"""WITH {RV}, {season_hits_sql(REVIEW_TEXTS)} SELECT season, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_venues FROM hits GROUP BY 1, 2""")
 def _(spark, sf):
     from venuelens.operators.menu import season_hits
-    return season_hits(B.reviews(spark, sf)).groupBy("season", "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_venues"))
+    return season_hits(B.reviews(spark, sf, spread=True)).groupBy("season", "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_venues"))
 
 
 def _corr_sql() -> str:
@@ -233,7 +233,7 @@ def _terms(ts: list[str]) -> str:
   SELECT r."locationId", CAST(sum(coalesce(p, 0)) AS BIGINT) AS n_positive, CAST(sum(coalesce(m, 0)) AS BIGINT) AS n_negative, avg(coalesce(p, 0) - coalesce(m, 0)) AS mean_balance
   FROM reviews r LEFT JOIN c USING (review_id) GROUP BY 1""", doubles="mean_balance")
 def _(spark, sf):
-    return P.lexicon_sentiment(B.reviews(spark, sf))
+    return P.lexicon_sentiment(B.reviews(spark, sf, spread=True))
 
 
 PAIRS = [("rating", "reviewCount"), ("rating", "nb_items_total"), ("rating", "nb_restos_500m"), ("reviewCount", "nb_items_total"),

@@ -162,7 +162,7 @@ def _(spark, sf):
 
 @query("c6_text_category", f"""SELECT doc_id, {B.class_sql('lower(text)', L.MENU_TITLE_TERMS)} AS category FROM documents""")
 def _(spark, sf):
-    return B.table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", S.menu_category("text").alias("category"))
+    return B.documents(spark, sf).select("doc_id", S.menu_category("text").alias("category"))
 
 
 @query("c7_item_category", f"""WITH {IT} SELECT item_id, category FROM items""")
@@ -180,7 +180,7 @@ def _(spark, sf):
 @query("c9_tokens", r"""SELECT doc_id, count(*) AS n_tokens, count(DISTINCT w) AS n_distinct FROM (SELECT doc_id,
   unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS w FROM documents) WHERE length(w) > 2 GROUP BY 1""")
 def _(spark, sf):
-    return B.table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", S.tokens("text").alias("t")).filter(
+    return B.documents(spark, sf).select("doc_id", S.tokens("text").alias("t")).filter(
         F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n_tokens"),
                                 F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 

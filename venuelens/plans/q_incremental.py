@@ -38,7 +38,7 @@ MODEL_D = "rating sent_stars_expected sent_stars_corrected"
 
 @query("i1_batch_scoring", model_sql(), doubles=MODEL_D)
 def _(spark, sf):
-    return M.score_reviews(B.reviews(spark, sf)).select(*SHOWN)
+    return M.score_reviews(B.reviews(spark, sf, spread=True)).select(*SHOWN)
 
 
 def neutral_scorer():
@@ -49,7 +49,7 @@ def neutral_scorer():
 
 @query("i4_routed_scoring", model_sql(fallback=True), doubles=MODEL_D)
 def _(spark, sf):
-    return M.score_reviews(B.reviews(spark, sf), fallback=neutral_scorer).select(*SHOWN)
+    return M.score_reviews(B.reviews(spark, sf, spread=True), fallback=neutral_scorer).select(*SHOWN)
 
 
 def _landed_reviews(spark, sf, copies: bool):
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("i2_batch_resume", model_sql(), doubles=MODEL_D)
 def _(spark, sf):
-    r = B.reviews(spark, sf)
+    r = B.reviews(spark, sf, spread=True)
     done = M.score_reviews(r.filter("review_id % 2 = 0"))
     fresh = M.score_reviews(r.join(done.select("review_id"), "review_id", "left_anti"))
     return J.upsert(done, fresh).select(*SHOWN)

@@ -118,7 +118,7 @@ ITEM_TEXTS = """SELECT "locationId", lower(item_title) || ' ' || lower(item_desc
 
 @query("j9_lexicon_hits", f"""WITH {RV}, {season_hits_sql(REVIEW_TEXTS)} SELECT "locationId", season, term, n FROM hits""")
 def _(spark, sf):
-    return M.season_hits(B.reviews(spark, sf))
+    return M.season_hits(B.reviews(spark, sf, spread=True))
 
 
 # ---- ordering --------------------------------------------------------------------------

@@ -38,7 +38,7 @@ def _(spark, sf):
 @query("d5_type_token_ratio", r"""WITH words AS (SELECT source, w FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) AS w FROM documents) WHERE length(w) > 2)
   SELECT source, count(DISTINCT w) / CAST(count(*) AS DOUBLE) AS ttr FROM words GROUP BY 1""", doubles="ttr")
 def _(spark, sf):
-    return M.type_token_ratio(B.table(spark, sf, "documents", ["source", "text"]), "text", "source", "ttr")
+    return M.type_token_ratio(B.documents(spark, sf), "text", "source", "ttr")
 
 
 @query("d5_menu_diversity", f"""WITH {IT}, {DIVERSITY_SQL} SELECT * FROM diversity""", doubles="shannon_entropy type_token_ratio")
@@ -68,7 +68,7 @@ def _(spark, sf):
 
 @query("d6_review_seasonality", f"""WITH {RV}, {seasonality_sql(REVIEW_TEXTS)}""", doubles=RATIOS)
 def _(spark, sf):
-    return M.seasonality(B.reviews(spark, sf))
+    return M.seasonality(B.reviews(spark, sf, spread=True))
 
 
 @query("d7_label_entropy", f"""WITH {V}, c AS (SELECT label, count(*) AS n FROM labels_of GROUP BY 1), p AS (SELECT n / CAST((SELECT sum(n) FROM c) AS DOUBLE) AS p FROM c)

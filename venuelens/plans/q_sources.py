@@ -71,7 +71,7 @@ def _(spark, sf):
 
 
 def review_documents(spark, sf):
-    r = B.reviews(spark, sf)
+    r = B.reviews(spark, sf, spread=True)
     rev = F.struct(F.col("review_id").alias("id"), "text", F.coalesce(F.col("rating"), F.lit(0)).cast("int").alias("rating"),
                    F.coalesce(F.date_format("publishedDate", "yyyy-MM-dd"), F.lit("not a date")).alias("publishedDate"),
                    "language", "title")

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from venuelens.functions.scalars import nan_to_null
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
 def normalise(df: DataFrame) -> DataFrame:
     """NaN to NULL in every float column; comparisons then follow SQL NULL logic."""
     floats = (T.DoubleType, T.FloatType)
@@ -30,6 +33,19 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df if where is None else df.filter(where)
 
 
+def spread_small_input(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Repartition a table that is stored in fewer full file splits than there are cores.
+
+    For work that is heavy per row, such as reading long texts. Moving so little data is cheap; a table
+    with at least one split per core is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence through the cluster's own file system API; globs are allowed."""
     jvm = spark.sparkContext._jvm
