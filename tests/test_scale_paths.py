@@ -130,12 +130,14 @@ def test_neighbour_counts_with_splitting(spark, monkeypatch, kind, pair_limit):
     assert (out["n"].to_numpy() == neighbours(lat, lon, spatial.chord(0.5))).all()
 
 
-def test_sample_is_repeatable(spark, uneven):
+def test_sample_is_repeatable(uneven, monkeypatch):
     df, _ = uneven
     a = {r["id"] for r in sampling.uniform_sample(df, "id", 50).collect()}
     b = {r["id"] for r in sampling.uniform_sample(df.repartition(3), "id", 50).collect()}
     assert len(a) == 50 and a == b
     assert a != {r["id"] for r in sampling.uniform_sample(df, "id", 50, seed=7).collect()}
+    monkeypatch.setattr(sampling, "TOP_ROWS", 10)
+    assert a == {r["id"] for r in sampling.uniform_sample(df, "id", 50).collect()}
 
 
 def test_stratified_sample_quotas(spark, uneven):

@@ -10,14 +10,21 @@ from venuelens.operators.skew import spread_join
 from venuelens.session import cut_lineage
 
 
+# Up to this many rows a sample is taken as an ordered limit, which passes them through the driver.
+TOP_ROWS = 10_000
+
+
 def draw_order(key: str, seed: int = 42) -> Column:
     """A uniform pseudo-random text that depends only on the key and the seed."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows; the same rows on every run."""
-    return df.withColumn("_d", draw_order(key, seed)).orderBy("_d").limit(n).drop("_d")
+    """n rows; the same rows on every run. A large sample is cut by rank, away from the driver."""
+    drawn = df.withColumn("_d", draw_order(key, seed))
+    if n <= TOP_ROWS:
+        return drawn.orderBy("_d").limit(n).drop("_d")
+    return _draw_rank(drawn, [], "_r").filter(F.col("_r") <= n).drop("_r", "_d")
 
 
 def _draw_rank(df: DataFrame, keys: list[str], out: str) -> DataFrame:

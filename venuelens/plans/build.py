@@ -30,7 +30,8 @@ def _publish(spark: SparkSession, df: DataFrame, path: str, skip_if_exists: bool
 
 def build_venues(spark: SparkSession, raw: str, out: str, skip_if_exists: bool = False) -> dict[str, DataFrame]:
     """restaurants, menu_items, menu_diversity and restaurants_enriched from venue documents."""
-    docs = D.read_documents(spark, raw)
+    # The text is parsed once; the tables below read only their fields of the stored structure.
+    docs = _publish(spark, D.parsed_venues(D.read_documents(spark, raw)).drop("value"), f"{out}/venue_documents", skip_if_exists)
     t = {"rejected": D.rejected_documents(docs)}
     t["restaurants"] = _publish(spark, D.parse_venues(docs), f"{out}/restaurants", skip_if_exists)
     t["menu_items"] = _publish(spark, M.menu_items(D.parse_menu(docs)), f"{out}/menu_items", skip_if_exists)

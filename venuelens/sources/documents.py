@@ -15,13 +15,13 @@ def read_documents(spark: SparkSession, directory: str) -> DataFrame:
             .select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
 
-def _venue(docs: DataFrame) -> DataFrame:
-    """Element 0 of the top-level array; NULL for unreadable documents."""
-    return docs.withColumn("r", F.get(F.from_json("value", schemas.VENUE_DOCUMENT), F.lit(0)))
+def parsed_venues(docs: DataFrame) -> DataFrame:
+    """Element 0 of the top-level array as ``r``; NULL for unreadable documents."""
+    return docs if "r" in docs.columns else docs.withColumn("r", F.get(F.from_json("value", schemas.VENUE_DOCUMENT), F.lit(0)))
 
 
 def rejected_documents(docs: DataFrame) -> DataFrame:
-    return _venue(docs).filter(F.col("r").isNull()).select("file_name")
+    return parsed_venues(docs).filter(F.col("r").isNull()).select("file_name")
 
 
 def parse_venues(docs: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def parse_venues(docs: DataFrame) -> DataFrame:
     menu = F.col("r.menu.providerContent.providerMenu.menu")
     has_menu = F.exists(menu, lambda m: F.coalesce(
         F.exists(m["sections"], lambda s: F.coalesce(F.size(s["items"]) > 0, F.lit(False))), F.lit(False)))
-    return _venue(docs).filter(F.col("r").isNotNull()).select(
+    return parsed_venues(docs).filter(F.col("r").isNotNull()).select(
         F.col(r + "locationId").alias("locationId"), F.col(r + "name").alias("name"),
         F.col("r.reviewSummary.rating").alias("rating"),
         F.coalesce("r.reviewSummary.count", F.lit(0)).alias("reviewCount"),
@@ -51,7 +51,7 @@ def parse_venues(docs: DataFrame) -> DataFrame:
 def parse_menu(docs: DataFrame) -> DataFrame:
     """One row per menu item with all its price texts; empty levels give no rows."""
     item = F.col("i")
-    return (_venue(docs).select(F.col("r.locationId").alias("locationId"),
+    return (parsed_venues(docs).select(F.col("r.locationId").alias("locationId"),
                                 F.explode("r.menu.providerContent.providerMenu.menu").alias("m"))
             .select("locationId", F.coalesce("m.title_unobsfuscated", F.lit("")).alias("menu_title"),
                     F.explode("m.sections").alias("s"))
