@@ -246,7 +246,7 @@ def ols(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
 def local_trend(df: DataFrame, x: str, y: str, points: int = 20, width: float = 0.3) -> DataFrame:
     """Tricube-weighted local line at evenly spaced points between the extremes of x.
 
-    The window is a fixed share of the range. A row counts at the points it can reach, and the weighted
+    The window is a fixed share of the range. A row is sent to the points it can reach only, and the weighted
     moments are combined before the shuffle.
     """
     data = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
@@ -254,7 +254,10 @@ def local_trend(df: DataFrame, x: str, y: str, points: int = 20, width: float =
     g = data.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("g")).scalar()
     span = g["hi"] - g["lo"]
     at = g["lo"] + span * F.col("i") / (points - 1)
-    reach = data.select("x", "y", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select(
+    step = F.nullif(span / (points - 1), F.lit(0.0))
+    first = F.greatest(F.floor((F.col("x") - g["lo"] - span * width) / step), F.lit(0))
+    last = F.least(F.ceil((F.col("x") - g["lo"] + span * width) / step), F.lit(points - 1))
+    reach = data.select("x", "y", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("i")).select(
         "y", "i", at.alias("x_at"), (F.col("x") - at).alias("d"), (span * width).alias("h"))
     u = F.abs("d") / F.col("h")
     w = (1 - u * u * u) ** 3

@@ -181,7 +181,7 @@ def _price_text_sql(shift: int) -> str:
 def parsed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Menu items as they come out of the documents: with every price text."""
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select(
+    return spread_small_input(table(spark, sf, "part"), f"{sf}/part.parquet", "p_partkey").select(
         F.substring("p_brand", 7, 9).cast("long").alias("locationId"), _pick(MENU_TITLES, k * 5).alias("menu_title"),
         F.when(k % 9 == 0, None).otherwise(F.col("p_type")).alias("section_title"),
         F.when(k % 53 == 0, "").otherwise(F.concat(_pick(DISHES, k * 7), F.lit(" "), F.col("p_name"))).alias("item_title"),
