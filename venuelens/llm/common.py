@@ -100,3 +100,23 @@ def running(df: DataFrame, group: list[str], chunk: str, order: list[Column], we
 
 def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
+
+
+class Memo:
+    """A bounded cache of two generations: what is used survives when the older generation is dropped."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value

@@ -17,7 +17,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from venuelens.llm.common import map_rows, narrow
+from venuelens.llm.common import Memo, map_rows, narrow
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -40,7 +40,7 @@ class PrefixCounter:
             raise ValueError("a piece crosses a segment border; this model needs whole texts as segments")
         self.longest = max(map(len, self.score))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.totals: dict[str, int] = {}
+        self.totals = Memo(CACHED_SEGMENTS)
 
     def merge(self, text: str) -> list[str]:
         """Plain pair merging of a short string."""
@@ -86,9 +86,7 @@ class PrefixCounter:
         if known is None:
             known = self.prefixes(segment)[-1]
             if len(segment) <= LONGEST_CACHED:
-                if len(self.totals) >= CACHED_SEGMENTS:
-                    self.totals.clear()
-                self.totals[segment] = known
+                self.totals.put(segment, known)
         return known
 
     def segments(self, text: str) -> list[str]:
@@ -97,7 +95,7 @@ class PrefixCounter:
 
     def border_counts(self, segments: list[str]) -> list[int]:
         """Counts of the prefixes that end at segment borders."""
-        get, total = self.totals.get, self.total
+        get, total = self.totals.new.get, self.total
         return list(itertools.accumulate([get(s) or total(s) for s in segments], initial=0))
 
     def all_prefixes(self, text: str) -> list[int]:

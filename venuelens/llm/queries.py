@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import prefix_tokens, repetition
+from venuelens.llm import packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -17,3 +17,8 @@ def op5(spark, sf):
 @query("op9_token_counts")
 def op9(spark, sf):
     return prefix_tokens.token_counts(table(spark, sf, "documents"))
+
+
+@query("op6_harmonic_packing")
+def op6(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))

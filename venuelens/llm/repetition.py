@@ -11,6 +11,7 @@ import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,6 +147,25 @@ def measure(rows: Iterable[tuple], window: int = WINDOW) -> Iterator[tuple]:
         yield from flush()
 
 
+def passes(words: int, repeated: int, longest: int, min_words: int, max_covered: int, max_longest: int) -> bool:
+    return words >= min_words and 100 * repeated <= max_covered * words and 100 * longest <= max_longest * words
+
+
+def kept_documents(docs: DataFrame, text: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS,
+                   max_covered_percent: int = MAX_COVERED_PERCENT, max_longest_percent: int = MAX_LONGEST_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns as they are; judged where they are read."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(at).to_pylist()
+            good = [passes(m[1], m[5], m[6], min_words, max_covered_percent, max_longest_percent)
+                    for m in measure(enumerate(values), window)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
                   min_words: int = MIN_WORDS, max_covered_percent: int = MAX_COVERED_PERCENT,
                   max_longest_percent: int = MAX_LONGEST_PERCENT) -> DataFrame:
