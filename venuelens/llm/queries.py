@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from venuelens.llm import packing, prefix_tokens, repetition
+from venuelens.llm import license_scan, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
+@query("op1_license_scan")
+def op1(spark, sf):
+    return license_scan.license_scan(table(spark, sf, "documents")).drop("places")
+
+
 @query("op5_quality_rules")
 def op5(spark, sf):
     return repetition.quality_rules(table(spark, sf, "documents")).select(
