@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import license_scan, packing, prefix_tokens, repetition
+from venuelens.llm import chat, license_scan, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -19,6 +19,15 @@ def op5(spark, sf):
         "longest_repeat")
 
 
+@query("op8_chat_round_trip")
+def op8(spark, sf):
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_conversations(turns.unionByName(extra)).drop("formatted", "loss_mask")
+
+
 @query("op9_token_counts")
 def op9(spark, sf):
     return prefix_tokens.token_counts(table(spark, sf, "documents"))
