@@ -1,16 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of slots, each of one block of words. Slot i lies at the fraction of i times the golden ratio; the source
+The mix is a row of slots, each of one block of words. Slot i lies at the i-th van der Corput point in [0, 1); the source
 whose share of the cumulative targets holds that point fills it. A source's documents lie in shuffled order, end to end and
 once more from the start, and are cut into blocks; its r-th slot takes its r-th block.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from venuelens.llm.common import chunks_for, narrow, running, written
@@ -18,9 +15,10 @@ from venuelens.llm.common import chunks_for, narrow, running, written
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 REPEATS = 2
-BLOCK_WORDS = 256
-#: The golden ratio's fraction as a 64-bit step, so that points are exact on every machine: 2^63 / 1.618... made odd.
-GOLDEN_STEP = 5700357409661599241
+#: A source gets about this many slots on average, so that its words come near its target; no block is longer than MAX_BLOCK.
+SLOTS_PER_SOURCE = 256
+MAX_BLOCK = 1024
+POINT_BITS = 53
 SPACES = r"[^\x20\x09-\x0D]+"
 
 
@@ -88,8 +86,9 @@ def schedule(goals: DataFrame, slots: int) -> DataFrame:
         "place", F.col("_from"), (F.col("_from") + F.col("_w")).alias("_to"))
     width = -(-whole // cells)
     spans = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width))))
-    # i * step modulo 2^64, its upper bits as a point in [0, whole)
-    unit = F.shiftrightunsigned(F.col("id") * F.lit(GOLDEN_STEP), 11).cast("double") / F.lit(float(1 << 53))
+    # the bits of i in reverse order, as a fraction
+    mirrored = F.reverse(F.lpad(F.bin("id"), POINT_BITS, "0"))
+    unit = F.conv(mirrored, 2, 10).cast("double") / F.lit(float(1 << POINT_BITS))
     points = (spark.range(slots).withColumn("_at", F.least(F.floor(unit * F.lit(float(whole))), F.lit(whole - 1)))
               .withColumn("_cell", F.floor(F.col("_at") / width)))
     drawn = (points.join(spans, "_cell").filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
@@ -101,7 +100,7 @@ def schedule(goals: DataFrame, slots: int) -> DataFrame:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None,
         weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, repeats: int = REPEATS,
-        block: int = BLOCK_WORDS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+        block: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(documents with size, target and number; pieces of the mix).
 
     Documents: ``doc_id, source, size, source_size, target, place, start``. Pieces, one per document, block and pass that
@@ -119,6 +118,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     placed = written(shuffled(plain, seed).join(keyed, F.col("source").eqNullSafe(F.col("_source")))
                      .select("doc_id", "source", "size", "source_size", "target", "place", "start", "cap"), "placed")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
+    if block is None:
+        block = int(min(MAX_BLOCK, max(1, total / (SLOTS_PER_SOURCE * max(goals.count(), 1)))))
     slots = round(total / block)
     if slots == 0:
         # less than one block in all: the first words of the largest source make the mix

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import chat, license_scan, packing, prefix_tokens, repetition
+from venuelens.llm import chat, license_scan, mixing, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -12,6 +12,12 @@ def op1(spark, sf):
     return license_scan.license_scan(table(spark, sf, "documents")).drop("places")
 
 
+@query("op3_mixing")
+def op3(spark, sf):
+    placed, pieces = mixing.mix(table(spark, sf, "documents"))
+    return mixing.taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query("op5_quality_rules")
 def op5(spark, sf):
     return repetition.quality_rules(table(spark, sf, "documents")).select(
