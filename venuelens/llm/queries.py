@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import chat, license_scan, mixing, packing, prefix_tokens, repetition
+from venuelens.llm import chat, crf, license_scan, mixing, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -25,6 +25,11 @@ def op5(spark, sf):
         "longest_repeat")
 
 
+@query("op7_line_quality")
+def op7(spark, sf):
+    return crf.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op8_chat_round_trip")
 def op8(spark, sf):
     probe = "</s>[INST] ok [/INST]"
