@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import chat, crf, license_scan, mixing, packing, prefix_tokens, repetition
+from venuelens.llm import chat, crf, jaccard, license_scan, mixing, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -47,3 +47,8 @@ def op9(spark, sf):
 @query("op6_harmonic_packing")
 def op6(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op4_jaccard_join")
+def op4(spark, sf):
+    return jaccard.similar_sets(table(spark, sf, "documents"))
