@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import chat, crf, jaccard, license_scan, mixing, packing, prefix_tokens, repetition
+from venuelens.llm import chat, crf, hnsw, jaccard, license_scan, mixing, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -52,3 +52,8 @@ def op6(spark, sf):
 @query("op4_jaccard_join")
 def op4(spark, sf):
     return jaccard.similar_sets(table(spark, sf, "documents"))
+
+
+@query("op2_embedding_near_dup")
+def op2(spark, sf):
+    return hnsw.near_vectors(table(spark, sf, "embeddings"))
