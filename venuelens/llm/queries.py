@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import chat, crf, hnsw, jaccard, license_scan, mixing, packing, prefix_tokens, repetition
+from venuelens.llm import chat, compact_windows, crf, hnsw, jaccard, license_scan, mixing, packing, prefix_tokens, repetition
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -57,3 +57,8 @@ def op4(spark, sf):
 @query("op2_embedding_near_dup")
 def op2(spark, sf):
     return hnsw.near_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op10_repeated_passages")
+def op10(spark, sf):
+    return compact_windows.repeated_passages(table(spark, sf, "documents"))
