@@ -31,12 +31,21 @@ LONGEST_CACHED = 40
 
 #: White space goes with what follows it; no pre-token of the model spans from other characters to white space.
 CHUNK = re.compile(r"\s*\S+|\s+")
+#: A chunk of letters, a pre-token, and of marks, another one.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 #: Characters that Python counts as white space and the model's pattern does not.
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, nth long, ids array<int>"
 
 
+def byte_symbols() -> dict[int, str]:
+    """The model's symbol of every byte: printable ones stand for themselves, the others come after 255 in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return dict(zip(shown, map(chr, shown))) | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian 32-bit numbers; chunks are encoded once and kept in a bounded cache."""
 
@@ -44,6 +53,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.symbols = byte_symbols()
         self.known = Memo(CACHED_CHUNKS)
 
     def whole(self, text: str) -> bytes:
@@ -63,7 +73,13 @@ class ChunkEncoder:
     def chunk(self, chunk: str) -> bytes:
         ids = self.known.get(chunk)
         if ids is None:
-            ids = self.whole(chunk)
+            plain = PLAIN.fullmatch(chunk)
+            if plain:
+                symbols = plain[1].encode().decode("latin-1").translate(self.symbols)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+                ids += self.chunk(plain[2]) if plain[2] else b""
+            else:
+                ids = self.whole(chunk)
             if len(chunk) <= LONGEST_CACHED:
                 self.known.put(chunk, ids)
         return ids
