@@ -1,10 +1,15 @@
-"""The corpus pipeline: stages that are each written and read again, from ``documents`` to packed sequences."""
+"""The corpus pipeline: from ``documents`` to packed sequences, every stage written and read again.
+
+Quality rules drop documents, the Jaccard join keeps one document of each group, substring dedup cuts passages that an
+earlier document has, mixing takes documents as often as their source's target wants, packing cuts them into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from venuelens.llm import repetition
+from venuelens.llm import compact_windows, jaccard, mixing, packing, repetition
 from venuelens.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -12,10 +17,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    return repetition.kept_documents(docs).select(COLUMNS)
+    return repetition.kept_documents(docs.select(COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of similar sets. Rows of one id stay or go together; a null id stays."""
+    groups = jaccard.similar_sets(docs)
+    dropped = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has; emptied documents go."""
+    docs = docs.select(COLUMNS)
+    found = compact_windows.repeated_passages(docs)
+    return with_length(compact_windows.cut_passages(docs, found))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as the mix takes them."""
+    docs = docs.select(COLUMNS)
+    placed, pieces = mixing.mix(docs)
+    return with_length(mixing.mixed_documents(docs, placed, pieces))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return packing.pack(docs)
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
-STAGES = [("quality rules", quality)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", passages),
+          ("mixing", mixture), ("packing", packed)]
+#: No SQL states token packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,10 @@ once more from the start, and are cut into blocks; its r-th slot takes its r-th
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,7 @@ SLOTS_PER_SOURCE = 256
 MAX_BLOCK = 1024
 POINT_BITS = 53
 SPACES = r"[^\x20\x09-\x0D]+"
+WORD = re.compile(SPACES)
 
 
 def word_count(text: Column) -> Column:
@@ -65,7 +70,7 @@ def shuffled(docs: DataFrame, seed: int) -> DataFrame:
     bits = chunks.bit_length() - 1
     hashed = docs.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))) \
                  .withColumn("_chunk", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
-    order = [F.col("_h").bitwiseXOR(F.lit(-1 << 63)), F.col("doc_id"), F.col("size")]
+    order = [F.col("_h").bitwiseXOR(F.lit(-1 << 63)), F.col("doc_id"), F.col("size"), F.col("text_hash")]
     starts = running(hashed, ["source"], "_chunk", order, F.col("size"), "start")
     return starts.drop("_h", "_chunk")
 
@@ -103,20 +108,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         block: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(documents with size, target and number; pieces of the mix).
 
-    Documents: ``doc_id, source, size, source_size, target, place, start``. Pieces, one per document, block and pass that
+    Documents: ``doc_id, source, size, text_hash, source_size, target, place, start``. Pieces, one per document, block and pass that
     overlap: ``slot, place, start, pass, from_word, words``: ``words`` words of the document that starts at ``start``
     in source number ``place``, from its word ``from_word``. The last slot of a source is cut at ``repeats`` times
     its size. A null or empty text has size 0 and no pieces; a null source is a source of its own, last in order; equal
     rows are documents of their own, told apart by ``start``; an empty table gives two empty ones.
     """
     count = word_count(F.col(f"`{text}`")) if size is None else size
-    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), count.alias("size"))
+    plain = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), count.alias("size"),
+                        F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
     plain = written(plain, "sizes")
     sums = plain.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sums, weights, share_percent, repeats), "targets")
     keyed = goals.withColumnRenamed("source", "_source")
     placed = written(shuffled(plain, seed).join(keyed, F.col("source").eqNullSafe(F.col("_source")))
-                     .select("doc_id", "source", "size", "source_size", "target", "place", "start", "cap"), "placed")
+                     .select("doc_id", "source", "size", "text_hash", "source_size", "target", "place", "start", "cap"), "placed")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     if block is None:
         block = int(min(MAX_BLOCK, max(1, total / (SLOTS_PER_SOURCE * max(goals.count(), 1)))))
@@ -143,3 +149,36 @@ def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
     # of documents with one start all but one have no words
     words = placed.join(sums, ["place", "start"], "left")
     return words.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long")).drop("_taken")
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    last = next(itertools.islice(WORD.finditer(text), n - 1, None))
+    return text[:last.end()]
+
+
+def mixed_documents(docs: DataFrame, placed: DataFrame, pieces: DataFrame, doc_id: str = "doc_id", source: str = "source",
+                    text: str = "text") -> DataFrame:
+    """The documents of a mix as often as it takes them, with the columns of ``docs``; ``text`` ends behind the last word taken.
+
+    What a pass takes of a document is its beginning. A document of which nothing is taken, or without a word, is left out.
+    """
+    takes = pieces.groupBy("place", "start", "pass").agg(F.sum("words").alias("_words"))
+    keyed = placed.filter("size > 0").join(takes, ["place", "start"]).select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "size", F.col("_words"))
+    # rows equal in id, source and text are one row here and bring their takes together
+    each = written(keyed.groupBy("_d", "_s", "_h", "size").agg(F.collect_list("_words").alias("_takes")), "takes")
+    own = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([doc_id, source, "_hash"])
+    on = (F.col(f"`{doc_id}`").eqNullSafe(F.col("_d")) & F.col(f"`{source}`").eqNullSafe(F.col("_s"))
+          & F.col("_hash").eqNullSafe(F.col("_h")))
+    taken = own.join(each, on).withColumn("_take", F.explode("_takes"))
+    columns, at = docs.columns, docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            own = list(batch.columns)
+            size, take = own.pop().to_pylist(), own.pop().to_pylist()
+            own[at] = pa.array([t if n == m else first_words(t, m) for t, n, m in zip(own[at].to_pylist(), size, take)], own[at].type)
+            yield pa.RecordBatch.from_arrays(own, names=columns)
+
+    return taken.select(*[F.col(f"`{c}`") for c in columns], "_take", "size").mapInArrow(run, docs.schema)
