@@ -56,6 +56,13 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str,
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], like: DataFrame) -> DataFrame:
+    """``fn`` over Arrow batches; the result has the columns of ``like``, of any names. Inside they are c0, c1, ..."""
+    inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = like.toDF(*[f"c{i}" for i in range(len(like.columns))]).schema
+    return inner.mapInArrow(fn, schema).toDF(*like.columns)
+
+
 def packed(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 

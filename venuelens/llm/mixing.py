@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelens.llm.common import chunks_for, narrow, running, written
+from venuelens.llm.common import chunks_for, map_batches, running, written
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -165,20 +165,20 @@ def mixed_documents(docs: DataFrame, placed: DataFrame, pieces: DataFrame, doc_i
     """
     takes = pieces.groupBy("place", "start", "pass").agg(F.sum("words").alias("_words"))
     keyed = placed.filter("size > 0").join(takes, ["place", "start"]).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "size", F.col("_words"))
+        F.col("doc_id").alias("__mix_d"), F.col("source").alias("__mix_s"), F.col("text_hash").alias("__mix_h"), F.col("size").alias("__mix_size"), F.col("_words"))
     # rows equal in id, source and text are one row here and bring their takes together
-    each = written(keyed.groupBy("_d", "_s", "_h", "size").agg(F.collect_list("_words").alias("_takes")), "takes")
-    own = docs.withColumn("_hash", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([doc_id, source, "_hash"])
-    on = (F.col(f"`{doc_id}`").eqNullSafe(F.col("_d")) & F.col(f"`{source}`").eqNullSafe(F.col("_s"))
-          & F.col("_hash").eqNullSafe(F.col("_h")))
-    taken = own.join(each, on).withColumn("_take", F.explode("_takes"))
-    columns, at = docs.columns, docs.columns.index(text)
+    each = written(keyed.groupBy("__mix_d", "__mix_s", "__mix_h", "__mix_size").agg(F.collect_list("_words").alias("__mix_takes")), "takes")
+    own = docs.withColumn("__mix_hash", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([doc_id, source, "__mix_hash"])
+    on = (F.col(f"`{doc_id}`").eqNullSafe(F.col("__mix_d")) & F.col(f"`{source}`").eqNullSafe(F.col("__mix_s"))
+          & F.col("__mix_hash").eqNullSafe(F.col("__mix_h")))
+    taken = own.join(each, on).withColumn("__mix_take", F.explode("__mix_takes"))
+    at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             own = list(batch.columns)
             size, take = own.pop().to_pylist(), own.pop().to_pylist()
             own[at] = pa.array([t if n == m else first_words(t, m) for t, n, m in zip(own[at].to_pylist(), size, take)], own[at].type)
-            yield pa.RecordBatch.from_arrays(own, names=columns)
+            yield pa.RecordBatch.from_arrays(own, names=batch.schema.names[:-2])
 
-    return taken.select(*[F.col(f"`{c}`") for c in columns], "_take", "size").mapInArrow(run, docs.schema)
+    return map_batches(taken.select(*[own[f"`{c}`"] for c in docs.columns], "__mix_take", "__mix_size"), run, docs)

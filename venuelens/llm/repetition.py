@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from venuelens.llm.common import map_rows, narrow
+from venuelens.llm.common import map_batches, map_rows, narrow
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -163,7 +163,7 @@ def kept_documents(docs: DataFrame, text: str = "text", window: int = WINDOW, mi
                     for m in measure(enumerate(values), window)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
