@@ -125,10 +125,10 @@ def test_running_rollup(spark, tmp_path):
     df.filter("review_id < 12").write.parquet(src)
     run = lambda: I.rollup_stream(I.file_stream(spark, src, SENTIMENT_REVIEWS), out, state)
     run()
-    assert spark.read.parquet(out).agg(F.sum("n_reviews_scored")).first()[0] == 12
+    assert I.latest_version(spark, out).agg(F.sum("n_reviews_scored")).first()[0] == 12
     df.filter("review_id >= 12").write.mode("append").parquet(src)
     run()
-    got = {r["locationId"]: r for r in spark.read.parquet(out).collect()}
+    got = {r["locationId"]: r for r in I.latest_version(spark, out).collect()}
     pdf = df.toPandas()
     for k, g in pdf.groupby("locationId"):
         assert got[k]["n_reviews_scored"] == len(g) and np.isclose(got[k]["sent_std"], g["sent_stars_expected"].std())

@@ -136,5 +136,5 @@ EXPORT_COLUMNS = [
 ]
 
 # Own definition: terms of the small sentiment scorer used where no model is plugged in.
-POSITIVE_TERMS = ["good", "great", "the", "bon", "excellent", "bien", "gut", "buen"]
-NEGATIVE_TERMS = ["bad", "and", "mauvais", "mal", "schlecht", "malo", "horrible", "of"]
+POSITIVE_TERMS = ["good", "great", "excellent", "delicious", "bon", "bien", "gut", "lecker", "buen", "bueno"]
+NEGATIVE_TERMS = ["bad", "worthless", "pathetic", "trash", "idiot", "moron", "mauvais", "mal", "schlecht", "malo", "horrible"]

@@ -33,8 +33,9 @@ def value_bounds(df: DataFrame, value: str, rows_per_bucket: int | None = None)
 def bucket_of(df: DataFrame, value: str, bounds: list[float], out: str) -> DataFrame:
     """Ordered bucket number of the value; equal values share a bucket."""
     cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_cut", outputCol=out, handleInvalid="keep")
-    return cut.transform(df.withColumn("_cut", F.col(value).cast("double"))).drop("_cut") \
-              .withColumn(out, F.col(out).cast("int"))
+    placed = cut.transform(df.withColumn("_cut", F.col(value).cast("double"))).drop("_cut")
+    # NULL sorts first, so its rows have the bucket before all others; NaN is kept in the last one
+    return placed.withColumn(out, F.when(F.col(value).isNull(), -1).otherwise(F.col(out).cast("int")))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], weight: str | Column, out: str,
@@ -44,20 +45,23 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], weight: s
     ``bucket`` is a column that is monotonic in the order, or with ``bounds`` the numeric column to
     cut at them. The sum runs inside each (key, bucket) and the totals of the earlier buckets are
     added, so no task needs a whole key. Empty ``bounds`` mean a table small enough for one window.
-    Keys must not be NULL.
+    A NULL key is a key, and rows whose order value is NULL come first, in either way.
     """
     weight = F.col(weight) if isinstance(weight, str) else weight
     if bucket is None or bounds == []:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(weight).over(whole))
-    placed = df.withColumn("_b", bucket) if bounds is None else bucket_of(df, bucket, bounds, "_b")
-    part = [*keys, "_b"]
+    placed = (df.withColumn("_b", F.coalesce(F.col(bucket) if isinstance(bucket, str) else bucket, F.lit(-1))) if bounds is None
+              else bucket_of(df, bucket, bounds, "_b"))
+    # a struct is never NULL itself, and its NULL fields are equal
+    placed = placed.withColumn("_part", F.struct(*keys, "_b"))
+    part = ["_part"]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._b").rowsBetween(W.unboundedPreceding, -1)
     offsets = (placed.groupBy(*part).agg(F.sum(weight).alias("_t"))
                .withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t"))
     return (placed.withColumn(out, F.sum(weight).over(inside)).join(offsets, part)
-            .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_b"))
+            .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_b", "_part"))
 
 
 def value_counts(df: DataFrame, cols: list[str], n: str = "n") -> DataFrame:
@@ -89,9 +93,10 @@ def global_row_number(df: DataFrame, order: str, out: str = "row_no", rows_per_b
     return running_total(df, [], [F.col(order)], F.lit(1), out, order, value_bounds(df, order, rows_per_bucket))
 
 
-def assign_chunks(df: DataFrame, order: str, chunks: int, out: str = "chunk_id") -> DataFrame:
+def assign_chunks(df: DataFrame, order: str, chunks: int, out: str = "chunk_id",
+                  rows_per_bucket: int | None = None) -> DataFrame:
     """Round-robin chunk of every row in id order."""
-    return global_row_number(df, order, "_rn").withColumn(
+    return global_row_number(df, order, "_rn", rows_per_bucket).withColumn(
         out, F.pmod(F.col("_rn") - 1, F.lit(chunks)).cast("int")).drop("_rn")
 
 

@@ -77,7 +77,7 @@ def drop_matching(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def available_filters(venues: DataFrame, items: DataFrame, top: int = 30) -> DataFrame:
     """One row of choices for the filter widgets.
 
-    Labels are split without trimming here. Districts and price levels are code lists.
+    Labels are split without trimming here. Districts (in number order) and price levels are code lists.
     """
     from venuelens.functions.scalars import split_labels
     from venuelens.operators.quantiles import grouped_stats
@@ -88,7 +88,8 @@ def available_filters(venues: DataFrame, items: DataFrame, top: int = 30) -> Dat
     top_labels = labels.agg(F.array_join(F.transform(ordered, lambda s: s["label"]), "|").alias("t")).scalar()
     prices = grouped_stats(items, [], [], {"price_min": ("item_price", 0.01), "price_max": ("item_price", 0.99)})
     ranges = venues.agg(
-        F.array_join(F.sort_array(F.collect_set("arrondissement")), "|").alias("arrondissements"),
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.col("arrondissement").cast("int"))),
+                                 lambda d: d.cast("string")), "|").alias("arrondissements"),
         F.array_join(F.sort_array(F.collect_set("priceLevel")), "|").alias("price_levels"),
         F.min("rating").alias("rating_min"), F.max("rating").alias("rating_max"),
         F.max("reviewCount").alias("review_count_max"), F.max("nb_restos_500m").alias("concurrence_max"))

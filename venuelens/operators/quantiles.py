@@ -23,7 +23,7 @@ def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column], quantiles:
     """``groupBy(keys).agg(aggs)`` plus exact quantiles ``{name: (numeric column, q)}``.
 
     The rows per group are counted first. If every group is small, one aggregate does it all. Otherwise
-    see ``_bracketed``. Keys must not be NULL; without keys the whole table is one group.
+    see ``_bracketed``. A NULL key is a group; without keys the whole table is one group.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
     largest = sizes.agg(F.max("_rows")).first()[0] or 0
@@ -34,7 +34,10 @@ def grouped_stats(df: DataFrame, keys: list[str], aggs: list[Column], quantiles:
         picked = [F.col(f"_p_{c}")[shares[c].index(q)].alias(name) for name, (c, q) in quantiles.items()]
         out = df.groupBy(*keys).agg(*aggs, *exact)
         return out.select(*[c for c in out.columns if not c.startswith("_p_")], *picked)
-    return _bracketed(df, keys, aggs, quantiles, accuracy)
+    # a struct is never NULL itself, and its NULL fields are equal
+    key = F.struct(*keys) if keys else F.lit(1)
+    out = _bracketed(df.withColumn("_key", key), ["_key"], aggs, quantiles, accuracy)
+    return out.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[c for c in out.columns if c != "_key"])
 
 
 def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: dict[str, tuple[str, float]],
@@ -44,14 +47,12 @@ def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: di
     Pass 1 computes the plain aggregates and, by mergeable sketches, two values that bracket each
     wanted rank; its one row per group is materialised. Pass 2 counts what lies below each bracket,
     and keeps only the distinct values inside, about 6/accuracy of a group, from which the linear
-    interpolation is taken exactly. Groups of at most 2·accuracy rows are bracketed as a whole. A rank
-    outside its bracket raises an error instead of giving a wrong value. The brackets of few groups are
-    broadcast, so that the rows stay where they are.
+    interpolation is taken exactly. Groups of at most 2·accuracy rows are bracketed as a whole. If a rank
+    lies outside its bracket, all is done again with brackets ten times as wide, at last with whole
+    groups. The brackets of few groups are broadcast, so that the rows stay where they are.
     """
-    ungrouped = not keys
-    if ungrouped:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
-    margin = 3.0 / accuracy
+    margin = 3.0 / max(accuracy, 1)
+    accuracy = max(accuracy, 1)
     columns = sorted({c for c, _ in quantiles.values()})
     brackets = [F.count("*").alias("_rows")]
     edges: dict[tuple[str, float], int] = {}
@@ -100,9 +101,10 @@ def _bracketed(df: DataFrame, keys: list[str], aggs: list[Column], quantiles: di
         F.min(F.when(cum >= F.floor("_pos") + 1, F.col("_v"))).alias("_a"),
         F.min(F.when(cum >= F.ceil("_pos") + 1, F.col("_v"))).alias("_b"))
     sound = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_below") <= F.floor("_pos"))
-    value = F.when(sound, F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))) \
-             .otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+    picked = cut_lineage(picked.withColumn("_sound", sound))
+    if not picked.filter(~F.col("_sound")).isEmpty():
+        return _bracketed(df, keys, aggs, quantiles, accuracy // 10)
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
     wide = picked.withColumn("_val", value).groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == i, F.col("_val"))).alias(n) for i, n in enumerate(quantiles)])
-    out = first.drop(*helper_columns).join(wide, keys, "left")
-    return out.drop("_all") if ungrouped else out
+    return first.drop(*helper_columns).join(wide, keys, "left")

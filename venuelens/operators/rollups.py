@@ -251,12 +251,15 @@ def label_pairs(df: DataFrame, labels: str = "cuisine_list") -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, exact quartiles, extremes and interquartile range per column."""
-    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in columns])
-    long = df.select(F.explode(cells).alias("c")).select("c.*").filter(F.col("x").isNotNull())
-    out = grouped_stats(long, ["variable"], [
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max")],
-        {"q25": ("x", 0.25), "q50": ("x", 0.5), "q75": ("x", 0.75)})
+    x = {f"_c{i}": F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)}
+    made = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    wide = grouped_stats(df.select(*x.values()), [], [f(c).alias(f"{name}{c}") for c in x for name, f in made.items()],
+                         {f"{name}{c}": (c, q) for c in x for name, q in shares.items()})
+    # one row holds all figures; it is turned into a row per column
+    cells = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{name}_c{i}").alias(name) for name in (*made, *shares)])
+             for i, c in enumerate(columns)]
+    out = wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter(F.col("count") > 0)
     return out.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 

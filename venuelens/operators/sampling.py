@@ -15,14 +15,14 @@ TOP_ROWS = 10_000
 
 
 def draw_order(key: str, seed: int = 42) -> Column:
-    """A uniform pseudo-random text that depends only on the key and the seed."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """A uniform pseudo-random text that depends only on the key and the seed; a NULL key counts as one more key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
 
 
-def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows; the same rows on every run. A large sample is cut by rank, away from the driver."""
+def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42, top_rows: int = TOP_ROWS) -> DataFrame:
+    """n rows; the same rows on every run, for any n. A large sample is cut by rank, away from the driver."""
     drawn = df.withColumn("_d", draw_order(key, seed))
-    if n <= TOP_ROWS:
+    if n <= top_rows:
         return drawn.orderBy("_d").limit(n).drop("_d")
     return _draw_rank(drawn, [], "_r").filter(F.col("_r") <= n).drop("_r", "_d")
 

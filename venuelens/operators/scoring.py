@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,11 +13,12 @@ from pyspark.sql import functions as F
 from venuelens import lexicons as L
 from venuelens.operators.predicates import with_route
 from venuelens.operators.rollups import with_irony, with_sentiment
+from venuelens.session import scratch_path
 
 # A scorer maps whole texts to an (n, 5) array of star probabilities.
 Scorer = Callable[[list[str]], np.ndarray]
 RAW_SCHEMA = ("review_id long, locationId long, rating double, language string, p_1star double, "
-              "p_2star double, p_3star double, p_4star double, p_5star double")
+              "p_2star double, p_3star double, p_4star double, p_5star double, error string")
 COLUMNS = ["review_id", "locationId", "rating", "language", "sent_stars_expected", "sent_class", "sent_confidence",
            "p_1star", "p_2star", "p_3star", "p_4star", "p_5star", "is_ironic", "sent_stars_corrected",
            "sent_class_corrected"]
@@ -44,7 +44,7 @@ def _score_batches(batches: Iterator[pd.DataFrame], factories: dict[str, Callabl
                    batch_size: int) -> Iterator[pd.DataFrame]:
     """Score each Arrow batch per route; models are built once per task, on first use.
 
-    A batch whose scorer fails is left out, so the next incremental run picks its reviews again.
+    A batch whose scorer fails is scored text by text; a text that fails again has no probabilities but an error.
     """
     built: dict[str, Scorer] = {}
     for pdf in batches:
@@ -53,20 +53,27 @@ def _score_batches(batches: Iterator[pd.DataFrame], factories: dict[str, Callabl
                 built[route] = factories[route]()
             for start in range(0, len(rows), batch_size):
                 part = rows.iloc[start:start + batch_size]
-                try:
-                    probs = np.asarray(built[route](part["text"].astype(str).tolist()), dtype=float)
-                except Exception as e:  # noqa: BLE001
-                    logging.getLogger(__name__).warning("scorer failed on %d reviews: %s", len(part), e)
-                    continue
+                probs, errors = _probabilities(built[route], part["text"].astype(str).tolist())
                 out = part[["review_id", "locationId", "rating", "language"]].copy()
                 for k in range(5):
                     out[f"p_{k + 1}star"] = probs[:, k]
+                out["error"] = errors
                 yield out
 
 
-def score_reviews(reviews: DataFrame, primary: Callable[[], Scorer] = lexicon_scorer,
+def _probabilities(scorer: Scorer, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
+    try:
+        return np.asarray(scorer(texts), dtype=float).reshape(len(texts), 5), [None] * len(texts)
+    except Exception as e:  # noqa: BLE001
+        if len(texts) == 1:
+            return np.full((1, 5), np.nan), [f"{type(e).__name__}: {e}"]
+    single = [_probabilities(scorer, [t]) for t in texts]
+    return np.concatenate([p for p, _ in single]), [e for _, es in single for e in es]
+
+
+def raw_scores(reviews: DataFrame, primary: Callable[[], Scorer] = lexicon_scorer,
                   fallback: Callable[[], Scorer] | None = None, batch_size: int = 32) -> DataFrame:
-    """The 15 columns of scored reviews.
+    """Star probabilities, or an error, of every review.
 
     With a fallback, reviews in other languages go to it. Only the model call runs in Python; score,
     class, confidence and irony are native expressions on its output.
@@ -78,5 +85,26 @@ def score_reviews(reviews: DataFrame, primary: Callable[[], Scorer] = lexicon_sc
             df = df.withColumn(name, F.lit(None).cast(kind))
     df = df.select(F.col("review_id").cast("long"), F.col("locationId").cast("long"), F.col("rating").cast("double"),
                    "language", "text", "route")
-    raw = df.mapInPandas(lambda it: _score_batches(it, factories, batch_size), RAW_SCHEMA)
-    return with_irony(with_sentiment(raw)).select(*COLUMNS)
+    return df.mapInPandas(lambda it: _score_batches(it, factories, batch_size), RAW_SCHEMA)
+
+
+def scored_columns(raw: DataFrame) -> DataFrame:
+    return with_irony(with_sentiment(raw.filter("error IS NULL"))).select(*COLUMNS)
+
+
+def score_reviews(reviews: DataFrame, primary: Callable[[], Scorer] = lexicon_scorer,
+                  fallback: Callable[[], Scorer] | None = None, batch_size: int = 32) -> DataFrame:
+    """The 15 columns of the reviews that could be scored."""
+    return scored_columns(raw_scores(reviews, primary, fallback, batch_size))
+
+
+def scored_and_failed(reviews: DataFrame, primary: Callable[[], Scorer] = lexicon_scorer,
+                      fallback: Callable[[], Scorer] | None = None, path: str | None = None,
+                      batch_size: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Scored reviews, and (review_id, error) of the others. The model runs once: its output is stored at ``path``."""
+    spark = reviews.sparkSession
+    path = path or scratch_path(spark, "raw-scores")
+    raw = raw_scores(reviews, primary, fallback, batch_size)
+    raw.write.mode("overwrite").parquet(path)
+    stored = spark.read.schema(raw.schema).parquet(path)
+    return scored_columns(stored), stored.filter("error IS NOT NULL").select("review_id", "error")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from venuelens import lexicons as L
 from venuelens.functions import scalars as S
 from venuelens.operators.rollups import with_irony, with_sentiment
-from venuelens.sources.tables import read_table, spread_small_input
+from venuelens.sources.tables import read_table, spread_input
 
 MENU_TITLES = ["Boissons", "Nos desserts", "Les entrées", "Plat principal", "Menu Dégustation", "Garniture", "",
                "Carte", "Divers", "Soir", "Midi", "Cocktails & bieres"]
@@ -37,7 +37,7 @@ def _sql_list(values: list[str]) -> str:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for text work: spread over the cores if they are stored in few splits."""
-    return spread_small_input(table(spark, sf, "documents"), f"{sf}/documents.parquet", "doc_id")
+    return spread_input(table(spark, sf, "documents"), spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def reviews(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
@@ -181,7 +181,7 @@ def _price_text_sql(shift: int) -> str:
 def parsed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Menu items as they come out of the documents: with every price text."""
     k = F.col("p_partkey")
-    return spread_small_input(table(spark, sf, "part"), f"{sf}/part.parquet", "p_partkey").select(
+    return spread_input(table(spark, sf, "part"), spark.sparkContext.defaultParallelism, "p_partkey").select(
         F.substring("p_brand", 7, 9).cast("long").alias("locationId"), _pick(MENU_TITLES, k * 5).alias("menu_title"),
         F.when(k % 9 == 0, None).otherwise(F.col("p_type")).alias("section_title"),
         F.when(k % 53 == 0, "").otherwise(F.concat(_pick(DISHES, k * 7), F.lit(" "), F.col("p_name"))).alias("item_title"),

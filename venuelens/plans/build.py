@@ -6,6 +6,7 @@ is kept when ``skip_if_exists`` is set, so an interrupted build goes on where it
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from venuelens.operators import menu as M
 from venuelens.operators import predicates as P
 from venuelens.operators import rollups as R
 from venuelens.operators import sampling, spatial
-from venuelens.operators.scoring import Scorer, lexicon_scorer, score_reviews
+from venuelens.operators.ordering import assign_chunks
+from venuelens.operators.scoring import Scorer, lexicon_scorer, scored_and_failed
 from venuelens.sources import documents as D
 from venuelens.sources import sinks, tables
 
@@ -60,27 +62,39 @@ def build_reviews(spark: SparkSession, raw: str, out: str, min_text_length: int
 
 
 def build_sentiment(spark: SparkSession, reviews: DataFrame, out: str, primary: Callable[[], Scorer] = lexicon_scorer,
-                    fallback: Callable[[], Scorer] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Score the reviews that no shard holds yet as a new shard, then merge and roll up all shards."""
+                    fallback: Callable[[], Scorer] | None = None, chunk: tuple[int, int] | None = None,
+                    parts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Score the reviews that no shard holds yet as new shards, then merge and roll up all shards.
+
+    ``chunk`` (i, n) takes the i-th of n chunks in id order; ``parts`` shards are stored one after the other. Reviews
+    whose scorer fails go to a table of failed reviews with the error; as no shard holds them, the next run tries again.
+    """
     glob = f"{out}/sentiment_reviews*"
     todo = P.long_enough(reviews)
     if fallback is None:
         todo = P.supported_languages(todo)
-    shard_no = 0
+    shard_no = _next_shard(spark, out)
     if tables.path_exists(spark, glob):
         done = tables.read_shards(spark, glob, schemas.SENTIMENT_REVIEWS)
         todo = P.drop_matching(todo, done.select("review_id").distinct(), "review_id")
-        shard_no = _next_shard(spark, out)
-    sinks.write_table(score_reviews(todo, primary, fallback), f"{out}/sentiment_reviews_part{shard_no:05d}")
+    if chunk is not None:
+        todo = assign_chunks(todo, "review_id", chunk[1]).filter(F.col("chunk_id") == chunk[0]).drop("chunk_id")
+    # Each part is stored before the next is scored: a failed job loses one part at most.
+    for part in range(parts):
+        own = todo if parts == 1 else todo.filter(F.pmod(F.xxhash64("review_id"), F.lit(parts)) == part)
+        scored, failed = scored_and_failed(own, primary, fallback, f"{out}/raw_scores_part{shard_no + part:05d}")
+        scored.write.mode("errorifexists").parquet(f"{out}/sentiment_reviews_part{shard_no + part:05d}")
+        failed.write.mode("errorifexists").parquet(f"{out}/failed_reviews_part{shard_no + part:05d}")
     merged = J.keep_one(tables.read_shards(spark, glob, schemas.SENTIMENT_REVIEWS), "review_id", F.asc("shard")).drop("shard")
+    merged = _publish(spark, merged, f"{out}/merged_reviews", False)
     rollup = _publish(spark, R.sentiment_rollup(merged), f"{out}/sentiment_restaurant_v2", False)
     return merged, rollup
 
 
 def _next_shard(spark: SparkSession, out: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{out}/sentiment_reviews*")
-    return len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+    """One more than the largest number in use; shards that were merged away leave gaps."""
+    used = [re.search(r"_part(\d+)$", p) for p in tables.list_paths(spark, f"{out}/*_part*")]
+    return max((int(m[1]) + 1 for m in used if m), default=0)
 
 
 def load_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
@@ -88,7 +102,9 @@ def load_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     venues = tables.with_derived(tables.read_table(spark, f"{out}/restaurants_enriched"))
     items = tables.read_table(spark, f"{out}/menu_items")
     glob = f"{out}/sentiment_reviews*"
-    if tables.path_exists(spark, glob):
+    if tables.path_exists(spark, f"{out}/merged_reviews"):
+        scored = tables.read_table(spark, f"{out}/merged_reviews")
+    elif tables.path_exists(spark, glob):
         scored = J.keep_one(tables.read_shards(spark, glob, schemas.SENTIMENT_REVIEWS), "review_id", F.asc("shard")).drop("shard")
     else:
         scored = spark.createDataFrame([], schemas.SENTIMENT_REVIEWS)

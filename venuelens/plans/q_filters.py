@@ -94,15 +94,14 @@ def _(spark, sf):
 
 
 @query("b14_available_filters", f"""WITH {V}, {IT}, tops AS (SELECT label, count(*) AS n FROM labels_of GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)
-  SELECT string_agg(DISTINCT CAST(arrondissement AS VARCHAR), '|' ORDER BY CAST(arrondissement AS VARCHAR)) AS arrondissements,
+  SELECT array_to_string(list_transform(list_sort(list(DISTINCT arrondissement) FILTER (arrondissement IS NOT NULL)), lambda x: CAST(x AS VARCHAR)), '|') AS arrondissements,
   string_agg(DISTINCT "priceLevel", '|' ORDER BY "priceLevel") AS price_levels, min(rating) AS rating_min, max(rating) AS rating_max,
   max("reviewCount") AS review_count_max, max(nb_restos_500m) AS concurrence_max,
   (SELECT string_agg(label, '|' ORDER BY n DESC, label) FROM tops) AS top_cuisines,
   (SELECT quantile_cont(item_price, 0.01) FROM items) AS price_min, (SELECT quantile_cont(item_price, 0.99) FROM items) AS price_max
   FROM venues""", doubles="rating_min rating_max concurrence_max price_min price_max")
 def _(spark, sf):
-    v = B.venues(spark, sf).withColumn("arrondissement", F.col("arrondissement").cast("string"))
-    return P.available_filters(v, B.items(spark, sf))
+    return P.available_filters(B.venues(spark, sf), B.items(spark, sf))
 
 
 @query("b15_flagged_detail", f"""WITH {SC} SELECT review_id, "locationId", title, strftime("publishedDate", '%Y-%m-%d') AS published,

@@ -110,10 +110,15 @@ def _(spark, sf):
 
 
 def write_shards(spark, sf, name):
-    """Three overlapping shards of scored reviews in the shared folder."""
+    """Three overlapping shards of scored reviews in the shared folder.
+
+    A copy in a later shard has another rating, so that it matters which copy is kept.
+    """
     base = scratch_path(spark, name)
     s = B.scored(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in SENTIMENT_REVIEWS.fields])
     for i, part in enumerate([s.filter("review_id % 3 = 0"), s.filter("review_id % 3 <> 2"), s.filter("review_id % 3 <> 0")]):
+        # review i lies in shard i % 3 first
+        part = part.withColumn("rating", F.when(F.col("review_id") % 3 == i, F.col("rating")).otherwise(F.lit(99.0)))
         part.write.parquet(f"{base}/sentiment_reviews_part{i}")
     return base
 
@@ -138,7 +143,8 @@ def _(spark, sf):
     path = scratch_path(spark, "artifact")
     B.table(spark, sf, "orders", ["o_orderpriority", "o_totalprice"]).groupBy(F.col("o_orderpriority").alias("name")) \
         .agg(F.avg("o_totalprice").alias("value")).write.json(path)
-    return spark.read.schema("name string, value double").json(path)
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
+    return tables.read_json_artifact(spark, path, schema, lines=True)
 
 
 @query("a10_table_sink", f"""WITH {B.VENUES_SQL} SELECT "locationId", name, rating FROM venues""", doubles="rating")
@@ -156,7 +162,7 @@ def _(spark, sf):
     path = scratch_path(spark, "csv")
     v = B.venues(spark, sf)
     sinks.write_csv(v, path)
-    return spark.read.schema(sinks.export_columns(v).schema).option("header", "true").csv(path)
+    return spark.read.schema(sinks.export_columns(v).schema).option("header", "true").option("escape", '"').csv(path)
 
 
 DISC = ["name", "rating", "sent_mean", "discordance", "pct_negative", "pct_positive", "n_reviews_scored"]
@@ -166,7 +172,10 @@ DISC = ["name", "rating", "sent_mean", "discordance", "pct_negative", "pct_posit
   round(discordance,3) AS discordance, round(pct_negative,3) AS pct_negative, round(pct_positive,3) AS pct_positive, n_reviews_scored
   FROM merged WHERE n_reviews_scored >= 2 AND discordance IS NOT NULL""", doubles="rating sent_mean discordance pct_negative pct_positive")
 def _(spark, sf):
-    return sinks.discordance_export(B.venue_sentiment(spark, sf), DISC, min_reviews=2)
+    path = scratch_path(spark, "discordance")
+    export = sinks.discordance_export(B.venue_sentiment(spark, sf), DISC, min_reviews=2)
+    sinks.write_csv(export, path, DISC)
+    return spark.read.schema(export.schema).option("header", "true").option("escape", '"').csv(path)
 
 
 @query("a13_preview", f"""WITH {B.VENUES_SQL} SELECT "locationId" AS "ID", name AS "Nom", rating AS "Note" FROM venues
@@ -176,11 +185,9 @@ def _(spark, sf):
                          {"locationId": "ID", "name": "Nom", "rating": "Note"})
 
 
-@query("a14_shard_counts", f"""WITH {B.SCORED_SQL} SELECT 'part' || CAST(i AS VARCHAR) AS shard, n FROM (
+@query("a14_shard_counts", f"""WITH {B.SCORED_SQL} SELECT 'sentiment_reviews_part' || CAST(i AS VARCHAR) AS shard, n FROM (
   SELECT 0 AS i, count(*) AS n FROM scored WHERE review_id % 3 = 0 UNION ALL SELECT 1, count(*) FROM scored WHERE review_id % 3 <> 2
   UNION ALL SELECT 2, count(*) FROM scored WHERE review_id % 3 <> 0)""")
 def _(spark, sf):
     base = write_shards(spark, sf, "counted")
-    rows = spark.read.schema(SENTIMENT_REVIEWS).parquet(base + "/sentiment_reviews*").select(
-        F.regexp_extract("_metadata.file_path", r"sentiment_reviews_(part\d+)", 1).alias("shard"))
-    return tables.shard_counts(rows)
+    return tables.shard_counts(tables.read_shards(spark, base + "/sentiment_reviews*", SENTIMENT_REVIEWS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,17 +25,30 @@ def build_session(app: str = "venuelens", master: str | None = None, **conf: str
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, so that a job started from any folder finds it there."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    made = tempfile.mkdtemp(prefix="venuelens-package-")
+    # a local file of the driver, which Spark serves to the executors
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{made}/venuelens", "zip", os.path.dirname(home), os.path.basename(home)))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (unit tests on one machine) a local folder is made.
+    Only on a local master (tests on one machine) a local folder is made where the setting is absent; on a
+    cluster that is an error, as executors do not share the driver's disk.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="venuelens-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

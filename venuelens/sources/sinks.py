@@ -19,7 +19,7 @@ def export_columns(df: DataFrame, allowed: list[str] = EXPORT_COLUMNS) -> DataFr
 
 def write_csv(df: DataFrame, path: str, allowed: list[str] = EXPORT_COLUMNS) -> None:
     """Allowed columns as UTF-8 CSV part files with a header each."""
-    export_columns(df, allowed).write.mode("overwrite").option("header", "true").csv(path)
+    export_columns(df, allowed).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def discordance_export(df: DataFrame, columns: list[str], order: str = "discordance", tie: str = "locationId",

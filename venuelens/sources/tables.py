@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from venuelens.functions.scalars import nan_to_null
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
+#: A table of at least so many file splits (128 MB each by default) is never moved to be spread.
+SMALL_SPLITS = 16
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -33,25 +34,23 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df if where is None else df.filter(where)
 
 
-def spread_small_input(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Repartition a table that is stored in fewer full file splits than there are cores.
+def spread_input(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """Deal rows out over ``parts`` tasks by ``key``, for work that is heavy per row, such as reading long texts.
 
-    For work that is heavy per row, such as reading long texts. Moving so little data is cheap; a table
-    with at least one split per core is left as it is.
+    The caller decides by the size of the table: below ``SMALL_SPLITS`` file splits that is cheap and worth it.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+    return df.repartition(parts, key) if df.rdd.getNumPartitions() < min(parts, SMALL_SPLITS) else df
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence through the cluster's own file system API; globs are allowed."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def list_paths(spark: SparkSession, glob: str) -> list[str]:
+    """Paths behind a glob, in order, through the cluster's own file system API."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(list_paths(spark, path))
 
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -60,17 +59,30 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def read_shards(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """All shards behind a glob with their file name; unreadable files are skipped."""
+    """All shards behind a glob with the name of their folder; unreadable files are skipped, see ``unreadable_shards``."""
+    shard = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
     return normalise(spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(glob)
-                     .select("*", F.col("_metadata.file_name").alias("shard")))
+                     .select("*", shard.alias("shard")))
+
+
+def unreadable_shards(spark: SparkSession, glob: str, schema: T.StructType) -> list[str]:
+    """Folders behind a glob of which some file cannot be read whole: ``read_shards`` leaves rows of them out."""
+    bad = []
+    for folder in list_paths(spark, glob):
+        try:
+            spark.read.schema(schema).parquet(folder).write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001
+            bad.append(folder.rstrip("/").rpartition("/")[2])
+    return bad
 
 
 def shard_counts(shards: DataFrame) -> DataFrame:
     return shards.groupBy("shard").agg(F.count("*").alias("n"))
 
 
-def read_json_artifact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_json_artifact(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """One JSON document per file, or with ``lines`` one per line."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
 def with_derived(df: DataFrame) -> DataFrame:

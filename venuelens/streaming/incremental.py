@@ -13,7 +13,7 @@ from venuelens.operators.joins import keep_one
 from venuelens.operators.rollups import with_irony
 from venuelens.operators.scoring import score_reviews
 from venuelens.schemas import SENTIMENT_REVIEWS
-from venuelens.sources.tables import path_exists
+from venuelens.sources.tables import list_paths, path_exists
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -34,20 +34,44 @@ def _existing_ids(spark: SparkSession, sink: str, key: str, batch_id: int) -> Da
     return done.filter(F.col("batch_id") != batch_id).select(key)
 
 
+def _store(fresh: DataFrame, sink: str, key: str, batch_id: int, score: Step) -> None:
+    """Scores of a batch, and the input rows that got none."""
+    score(fresh).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+    stored = fresh.sparkSession.read.schema(SENTIMENT_REVIEWS).parquet(f"{sink}/batch_id={batch_id}")
+    left = fresh.join(stored.select(key), key, "left_anti")
+    left.write.mode("overwrite").parquet(f"{sink}_rejected/batch_id={batch_id}")
+
+
+def retry_rejected(spark: SparkSession, sink: str, key: str = "review_id", score: Step = score_reviews) -> None:
+    """Score what earlier runs rejected and no batch has scored since."""
+    if not path_exists(spark, f"{sink}_rejected/batch_id=*"):
+        return
+    rejected = spark.read.parquet(f"{sink}_rejected")
+    number = min(rejected.agg(F.min("batch_id")).first()[0] or 0, 0) - 1
+    done = _existing_ids(spark, sink, key, number)
+    fresh = keep_one(rejected, key, F.desc("batch_id")).drop("batch_id")
+    fresh = fresh.join(done, key, "left_anti") if done is not None else fresh
+    if not fresh.isEmpty():
+        _store(fresh, sink, key, number, score)
+
+
 def score_stream(reviews: DataFrame, sink: str, checkpoint: str, key: str = "review_id",
                  score: Step = score_reviews) -> None:
     """Score the reviews that are not in the sink yet, for all files available now.
 
     Each batch drops repeated ids, leaves out the ids of earlier batches, and replaces its own folder
-    when it is run again after a failure. No id is held as stream state.
+    when it is run again after a failure. No id is held as stream state. Reviews that come back without a
+    score are kept in ``{sink}_rejected`` and tried again, under a negative batch number, when the next run starts.
     """
+    retry_rejected(reviews.sparkSession, sink, key, score)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = keep_one(batch.filter(F.col(key).isNotNull()), key, F.xxhash64(*batch.columns).asc())
         done = _existing_ids(spark, sink, key, batch_id)
         if done is not None:
             fresh = fresh.join(done, key, "left_anti")
-        score(fresh).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        _store(fresh, sink, key, batch_id, score)
 
     q = (reviews.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -57,9 +81,10 @@ def score_stream(reviews: DataFrame, sink: str, checkpoint: str, key: str = "rev
 def rollup_stream(scored: DataFrame, out: str, checkpoint: str, key: str = "locationId") -> None:
     """Running sentiment per venue while shards arrive; medians are left to the batch rollup.
 
-    The state is one row of mergeable sums per venue. Every batch publishes the whole table.
+    A review that several files hold counts once: its id is kept as stream state, besides one row of mergeable sums
+    per venue. Every batch publishes the whole table as a new version; see ``latest_version``.
     """
-    df = with_irony(scored.filter(F.col(key).isNotNull()))
+    df = with_irony(scored.filter(F.col(key).isNotNull()).dropDuplicates(["review_id"]))
     totals = df.groupBy(key).agg(
         F.count("review_id").alias("n_reviews_scored"), F.avg("sent_stars_expected").alias("sent_mean"),
         F.stddev_samp("sent_stars_expected").alias("sent_std"),
@@ -67,9 +92,14 @@ def rollup_stream(scored: DataFrame, out: str, checkpoint: str, key: str = "loca
         S.share_pct(F.col("sent_class") >= 4, True).alias("pct_positive"),
         S.share_pct(F.col("is_ironic")).alias("pct_ironic"), F.avg("rating").alias("rating_mean_reviews"))
 
-    def publish(table: DataFrame, _batch_id: int) -> None:
-        table.write.mode("overwrite").parquet(out)
+    def publish(table: DataFrame, batch_id: int) -> None:
+        table.write.mode("overwrite").parquet(f"{out}/version={batch_id:09d}")
 
     q = (totals.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_version(spark: SparkSession, out: str) -> DataFrame:
+    """The newest complete version; readers of an older one are not disturbed."""
+    return spark.read.parquet(list_paths(spark, f"{out}/version=*/_SUCCESS")[-1].rpartition("/")[0])
