@@ -5,8 +5,10 @@ two points bound the overlap of their sets from above. Points lie in leaves of b
 leaf bound all its points at once. What a bound cannot rule out is verified on the sets.
 
 Which leaves can meet at all follows from prefixes: of two sets with a Jaccard of at least 0.8, ordered alike, the
-first fifths share a shingle. The order puts frequent shingles last, by a sketch of fixed size, so that passages many
-documents share bring no leaves together. Documents of one set are one node throughout.
+first fifths share a shingle, and prefixes longer by some shingles share that many. So a document that shares few of its
+prefix with any other, and leaves that share few with each other, are ruled out. The order puts frequent shingles
+last, by a sketch of fixed size, so that passages many documents share bring no leaves together. Documents of one
+set are one node throughout.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ SKETCH_BITS = 20
 SKETCH_ROW = 12
 GROUPS = 32
 LEAF_NODES = 64
+#: Prefixes are longer than needed by this part of the set, and partners share as many shingles more.
+EXTRA_PERCENT = 4
+PRUNINGS = 2
 LEAF_SHINGLES = 50_000
 
 
@@ -71,9 +76,23 @@ def sketch_ranks(facts: DataFrame) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts.ravel(), 1) / mean)), 0, 255).astype(np.uint8)
 
 
+def extra(n: int) -> int:
+    return max(1, -(-EXTRA_PERCENT * n // 100))
+
+
+def least_shared(n: str, percent: int):
+    """Prefix shingles that a set of ``n`` shares with any partner at least: ``extra`` of the smallest partner."""
+    smallest = F.ceil(F.lit(percent) * F.col(n) / 100)
+    return F.greatest(F.lit(1), F.ceil(F.lit(EXTRA_PERCENT) * smallest / 100))
+
+
 def prefix(own: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
-    """The shingles of which a partner must share one: all but ``percent`` of the set, rare ones first."""
-    n = len(own) - -(-percent * len(own) // 100) + 1
+    """The first shingles, rare ones first, of which a partner shares ``extra`` of the smaller of both sets.
+
+    Of two prefixes one ends first. All shingles of it that the other set holds lie in the other prefix, and
+    beyond it the set has too few shingles left to reach the overlap without ``extra`` of them.
+    """
+    n = len(own) - -(-percent * len(own) // 100) + extra(len(own))
     rank = ranks[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     return own[np.argsort(rank, kind="stable")[:n]]
 
@@ -91,13 +110,13 @@ def leaf_tables(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
 
     A crowded home is dealt out by a hash over as many leaves as it needs.
     """
-    known = nodes.join(sets.select("node", "n"), "node")
+    known = nodes.join(sets.select("node", "n").distinct(), "node")
     load = written(known.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / LEAF_NODES), F.ceil(F.sum("n") / LEAF_SHINGLES))
                                              .alias("_m")), "homes")
     placed = written(known.join(load, "home").select(
         "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_m"))).alias("leaf"), "root"), "placed")
     members = placed.join(sets, "node").groupBy("leaf").agg(
-        F.collect_list(F.struct("node", "root", "hashes")).alias("members"), F.min("n").alias("low_n"), F.max("n").alias("high_n"),
+        F.collect_set(F.struct("node", "root", "hashes")).alias("members"), F.min("n").alias("low_n"), F.max("n").alias("high_n"),
         F.min("root").alias("low_root"), F.max("root").alias("high_root"),
         F.array(*[F.max(F.col("counts")[g]) for g in range(GROUPS)]).alias("high"))
     return placed, written(members, "leaves")
@@ -113,7 +132,10 @@ def meeting_leaves(shared: DataFrame, placed: DataFrame, leaves: DataFrame, star
     else:
         pairs = (keyed.select("key", F.col("leaf").alias("x")).join(keyed.select("key", F.col("leaf").alias("y")), "key")
                  .filter(F.col("x") <= F.col("y")).select("x", "y"))
-    pairs = pairs.unionByName(leaves.select(F.col("leaf").alias("x"), F.col("leaf").alias("y"))).distinct()
+    # every pair with the number of shingles that it shares; a leaf meets itself
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("_s"))
+    if star:
+        pairs = pairs.filter("x <> y").unionByName(leaves.select(F.col("leaf").alias("x"), F.col("leaf").alias("y"), F.lit(None).alias("_s")))
     for side in "xy":
         pairs = pairs.join(info.select(F.col("leaf").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in info.columns[1:]]), side)
     most = F.aggregate(F.zip_with("x_high", "y_high", lambda a, b: F.least(a, b).cast("long")), F.lit(0).cast("long"),
@@ -122,7 +144,8 @@ def meeting_leaves(shared: DataFrame, placed: DataFrame, leaves: DataFrame, star
     sizes = (100 * F.col("x_high_n") >= percent * F.col("y_low_n")) & (100 * F.col("y_high_n") >= percent * F.col("x_low_n"))
     apart = (F.col("x_low_root") != F.col("x_high_root")) | (F.col("y_low_root") != F.col("y_high_root")) \
         | (F.col("x_low_root") != F.col("y_low_root"))
-    return pairs.filter(sizes & apart & ((100 + percent) * most >= need)).select("x", "y")
+    enough = F.lit(True) if star else F.col("_s") >= F.greatest(least_shared("x_low_n", percent), least_shared("y_low_n", percent))
+    return pairs.filter(enough & sizes & apart & ((100 + percent) * most >= need)).select("x", "y")
 
 
 class Leaf:
@@ -226,6 +249,13 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
     several = written(keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"),
                       "several")
     shared = written(keys.join(several, "key", "left_semi").distinct(), "shared")
+    sizes = written(own.filter("node IS NOT NULL").select("node", "n_shingles").distinct(), "sizes")
+    for _ in range(PRUNINGS):
+        good = (shared.groupBy("node").agg(F.count("*").alias("_s")).join(sizes, "node")
+                .filter(F.col("_s") >= least_shared("n_shingles", percent)).select("node"))
+        left = written(shared.join(written(good, "good"), "node", "left_semi"), "left")
+        several = left.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
+        shared = written(left.join(written(several, "several"), "key", "left_semi"), "shared")
     nodes = written(shared.groupBy("node").agg(F.min("key").alias("home")), "nodes")
     # one document per node gives its set
     wanted = written(own.join(nodes.select("node"), "node", "left_semi").filter("doc_id IS NOT NULL").groupBy("node")
@@ -238,7 +268,8 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
                 yield set_row(node_of(one), one)
 
     sets = map_rows(plain.join(wanted, "doc_id", "left_semi"), sets_of, "node long, n int, hashes binary, counts array<int>")
-    sets = written(sets.dropDuplicates(["node"]).join(nodes.select("node"), "node", "left_semi"), "sets")
+    # repeated rows give a set twice, which the leaves fold
+    sets = written(sets.join(nodes.select("node"), "node", "left_semi"), "sets")
     alone = nodes.withColumn("root", F.col("node"))
     placed, leaves = leaf_tables(alone, sets)
     first = written(leaf_links(meeting_leaves(shared, placed, leaves, True, percent), leaves, percent), "links")
