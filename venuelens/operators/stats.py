@@ -182,9 +182,10 @@ def spearman(df: DataFrame, x: str, y: str, with_p: bool = True, min_n: int = 3,
         .select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), ["_x", "_y"], "m"))
     placed = pairs
     for v, r in (("_x", "rx"), ("_y", "ry")):
-        counts = pairs.groupBy(v).agg(F.sum("m").alias("n"))
-        ranks = O.ranks_of_counts(counts, v, r, rows_per_bucket).select(v, r)
-        placed = spread_join(placed, ranks, [v], counts=(pairs.groupBy(v).agg(F.count("*").alias("k")), "k"))
+        # rows and distinct partners per value, counted once for the sketch, the running total and the join
+        counts = cut_lineage(pairs.groupBy(v).agg(F.sum("m").alias("n"), F.count("*").alias("k")))
+        ranks = O.ranks_of_counts(counts.select(v, "n"), v, r, rows_per_bucket).select(v, r)
+        placed = spread_join(placed, ranks, [v], counts=(counts, "k"))
     middle = (pairs.agg(F.sum("m")).scalar() + 1) / 2
     dx, dy, m = F.col("rx") - middle, F.col("ry") - middle, F.col("m")
     base = placed.agg(F.sum(m).alias("n_samples"), F.sum(m * dx * dy).alias("xy"),
