@@ -56,7 +56,7 @@ def district_number(neighborhoods: Cols) -> Column:
 
 
 def district_label(n: Cols) -> Column:
-    return F.coalesce(F.concat(F.lit("Arr "), _c(n).cast("int").cast("string")), F.lit("Inconnu"))
+    return F.coalesce(F.concat(F.lit(L.DISTRICT_PREFIX), _c(n).cast("int").cast("string")), F.lit(L.DISTRICT_UNKNOWN))
 
 
 def short_name(name: Cols, width: int) -> Column:

@@ -135,6 +135,23 @@ EXPORT_COLUMNS = [
     "longitude",
 ]
 
+# Display texts of test results, by test: its name and the name of its effect size.
+TEST_TEXTS = {
+    "chi2": ("Khi² d'independance", "Cramer's V"),
+    "anova": ("ANOVA a un facteur", "Eta-carre"),
+    "kruskal": ("Kruskal-Wallis", "Epsilon-carre"),
+    "spearman": ("Correlation de Spearman", "|rho|"),
+    "welch": ("Welch t-test", "Cohen's d"),
+}
+
+# Parts of the display sentence of a test, and the sentence where it could not be run.
+SUMMARY_PARTS = ["**", "** : ", " — ", "  \nTaille d'effet (", ") = ", " (", ")  \nN = "]
+SUMMARY_MISSING = "*Test indisponible : "
+
+# The district label and that of an unknown district.
+DISTRICT_PREFIX = "Arr "
+DISTRICT_UNKNOWN = "Inconnu"
+
 # Own definition: terms of the small sentiment scorer used where no model is plugged in.
 POSITIVE_TERMS = ["good", "great", "excellent", "delicious", "bon", "bien", "gut", "lecker", "buen", "bueno"]
 NEGATIVE_TERMS = ["bad", "worthless", "pathetic", "trash", "idiot", "moron", "mauvais", "mal", "schlecht", "malo", "horrible"]

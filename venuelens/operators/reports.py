@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -117,14 +116,31 @@ def multiple_regression(df: DataFrame, predictors: list[str], target: str) -> Da
     return df.sparkSession.createDataFrame(terms, "term string, coefficient double")
 
 
-def spatial_clusters(venues: DataFrame, k: int = 8, seed: int = 42, key: str = "locationId") -> tuple[DataFrame, DataFrame]:
-    """K-means on coordinates: venue labels and cluster centres."""
-    data = venues.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    vectors = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(data)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-    centres = [(i, float(c[0]), float(c[1])) for i, c in enumerate(model.clusterCenters())]
-    return (model.transform(vectors).select(key, "cluster"),
-            venues.sparkSession.createDataFrame(centres, "cluster int, latitude double, longitude double"))
+def spatial_clusters(venues: DataFrame, k: int = 8, steps: int = 10, key: str = "locationId") -> tuple[DataFrame, DataFrame]:
+    """K-means on coordinates by a fixed number of Lloyd steps: venue labels and cluster centres.
+
+    The first centres are the k venues with the smallest ids. A venue belongs to the nearest centre, the first of
+    equally near ones; a centre without venues stays. Only the k centres pass through the driver.
+    """
+    data = cut_lineage(venues.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+                       .select(key, "latitude", "longitude"))
+    centres = [(r["latitude"], r["longitude"]) for r in data.orderBy(key).limit(k).collect()]
+    if not centres:
+        return (data.select(key, F.lit(None).cast("int").alias("cluster")),
+                data.select(F.lit(None).cast("int").alias("cluster"), "latitude", "longitude"))
+
+    def labelled() -> DataFrame:
+        near = [F.struct((F.pow(F.col("latitude") - a, F.lit(2)) + F.pow(F.col("longitude") - b, F.lit(2))).alias("d"),
+                         F.lit(i).alias("i")) for i, (a, b) in enumerate(centres)]
+        return data.withColumn("cluster", F.array_min(F.array(*near))["i"])
+
+    for _ in range(steps):
+        means = labelled().groupBy("cluster").agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b")).collect()
+        for r in means:
+            centres[r["cluster"]] = (r["a"], r["b"])
+    rows = [(i, a, b) for i, (a, b) in enumerate(centres)]
+    return (labelled().select(key, "cluster"),
+            venues.sparkSession.createDataFrame(rows, "cluster int, latitude double, longitude double"))
 
 
 def lexicon_sentiment(reviews: DataFrame, key: str = "locationId", text: str = "text") -> DataFrame:

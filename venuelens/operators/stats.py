@@ -11,6 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuelens import lexicons as L
 from venuelens.functions import pvalues as P
 from venuelens.functions import scalars as S
 from venuelens.operators import ordering as O
@@ -30,12 +31,10 @@ def verdict(result: DataFrame, test: str, test_name: str, effect_name: str, p: C
 
 def summary_text(result: DataFrame, n: str) -> DataFrame:
     """The display sentence of a test row; an error text where the test could not be run."""
-    text = F.concat(
-        F.lit("**"), F.col("test_name"), F.lit("** : "), F.col("p_formatted"), F.lit(" — "), F.col("interpretation"),
-        F.lit("  \nTaille d'effet ("), F.col("effect_name"), F.lit(") = "),
-        F.format_string("%.4f", "effect_size"), F.lit(" ("), F.col("effect_label"), F.lit(")  \nN = "),
-        F.col(n).cast("string"))
-    missing = F.concat(F.lit("*Test indisponible : "), F.col("error"), F.lit("*"))
+    values = [F.col("test_name"), F.col("p_formatted"), F.col("interpretation"), F.col("effect_name"),
+              F.format_string("%.4f", "effect_size"), F.col("effect_label"), F.col(n).cast("string")]
+    text = F.concat(*[x for part, value in zip(L.SUMMARY_PARTS, values) for x in (F.lit(part), value)])
+    missing = F.concat(F.lit(L.SUMMARY_MISSING), F.col("error"), F.lit("*"))
     return result.select(F.when(F.col("error").isNotNull(), missing).otherwise(text).alias("summary"))
 
 
@@ -103,7 +102,7 @@ def chi2_independence(cells: DataFrame, with_p: bool = True) -> DataFrame:
     out = out.select("statistic", "dof", "n_samples", F.when(F.col("k") > 0, F.sqrt(
         F.col("statistic") / (F.col("n_samples") * F.col("k")))).otherwise(0.0).alias("effect_size"),
         F.when(F.col("dof") < 1, F.lit("Moins de 2 lignes ou colonnes")).alias("error"))
-    return verdict(out, "chi2", "Khi² d'independance", "Cramer's V", P.chi2_p("statistic", "dof")) if with_p else out
+    return verdict(out, "chi2", *L.TEST_TEXTS["chi2"], P.chi2_p("statistic", "dof")) if with_p else out
 
 
 def _valid_groups(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -132,7 +131,7 @@ def anova(df: DataFrame, group: str, value: str, with_p: bool = True) -> DataFra
         F.when(sst > 0, F.col("ssb") / F.nullif(sst, F.lit(0.0))).otherwise(0.0).alias("effect_size"),
         "n_groups", "n_total", d1.alias("dof_between"), d2.alias("dof_within"),
         F.when(F.col("n_groups") < 2, F.lit("Moins de 2 groupes valides")).alias("error"))
-    return verdict(out, "variance", "ANOVA a un facteur", "Eta-carre",
+    return verdict(out, "variance", *L.TEST_TEXTS["anova"],
                    P.f_p("statistic", "dof_between", "dof_within")) if with_p else out
 
 
@@ -162,7 +161,7 @@ def kruskal_wallis(df: DataFrame, group: str, value: str, with_p: bool = True,
             n > k, (F.col("statistic") - k + 1) / (n - k)).otherwise(0.0))).alias("effect_size"),
         "n_groups", "n_total", (k - 1).alias("dof"),
         F.when(k < 2, F.lit("Moins de 2 groupes valides")).alias("error"))
-    return verdict(out, "variance", "Kruskal-Wallis", "Epsilon-carre", P.chi2_p("statistic", "dof")) if with_p else out
+    return verdict(out, "variance", *L.TEST_TEXTS["kruskal"], P.chi2_p("statistic", "dof")) if with_p else out
 
 
 def group_quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -201,7 +200,7 @@ def spearman(df: DataFrame, x: str, y: str, with_p: bool = True, min_n: int = 3,
     dof = F.col("n_samples") - 2
     t = F.col("statistic") * F.sqrt(dof / F.nullif(1 - F.col("statistic") ** 2, F.lit(0.0)))
     p = F.when(F.abs("statistic") >= 1, F.lit(0.0)).otherwise(F.col("_p"))
-    return verdict(out.withColumn("_p", P.t_p(t, dof)), "spearman", "Correlation de Spearman", "|rho|", p).drop("_p")
+    return verdict(out.withColumn("_p", P.t_p(t, dof)), "spearman", *L.TEST_TEXTS["spearman"], p).drop("_p")
 
 
 def welch(df: DataFrame, flag: Column, value: str, with_p: bool = True, min_n: int = 2,
@@ -221,7 +220,7 @@ def welch(df: DataFrame, flag: Column, value: str, with_p: bool = True, min_n: i
         F.when(enough, F.when(pooled > 0, F.abs(diff / F.nullif(pooled, F.lit(0.0)))).otherwise(0.0)).alias("effect_size"),
         "n_a", "n_b", "mean_a", "mean_b", "std_a", "std_b", F.lit(name_a).alias("name_a"), F.lit(name_b).alias("name_b"),
         F.when(~enough, F.lit(f"Moins de {min_n} observations")).alias("error"))
-    return verdict(out, "welch", "Welch t-test", "Cohen's d", P.t_p("statistic", "dof")) if with_p else out
+    return verdict(out, "welch", *L.TEST_TEXTS["welch"], P.t_p("statistic", "dof")) if with_p else out
 
 
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -145,14 +145,29 @@ def _(spark, sf):
     return C.distributions(B.table(spark, sf, "lineitem", ["l_quantity", "l_discount"]), ["l_quantity", "l_discount"], 13)
 
 
-@query("p6_spatial_clusters")
+def clusters_sql(k: int, steps: int) -> str:
+    """Lloyd steps written out; ``a`` tables are labels, ``c`` tables centres."""
+    parts = [f"""pts AS (SELECT "locationId", latitude, longitude FROM venues WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+  c0 AS (SELECT CAST(row_number() OVER (ORDER BY "locationId") - 1 AS INTEGER) AS i, latitude, longitude FROM (SELECT * FROM pts ORDER BY "locationId" LIMIT {k}))"""]
+    for n in range(steps + 1):
+        parts.append(f"""a{n} AS (SELECT p."locationId", p.latitude, p.longitude,
+  min(struct_pack(d := power(p.latitude - c.latitude, 2) + power(p.longitude - c.longitude, 2), i := c.i)).i AS cluster FROM pts p, c{n} c GROUP BY 1, 2, 3),
+  c{n + 1} AS (SELECT c.i, coalesce(m.a, c.latitude) AS latitude, coalesce(m.b, c.longitude) AS longitude FROM c{n} c
+  LEFT JOIN (SELECT cluster, avg(latitude) AS a, avg(longitude) AS b FROM a{n} GROUP BY 1) m ON m.cluster = c.i)""")
+    return ", ".join(parts)
+
+
+@query("p6_spatial_clusters", f"""WITH {V}, {clusters_sql(5, 6)} SELECT "locationId", cluster FROM a6""")
 def _(spark, sf):
-    return P.spatial_clusters(B.venues(spark, sf), 5)[0]
+    return P.spatial_clusters(B.venues(spark, sf), 5, 6)[0]
 
 
-@query("p6_cluster_centres")
+@query("p6_cluster_centres", f"""WITH {V}, {clusters_sql(5, 6)} SELECT i AS cluster, latitude * 1000 AS lat_thousandths,
+  longitude * 1000 AS lon_thousandths FROM c6""", doubles="lat_thousandths lon_thousandths")
 def _(spark, sf):
-    return P.spatial_clusters(B.venues(spark, sf), 5)[1]
+    # thousandths of a degree: more digits than the rounding of results would leave
+    centres = P.spatial_clusters(B.venues(spark, sf), 5, 6)[1]
+    return centres.select("cluster", (F.col("latitude") * 1000).alias("lat_thousandths"), (F.col("longitude") * 1000).alias("lon_thousandths"))
 
 
 @query("p7_outliers", """WITH x AS (SELECT l_orderkey, l_extendedprice * l_quantity AS amount FROM lineitem),
