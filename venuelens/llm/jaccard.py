@@ -246,8 +246,8 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
                     yield key, node
 
     keys = written(map_rows(plain, prefixes, "key long, node long"), "prefixes")
-    several = written(keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"),
-                      "several")
+    # copies in several tasks make a key look shared; the prunings below tell
+    several = written(keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "several")
     shared = written(keys.join(several, "key", "left_semi").distinct(), "shared")
     sizes = written(own.filter("node IS NOT NULL").select("node", "n_shingles").distinct(), "sizes")
     for _ in range(PRUNINGS):
@@ -270,9 +270,13 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
     sets = map_rows(plain.join(wanted, "doc_id", "left_semi"), sets_of, "node long, n int, hashes binary, counts array<int>")
     # repeated rows give a set twice, which the leaves fold
     sets = written(sets.join(nodes.select("node"), "node", "left_semi"), "sets")
-    alone = nodes.withColumn("root", F.col("node"))
+    # large families first: of their leaves each meets itself and the first of a shingle, so that most members are linked
+    crowded = shared.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > LEAF_NODES).select("key")
+    dense = written(shared.join(crowded, "key", "left_semi"), "dense")
+    inside = dense.select("node").distinct()
+    alone = nodes.join(inside, "node", "left_semi").withColumn("root", F.col("node"))
     placed, leaves = leaf_tables(alone, sets)
-    first = written(leaf_links(meeting_leaves(shared, placed, leaves, True, percent), leaves, percent), "links")
+    first = written(leaf_links(meeting_leaves(dense, placed, leaves, True, percent), leaves, percent), "links")
     roots = components(first)
     known = nodes.join(roots, "node", "left").select("node", "home", F.coalesce("root", "node").alias("root"))
     # leaves of one component each: most meet nothing but themselves and are left out
