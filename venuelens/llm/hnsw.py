@@ -23,9 +23,9 @@ from venuelens.llm.components import components
 COSINE = 0.95
 SHARDS = 8
 SHARD_ROWS = 16_384
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 PART_ROWS = 8_192
-LINKS = 16
+LINKS = 8
 CANDIDATES = 48
 TOP_ROWS = 64
 FIRST_EF = 64
@@ -130,6 +130,8 @@ class Graph:
         sims[:, :width] = np.einsum("ijk,ik->ij", self.small[ids[:, :width]], q)
         np.put_along_axis(seen, entry, True, 1)
         open_ = sims > -2
+        seen_flat = seen.reshape(-1)
+        mark = np.empty(seen.size, np.int32)
         found_q, found_v = [], []
         rows = np.arange(n)
         while len(rows):
@@ -149,7 +151,7 @@ class Graph:
                     found_q.append(rows[done][r])
                     found_v.append(ids[done][r, c])
                 keep = ~done
-                rows, ids, sims, open_, seen, q = rows[keep], ids[keep], sims[keep], open_[keep], seen[keep], q[keep]
+                rows, ids, sims, open_, q = rows[keep], ids[keep], sims[keep], open_[keep], q[keep]
                 pick, good, full = pick[keep], good[keep], full[keep]
                 if full.any() and ids.shape[1] < len(self.x) + 4:
                     more = ids.shape[1]
@@ -158,8 +160,9 @@ class Graph:
                     open_ = np.pad(open_, ((0, 0), (0, more)))
                     # what the narrow beam dropped may hold links: all members expand again over unseen vectors only
                     open_[full, :more] = True
-                    seen[full] = False
-                    np.put_along_axis(seen, np.maximum(ids, 0), np.take_along_axis(seen, np.maximum(ids, 0), 1) | (ids >= 0), 1)
+                    seen[rows[full]] = False
+                    wide, at = np.nonzero(ids[full] >= 0)
+                    seen[rows[full][wide], ids[full][wide, at]] = True
                     continue
                 if not len(rows):
                     break
@@ -168,11 +171,14 @@ class Graph:
             around = np.where((at >= 0)[:, :, None], near[np.maximum(at, 0)], -1).reshape(len(rows), -1)
             r, c = np.nonzero(around >= 0)
             v = around[r, c]
-            flat = r.astype(np.int64) * len(self.x) + v
-            _, first = np.unique(flat, return_index=True)
-            first = first[~seen[r[first], v[first]]]
-            r, v = r[first], v[first]
-            seen[r, v] = True
+            flat = rows[r] * len(self.x) + v
+            fresh = ~seen_flat[flat]
+            r, v, flat = r[fresh], v[fresh], flat[fresh]
+            # of equal entries the last one written stays
+            mark[flat] = np.arange(len(flat), dtype=np.int32)
+            once = mark[flat] == np.arange(len(flat))
+            r, v, flat = r[once], v[once], flat[once]
+            seen_flat[flat] = True
             value = np.einsum("ij,ij->i", self.small[v], q[r])
             size = np.bincount(r, minlength=len(rows))
             slot = np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size)
@@ -212,7 +218,7 @@ def audit(graph: Graph, q_ids: np.ndarray, q: np.ndarray, cosine: float) -> tupl
         found = len(pairs_above(graph, q_ids, q, ef, cosine)[0])
         if found >= AUDIT_RECALL * true or ef >= len(graph.ids):
             return ef, true, found
-        ef *= 2
+        ef += ef // 2
 
 
 def unit(raw: pa.ChunkedArray, dim: int) -> np.ndarray:
