@@ -38,8 +38,11 @@ class PrefixCounter:
         self.score = {sp.id_to_piece(i).replace("▁", " "): sp.get_score(i) for i in normal}
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.score):
             raise ValueError("a piece crosses a segment border; this model needs whole texts as segments")
-        self.longest = max(map(len, self.score))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Lengths of the pieces that end in two given characters, longest first.
+        self.lengths: dict[str, list[int]] = {}
+        for end, size in sorted({(p[-2:], len(p)) for p in self.score if len(p) > 1}, key=lambda x: -x[1]):
+            self.lengths.setdefault(end, []).append(size)
+        self.pairs = Memo(CACHED_PAIRS)
         self.totals = Memo(CACHED_SEGMENTS)
 
     def merge(self, text: str) -> list[str]:
@@ -57,26 +60,30 @@ class PrefixCounter:
         """Whether the two tokens stay apart and whole; with an empty ``left`` whether ``right`` stays whole."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+            known = self.merge(left + right) == ([left, right] if left else [right])
+            self.pairs.put((left, right), known)
         return known
 
     def prefixes(self, segment: str) -> list[int]:
         """Token counts of segment[:0], segment[:1], ..."""
-        counts, last, score, pairs = [0], [""], self.score, self.pairs
+        counts, last, score, pairs, lengths = [0], [""], self.score, self.pairs.new, self.lengths
         for end in range(1, len(segment) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = segment[start:end]
-                if token in score or start == end - 1:
-                    left = last[start]
-                    known = pairs.get((left, token))
-                    if known or known is None and self.holds(left, token):
-                        counts.append(counts[start] + (1 if token in score else len(token.encode())))
-                        last.append(token)
-                        break
+            for size in lengths.get(segment[max(end - 2, 0):end], ()):
+                start = end - size
+                if start >= 0:
+                    token = segment[start:end]
+                    if token in score:
+                        left = last[start]
+                        known = pairs.get((left, token))
+                        if known or known is None and self.holds(left, token):
+                            counts.append(counts[start] + 1)
+                            last.append(token)
+                            break
             else:
-                raise AssertionError(f"no last token for {segment[:end]!r}")
+                # of all tokens that end here the character itself is left
+                token = segment[end - 1]
+                counts.append(counts[end - 1] + (1 if token in score else len(token.encode())))
+                last.append(token)
         return counts
 
     def total(self, segment: str) -> int:
