@@ -30,8 +30,11 @@ SKETCH_BITS = 20
 SKETCH_ROW = 12
 GROUPS = 32
 LEAF_NODES = 64
-#: Prefixes are longer than needed by this part of the set, and partners share as many shingles more.
-EXTRA_PERCENT = 4
+#: Prefixes are longer than needed by this part of the set, three at least, and partners share as many shingles.
+EXTRA_PERCENT = 5
+EXTRA_LEAST = 3
+#: Up to so many document ids (8 bytes each) are broadcast to fetch texts; beyond, Spark joins them.
+BROADCAST_IDS = 1_000_000
 PRUNINGS = 2
 LEAF_SHINGLES = 50_000
 
@@ -76,14 +79,16 @@ def sketch_ranks(facts: DataFrame) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts.ravel(), 1) / mean)), 0, 255).astype(np.uint8)
 
 
-def extra(n: int) -> int:
-    return max(1, -(-EXTRA_PERCENT * n // 100))
+def extra(n: int, percent: int = PERCENT) -> int:
+    """No more than the overlap that a set of n needs, or its prefix would be longer than the set."""
+    return min(-(-percent * n // 100), max(EXTRA_LEAST, -(-EXTRA_PERCENT * n // 100)))
 
 
 def least_shared(n: str, percent: int):
     """Prefix shingles that a set of ``n`` shares with any partner at least: ``extra`` of the smallest partner."""
     smallest = F.ceil(F.lit(percent) * F.col(n) / 100)
-    return F.greatest(F.lit(1), F.ceil(F.lit(EXTRA_PERCENT) * smallest / 100))
+    return F.least(F.ceil(F.lit(percent) * smallest / 100),
+                   F.greatest(F.lit(EXTRA_LEAST), F.ceil(F.lit(EXTRA_PERCENT) * smallest / 100)))
 
 
 def prefix(own: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
@@ -92,7 +97,7 @@ def prefix(own: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
     Of two prefixes one ends first. All shingles of it that the other set holds lie in the other prefix, and
     beyond it the set has too few shingles left to reach the overlap without ``extra`` of them.
     """
-    n = len(own) - -(-percent * len(own) // 100) + extra(len(own))
+    n = len(own) - -(-percent * len(own) // 100) + extra(len(own), percent)
     rank = ranks[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     return own[np.argsort(rank, kind="stable")[:n]]
 
@@ -183,7 +188,7 @@ def linked(x: Leaf, y: Leaf, percent: int) -> list[tuple[int, int]]:
 
 
 def pair_rows(rows: Iterable[tuple], percent: int) -> Iterator[tuple]:
-    """Links between the members of two leaves; of those that follow from others only enough to join them."""
+    """Links between the members of two leaves: of each two components that meet there only one."""
     for first, second in rows:
         x = Leaf(first)
         y = Leaf(second)
@@ -195,7 +200,7 @@ def pair_rows(rows: Iterable[tuple], percent: int) -> Iterator[tuple]:
             return v
 
         for i, j in linked(x, y, percent):
-            a, b = top(x.nodes[i]), top(y.nodes[j])
+            a, b = top(int(x.roots[i])), top(int(y.roots[j]))
             if a != b:
                 above[max(a, b)] = min(a, b)
                 yield x.nodes[i], y.nodes[j]
@@ -257,10 +262,13 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
         several = left.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
         shared = written(left.join(written(several, "several"), "key", "left_semi"), "shared")
     nodes = written(shared.groupBy("node").agg(F.min("key").alias("home")), "nodes")
-    # one document per node gives its set
+    # one document per node gives its set; the ids are broadcast if they are few enough
     wanted = written(own.join(nodes.select("node"), "node", "left_semi").filter("doc_id IS NOT NULL").groupBy("node")
                      .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
 
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+
     def sets_of(rows):
         for _, text in rows:
             one = shingle_set(text)
