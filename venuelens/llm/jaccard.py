@@ -286,9 +286,10 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
     placed, leaves = leaf_tables(alone, sets)
     first = written(leaf_links(meeting_leaves(dense, placed, leaves, True, percent), leaves, percent), "links")
     roots = components(first)
-    known = nodes.join(roots, "node", "left").select("node", "home", F.coalesce("root", "node").alias("root"))
-    # leaves of one component each: most meet nothing but themselves and are left out
-    by_root = known.withColumn("home", F.xxhash64("home", F.col("root")))
+    # members of a component found so far lie in leaves of their own, which meet only others; single nodes share leaves
+    by_root = nodes.join(roots, "node", "left").select(
+        "node", F.when(F.col("root").isNull(), F.col("home")).otherwise(F.xxhash64("home", "root")).alias("home"),
+        F.coalesce("root", "node").alias("root"))
     placed, leaves = leaf_tables(by_root, sets)
     second = leaf_links(meeting_leaves(shared, placed, leaves, False, percent), leaves, percent)
     return first.unionByName(written(second, "links"))
