@@ -187,6 +187,20 @@ def test_repeated_passages_are_found_and_verified(spark, copies):
     assert 10_001 not in got
 
 
+def test_later_copies_meet_by_windows_alone(spark, monkeypatch):
+    monkeypatch.setattr(compact_windows, "run_windows", lambda tokens, least, maps: np.zeros((3, 0), np.int64), raising=False)
+    rows = []
+    for k in range(30):
+        passage = prose(6000 + k, 70)
+        rows += [(100 * k + 1, passage, "s"), (100 * k + 2, passage + " " + prose(8000 + k, 30) + " " + passage, "s")]
+    windows = compact_windows.candidates(frame(spark, rows).select("doc_id", "text"), 46, 4, 2).collect()
+    assert len(windows) == 30
+    for r in windows:
+        # the minimum of the passage under every function, at both copies
+        for k in range(4):
+            assert len({a.center for a in r.anchors if a.k == k}) >= 2
+
+
 def test_passages_on_edges_and_cutting(spark, edges, nothing):
     found = compact_windows.repeated_passages(edges)
     assert {(r.doc_id, r.other_id) for r in found.collect()} == {(7, 6), (9, 8)}
