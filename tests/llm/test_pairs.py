@@ -187,6 +187,26 @@ def test_repeated_passages_are_found_and_verified(spark, copies):
     assert 10_001 not in got
 
 
+def uncovered(rows, found):
+    """Word places in repeated runs of 50 words that no found passage covers."""
+    got: dict[int, set] = {}
+    for r in found:
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    return {i: left for i, places in repeated_words(rows).items() if (left := places - got.get(i, set()))}
+
+
+@pytest.mark.parametrize("common", [2, 256])
+def test_every_copy_of_a_passage_in_a_later_document_is_found(spark, monkeypatch, common):
+    monkeypatch.setattr(compact_windows, "COMMON", common, raising=False)
+    rows = []
+    for k in range(30):
+        passage = prose(6000 + k, 50)
+        rows += [(100 * k + 1, prose(7000 + k, 40) + " " + passage, "s"),
+                 (100 * k + 2, passage + " " + prose(8000 + k, 30) + " " + passage + " " + prose(9000 + k, 20) + " " + passage, "s")]
+    found = compact_windows.repeated_passages(frame(spark, rows).repartition(3)).collect()
+    assert len(repeated_words(rows)) == 30 and uncovered(rows, found) == {}
+
+
 def test_later_copies_meet_by_windows_alone(spark, monkeypatch):
     monkeypatch.setattr(compact_windows, "run_windows", lambda tokens, least, maps: np.zeros((3, 0), np.int64), raising=False)
     rows = []
@@ -201,6 +221,26 @@ def test_later_copies_meet_by_windows_alone(spark, monkeypatch):
             assert len({a.center for a in r.anchors if a.k == k}) >= 2
 
 
+def test_passages_of_frequent_lines_are_found(spark):
+    rng = random.Random(12)
+    lines = [" ".join(words(20_000 + k, 8)) for k in range(60)]
+    text = lambda n: " ".join(rng.choice(lines) for _ in range(n))
+    rows = [(i, text(60), "s") for i in range(60)]
+    for k in range(40):
+        passage = text(7)
+        for _ in range(2):
+            rows.append((len(rows), text(20) + " " + passage + " " + text(20), "s"))
+    order = [r[0] for r in rows]
+    rng.shuffle(order)
+    rows = [(i, t, s) for i, (_, t, s) in zip(order, rows)]
+    found = compact_windows.repeated_passages(frame(spark, rows).repartition(3)).collect()
+    assert len(repeated_words(rows)) >= 40 and uncovered(rows, found) == {}
+    texts = {i: lowered_words(t) for i, t, _ in rows}
+    for r in found:
+        a, b = texts[r.doc_id][r.start:r.end], texts[r.other_id][r.other_start:r.other_end]
+        assert min(len(a), len(b)) >= 50 and (a == b or similar(shingles(b" ".join(a).decode()), shingles(b" ".join(b).decode())))
+
+
 def test_passages_on_edges_and_cutting(spark, edges, nothing):
     found = compact_windows.repeated_passages(edges)
     assert {(r.doc_id, r.other_id) for r in found.collect()} == {(7, 6), (9, 8)}
