@@ -296,6 +296,25 @@ def test_mix_meets_its_targets(spark):
     assert words_out == sum(sums.values()) and len(docs.columns) == 13
 
 
+def test_small_sources_meet_their_targets_in_long_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(i, 2000)), "hot") for i in range(40)]
+    rows += [(100 + k, " ".join(words(100 + k, rng.choice([1, 40, 150, 750, 1500]))), f"s{k % 60}") for k in range(90)]
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goals = by_hand(sizes)
+    for block in (1024, 10**9):
+        placed, pieces = mixing.mix(frame(spark, rows).repartition(3), block=block)
+        sums: dict = {}
+        for r in mixing.taken_words(placed, pieces).collect():
+            assert 0 <= r.taken <= 2 * r.size
+            sums[r.source] = sums.get(r.source, 0) + r.taken
+        assert all(abs(sums[s] - goal) <= 0.5 + 1e-6 for s, goal in goals.items())
+        fillers = pieces.select("slot", "place").distinct().collect()
+        assert len(fillers) == len({r.slot for r in fillers})
+
+
 def test_mix_on_edges(edges, nothing):
     placed, pieces = mixing.mix(edges)
     rows = mixing.taken_words(placed, pieces).collect()

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is a row of slots, each of one block of words. Slot i lies at the i-th van der Corput point in [0, 1); the source
-whose share of the cumulative targets holds that point fills it. A source's documents lie in shuffled order, end to end and
-once more from the start, and are cut into blocks; its r-th slot takes its r-th block.
+The mix is a row of slots, each of at most one block of words. A source has as many slots as its target has blocks, a begun
+one included. Slot i lies at the i-th van der Corput point in [0, 1); the source whose share of the cumulative slots holds
+that point fills it, until it has all its slots: later points are left out. A source's documents lie in shuffled order, end
+to end and once more from the start, and are cut into blocks; its r-th slot takes its r-th block, the last one up to the
+target, so that every source meets its target to the word whatever the length of a block.
 """
 
 from __future__ import annotations
@@ -19,10 +21,12 @@ from venuelens.llm.common import chunks_for, map_batches, running, written
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 REPEATS = 2
-#: A source gets about this many slots on average, so that its words come near its target; no block is longer than MAX_BLOCK.
+#: A source gets about this many slots on average; no block is longer than MAX_BLOCK.
 SLOTS_PER_SOURCE = 256
 MAX_BLOCK = 1024
 POINT_BITS = 53
+#: Points a slot: a span of n of the N slots holds n aligned intervals of a length above 1/4N, and 4N points meet each of them.
+POINTS = 4
 SPACES = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(SPACES)
 
@@ -75,32 +79,32 @@ def shuffled(docs: DataFrame, seed: int) -> DataFrame:
     return starts.drop("_h", "_chunk")
 
 
-def schedule(goals: DataFrame, slots: int) -> DataFrame:
-    """Every slot with its source's place and its rank there.
+def schedule(goals: DataFrame) -> DataFrame:
+    """Every slot with its source's place and its rank there; a source has ``slots`` of them.
 
     Points meet the sources by cells of [0, 1), of which a wide source covers many, and then by value.
     """
     spark = goals.sparkSession
     bits = max(8, (2 * goals.count() - 1).bit_length())
-    cells, scale = 1 << bits, float(1 << 62)
-    summed = running(goals.withColumn("_w", F.round(F.col("target") / F.lit(goals.agg(F.sum("target")).first()[0]) * F.lit(scale / 4))
-                                      .cast("long")).withColumn("_part2", (F.col("place") / 4096).cast("int")),
+    cells = 1 << bits
+    summed = running(goals.withColumn("_w", F.col("slots")).withColumn("_part2", (F.col("place") / 4096).cast("int")),
                      [], "_part2", [F.col("place")], F.col("_w"), "_from")
     whole = summed.agg(F.sum("_w")).first()[0]
+    n_points = POINTS * whole
     spans = summed.filter("_w > 0").select(
-        "place", F.col("_from"), (F.col("_from") + F.col("_w")).alias("_to"))
+        "place", "slots", F.col("_from"), (F.col("_from") + F.col("_w")).alias("_to"))
     width = -(-whole // cells)
     spans = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") - 1) / width))))
     # the bits of i in reverse order, as a fraction
     mirrored = F.reverse(F.lpad(F.bin("id"), POINT_BITS, "0"))
     unit = F.conv(mirrored, 2, 10).cast("double") / F.lit(float(1 << POINT_BITS))
-    points = (spark.range(slots).withColumn("_at", F.least(F.floor(unit * F.lit(float(whole))), F.lit(whole - 1)))
+    points = (spark.range(n_points).withColumn("_at", F.least(F.floor(unit * F.lit(float(whole))), F.lit(whole - 1)))
               .withColumn("_cell", F.floor(F.col("_at") / width)))
     drawn = (points.join(spans, "_cell").filter((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to")))
-             .select(F.col("id").alias("slot"), "place"))
-    chunk = max(64, slots // chunks_for(slots))
+             .select(F.col("id").alias("slot"), "place", "slots"))
+    chunk = max(64, n_points // chunks_for(n_points))
     return running(drawn.withColumn("_chunk", F.floor(F.col("slot") / chunk)), ["place"], "_chunk", [F.col("slot")],
-                   F.lit(1), "block").drop("_chunk")
+                   F.lit(1), "block").filter(F.col("block") < F.col("slots")).drop("_chunk", "slots")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None,
@@ -110,8 +114,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     Documents: ``doc_id, source, size, text_hash, source_size, target, place, start``. Pieces, one per document, block and pass that
     overlap: ``slot, place, start, pass, from_word, words``: ``words`` words of the document that starts at ``start``
-    in source number ``place``, from its word ``from_word``. The last slot of a source is cut at ``repeats`` times
-    its size. A null or empty text has size 0 and no pieces; a null source is a source of its own, last in order; equal
+    in source number ``place``, from its word ``from_word``. The last slot of a source is cut at its target,
+    rounded to a word (to one at least). A null or empty text has size 0 and no pieces; a null source is a source of its own, last in order; equal
     rows are documents of their own, told apart by ``start``; an empty table gives two empty ones.
     """
     count = word_count(F.col(f"`{text}`")) if size is None else size
@@ -126,19 +130,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     if block is None:
         block = int(min(MAX_BLOCK, max(1, total / (SLOTS_PER_SOURCE * max(goals.count(), 1)))))
-    slots = round(total / block)
-    if slots == 0:
-        # less than one block in all: the first words of the largest source make the mix
-        slots = 1 if total else 0
-    pieces = placed.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    pieces = pieces.withColumn("_a", F.col("pass") * F.col("source_size") + F.col("start")).withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_a") + F.col("size") - 1) / block))))
-    if slots == 0:
+    quota = F.when(F.col("target") > 0, F.greatest(F.round("target"), F.lit(1.0))).otherwise(0.0).cast("long")
+    pieces = placed.withColumn("_quota", quota).filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    pieces = pieces.withColumn("_a", F.col("pass") * F.col("source_size") + F.col("start"))
+    pieces = pieces.withColumn("_end", F.least(F.col("_a") + F.col("size"), F.col("_quota"))).filter("_a < _end").withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor((F.col("_end") - 1) / block))))
+    if not total:
         return placed.drop("cap"), pieces.filter(F.lit(False)).select(
             F.col("block").alias("slot"), "place", "start", "pass", F.col("_a").alias("from_word"), F.col("size").alias("words"))
     begin = F.greatest(F.col("block") * block, F.col("_a"))
-    end = F.least((F.col("block") + 1) * block, F.col("_a") + F.col("size"))
-    joined = pieces.join(schedule(goals, slots), ["place", "block"])
+    end = F.least((F.col("block") + 1) * block, F.col("_end"))
+    slots = goals.withColumn("slots", F.ceil(quota / block))
+    joined = pieces.join(schedule(slots), ["place", "block"])
     return placed.drop("cap"), joined.select(
         "slot", "place", "start", "pass", (begin - F.col("_a")).alias("from_word"), (end - begin).alias("words"))
 
