@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from venuelens.llm import chat, compact_windows, crf, hnsw, jaccard, license_scan, mixing, packing, prefix_tokens, repetition
+from venuelens.llm import (chat, compact_windows, crf, hnsw, jaccard, license_scan, mixing, oracles, packing, periodic_runs,
+                           prefix_tokens, repetition)
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -62,3 +63,8 @@ def op2(spark, sf):
 @query("op10_repeated_passages")
 def op10(spark, sf):
     return compact_windows.repeated_passages(table(spark, sf, "documents"))
+
+
+@query("op13_periodic_runs", oracles.PERIODIC_RUNS)
+def op13(spark, sf):
+    return periodic_runs.run_digest(periodic_runs.periodic_runs(periodic_runs.repeated_tails(table(spark, sf, "documents"))))
