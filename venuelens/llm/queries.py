@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import (chat, compact_windows, crf, hnsw, jaccard, license_scan, mixing, oracles, packing, periodic_runs,
+from venuelens.llm import (chat, compact_windows, crf, disclosure, hnsw, jaccard, license_scan, mixing, oracles, packing, periodic_runs,
                            prefix_tokens, repetition)
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -68,3 +68,8 @@ def op10(spark, sf):
 @query("op13_periodic_runs", oracles.PERIODIC_RUNS)
 def op13(spark, sf):
     return periodic_runs.run_digest(periodic_runs.periodic_runs(periodic_runs.repeated_tails(table(spark, sf, "documents"))))
+
+
+@query("op11_personal_data")
+def op11(spark, sf):
+    return disclosure.span_digest(disclosure.disclosing_spans(table(spark, sf, "documents")))
