@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from venuelens.llm import (chat, compact_windows, crf, disclosure, hnsw, jaccard, license_scan, mixing, oracles, packing, periodic_runs,
+from venuelens.llm import (chat, collocations, compact_windows, crf, disclosure, hnsw, jaccard, license_scan, mixing, oracles, packing, periodic_runs,
                            prefix_tokens, repetition)
 from venuelens.llm.common import table
 from venuelens.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -73,3 +73,8 @@ def op13(spark, sf):
 @query("op11_personal_data")
 def op11(spark, sf):
     return disclosure.span_digest(disclosure.disclosing_spans(table(spark, sf, "documents")))
+
+
+@query("op12_collocations", oracles.COLLOCATIONS)
+def op12(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
