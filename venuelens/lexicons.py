@@ -155,3 +155,10 @@ DISTRICT_UNKNOWN = "Inconnu"
 # Own definition: terms of the small sentiment scorer used where no model is plugged in.
 POSITIVE_TERMS = ["good", "great", "excellent", "delicious", "bon", "bien", "gut", "lecker", "buen", "bueno"]
 NEGATIVE_TERMS = ["bad", "worthless", "pathetic", "trash", "idiot", "moron", "mauvais", "mal", "schlecht", "malo", "horrible"]
+
+# Sentences of the narrative.
+SUMMARY_TEXT = "%d restaurants analyses dans %d arrondissements — note moyenne %.2f/5, mediane %.2f/5"
+CONTRAST_TEXT = "Arr %d : note moyenne %.2f"
+SIGNIFICANT_TEXT = " (significatif)"
+ANTICORRELATION_TEXT = "%s diminue quand %s augmente"
+BEST_VALUE_TEXT = "**Meilleur rapport qualite/prix** : "

@@ -164,29 +164,31 @@ def limit_bullets(facts: DataFrame) -> DataFrame:
             .filter(F.col("position") <= allowed).select("kind", "position", "text"))
 
 
-def narrative(venues: DataFrame) -> DataFrame:
-    """Summary sentence, district contrasts, negative correlations and best-value venues as bullets."""
+def narrative(venues: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Summary sentence, district contrasts, negative correlations and best-value venues as bullets.
+
+    A contrast is marked where its district differs from all others, corrected for testing every district.
+    """
     from venuelens.operators.joins import with_price_quality
-    from venuelens.operators.rollups import group_mean_count, headline
+    from venuelens.operators.rollups import headline
     one = headline(venues)
     summary = one.select(F.lit("summary").alias("kind"), F.lit(1).alias("rank"), F.format_string(
-        "%d restaurants analyses dans %d arrondissements — note moyenne %.2f/5, mediane %.2f/5",
-        "n_venues", "n_districts", "rating_mean", "rating_median").alias("text"))
+        L.SUMMARY_TEXT, "n_venues", "n_districts", "rating_mean", "rating_median").alias("text"))
     mean = venues.agg(F.avg("rating")).scalar()
-    gap = F.col("mean") - mean
-    contrasts = (group_mean_count(venues, "arrondissement", "rating", 5).withColumn("gap", gap)
-                 .withColumn("size", F.round(F.abs("gap"), 6)).orderBy(F.desc("size"), F.asc("arrondissement")).limit(4)
-                 .select(F.lit("contrast").alias("kind"), (-F.col("size")).alias("rank"), F.format_string(
-                     "Arr %d : note moyenne %.2f", F.col("arrondissement").cast("int"), "mean").alias("text")))
+    contrasts = (stats.group_contrasts(venues, "arrondissement", "rating", alpha).filter(F.col("n") >= 5)
+                 .withColumn("size", F.round(F.abs(F.col("mean") - mean), 6)).orderBy(F.desc("size"), F.asc("group")).limit(4)
+                 .select(F.lit("contrast").alias("kind"), (-F.col("size")).alias("rank"), F.concat(
+                     F.format_string(L.CONTRAST_TEXT, F.col("group").cast("int"), "mean"),
+                     F.when(F.col("significant"), L.SIGNIFICANT_TEXT).otherwise("")).alias("text")))
     corr = stats.pearson_matrix(venues, ["rating", "reviewCount", "nb_items_total", "nb_restos_500m"])
     anti = corr.filter(F.col("pearson") < 0).select(
         F.lit("anticorrelation").alias("kind"), F.round("pearson", 6).alias("rank"),
-        F.format_string("%s diminue quand %s augmente", "y", "x").alias("text"))
+        F.format_string(L.ANTICORRELATION_TEXT, "y", "x").alias("text"))
     scored = with_price_quality(venues.filter(F.col("rating").isNotNull())).withColumn("s", F.round("qp_score", 6))
     best = scored.orderBy(F.desc("s"), F.asc("locationId")).limit(3).withColumn(
         "k", F.struct((-F.col("s")).alias("s"), F.col("locationId").alias("i")))
     names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda v: v["name"]), ", ")
-    advice = best.agg(F.concat(F.lit("**Meilleur rapport qualite/prix** : "), names).alias("text")).select(
+    advice = best.agg(F.concat(F.lit(L.BEST_VALUE_TEXT), names).alias("text")).select(
         F.lit("recommendation").alias("kind"), F.lit(1.0).alias("rank"), "text")
     facts = summary.withColumn("rank", F.lit(0.0))
     for part in (contrasts, anti, advice):

@@ -223,6 +223,51 @@ def welch(df: DataFrame, flag: Column, value: str, with_p: bool = True, min_n: i
     return verdict(out, "welch", *L.TEST_TEXTS["welch"], P.t_p("statistic", "dof")) if with_p else out
 
 
+def complement_welch(df: DataFrame, group: str, value: str, min_n: int = 2) -> DataFrame:
+    """Unequal-variance t-test of every group against all rows of the other groups, in one pass over the data.
+
+    Each group is reduced to count, mean and squared deviations; those of its complement are the totals without it. Rows
+    without group or value belong to no side. Result: group, n, mean, rest_n, rest_mean, statistic, dof; the last two are
+    NULL where either side has fewer than ``min_n`` values or neither varies.
+    """
+    g = cut_lineage(df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("group"))
+                    .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("q")))
+    grand = g.agg(F.struct(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"))
+                  .alias("v")).scalar()
+    spread = g.agg(F.sum(F.col("q") + F.col("n") * (F.col("mean") - grand["mean"]) ** 2)).scalar()
+    n, rest = F.col("n"), F.col("rest_n")
+    sides = g.withColumn("rest_n", grand["n"] - n).withColumn(
+        "rest_mean", (grand["mean"] * grand["n"] - n * F.col("mean")) / F.nullif(rest, F.lit(0)))
+    between = n * rest / grand["n"] * (F.col("mean") - F.col("rest_mean")) ** 2
+    enough = (n >= min_n) & (rest >= min_n)
+    # a rest without spread can come out a little below zero
+    var_a = F.col("q") / F.nullif(n - 1, F.lit(0))
+    var_b = F.greatest(spread - F.col("q") - between, F.lit(0.0)) / F.nullif(rest - 1, F.lit(0))
+    a, b = var_a / n, var_b / F.nullif(rest, F.lit(0))
+    t = (F.col("mean") - F.col("rest_mean")) / F.nullif(F.sqrt(a + b), F.lit(0.0))
+    dof = (a + b) ** 2 / F.nullif(a ** 2 / F.nullif(n - 1, F.lit(0)) + b ** 2 / F.nullif(rest - 1, F.lit(0)), F.lit(0.0))
+    return sides.select("group", "n", "mean", "rest_n", "rest_mean", F.when(enough, t).alias("statistic"), F.when(enough, dof).alias("dof"))
+
+
+def step_up(df: DataFrame, p: str, alpha: float = 0.05, out: str = "significant", rows_per_bucket: int | None = None) -> DataFrame:
+    """Rows whose p-value is significant when all of them are tested together (false discoveries at most ``alpha``).
+
+    The largest p with p <= alpha * rank / tests is the limit; equal p-values share their highest rank. Ranks are
+    bucketed running totals, so any number of tests is spread over tasks. A NULL p-value is no test and not significant.
+    """
+    counts = cut_lineage(O.value_counts(df.filter(F.col(p).isNotNull()).select(F.col(p).alias("_p")), ["_p"]))
+    cum = O.running_total(counts, [], [F.col("_p")], "n", "_rank", "_p", O.value_bounds(counts, "_p", rows_per_bucket))
+    tests = counts.agg(F.sum("n")).scalar()
+    limit = cum.filter(F.col("_p") <= alpha * F.col("_rank") / tests).agg(F.max("_p")).scalar()
+    return df.withColumn(out, F.coalesce(F.col(p) <= limit, F.lit(False)))
+
+
+def group_contrasts(df: DataFrame, group: str, value: str, alpha: float = 0.05, min_n: int = 2) -> DataFrame:
+    """Every group against the rest with its p-value and whether it stands the correction over all groups."""
+    tested = cut_lineage(complement_welch(df, group, value, min_n).withColumn("p_value", P.t_p("statistic", "dof")))
+    return step_up(tested, "p_value", alpha)
+
+
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Correlation of every pair of columns over rows where both are set, in one aggregate."""
     pairs = list(combinations(columns, 2))

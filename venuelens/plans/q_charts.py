@@ -8,7 +8,7 @@ from venuelens import lexicons as L
 from venuelens.operators import chartdata as C
 from venuelens.operators import reports as P
 from venuelens.operators import rollups as R
-from venuelens.operators import spatial
+from venuelens.operators import spatial, stats
 from venuelens.plans import bindings as B
 from venuelens.plans.q_filters import QP_SQL
 from venuelens.plans.q_joins import REVIEW_TEXTS, season_hits_sql
@@ -255,13 +255,32 @@ PAIRS = [("rating", "reviewCount"), ("rating", "nb_items_total"), ("rating", "nb
          ("reviewCount", "nb_restos_500m"), ("nb_items_total", "nb_restos_500m")]
 
 
-@query("n1_narrative", f"""WITH {V}, {QP_SQL}, arr AS (SELECT arrondissement AS a, avg(rating) AS m, round(abs(avg(rating) - (SELECT avg(rating) FROM venues)), 6) AS gap
-  FROM venues WHERE arrondissement IS NOT NULL GROUP BY 1 HAVING count(rating) >= 5 ORDER BY 3 DESC, 1 LIMIT 4),
+def contrasts_sql(alpha: float) -> str:
+    """Each district against the rows of all others, from the rows themselves; the tail is integrated (Simpson)."""
+    return f"""rated AS (SELECT arrondissement AS a, rating AS x FROM venues WHERE arrondissement IS NOT NULL AND rating IS NOT NULL),
+  sides AS (SELECT d.a, count(*) FILTER (r.a = d.a) AS n, avg(x) FILTER (r.a = d.a) AS mean, count(*) FILTER (r.a <> d.a) AS rest_n, avg(x) FILTER (r.a <> d.a) AS rest_mean,
+    var_samp(x) FILTER (r.a = d.a) / count(*) FILTER (r.a = d.a) AS va, var_samp(x) FILTER (r.a <> d.a) / count(*) FILTER (r.a <> d.a) AS vb FROM (SELECT DISTINCT a FROM rated) d, rated r GROUP BY 1),
+  tested AS (SELECT *, (mean - rest_mean) / sqrt(va + vb) AS statistic, power(va + vb, 2) / (va * va / (n - 1) + vb * vb / (rest_n - 1)) AS dof FROM sides),
+  tails AS (SELECT a, any_value(2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * (pi() / 2 - t) / 12000) * sum(w * power(greatest(cos(t + (pi() / 2 - t) * i / 4000e0), 0), dof - 1)) AS p_value
+    FROM (SELECT a, dof, atan(abs(statistic) / sqrt(dof)) AS t FROM tested), (SELECT i, CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM generate_series(0, 4000) AS s(i)) GROUP BY a),
+  steps AS (SELECT a, p_value, max({alpha}e0 * k / m) OVER (PARTITION BY p_value) AS bound FROM (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS m FROM tails)),
+  contrasts AS (SELECT tested.*, steps.p_value, coalesce(steps.p_value <= (SELECT max(p_value) FROM steps WHERE p_value <= bound), false) AS significant FROM tested JOIN steps USING (a))"""
+
+
+@query("n1_significant_contrasts", f"""WITH {V}, {contrasts_sql(0.2)} SELECT a AS "group", n, mean, rest_n, rest_mean, statistic, dof, p_value, significant FROM contrasts""",
+       doubles="mean rest_mean statistic dof p_value")
+def _(spark, sf):
+    # a generous level, so that either answer occurs
+    return stats.group_contrasts(B.venues(spark, sf), "arrondissement", "rating", 0.2)
+
+
+@query("n1_narrative", f"""WITH {V}, {QP_SQL}, {contrasts_sql(0.05)}, arr AS (SELECT a, mean AS m, significant, round(abs(mean - (SELECT avg(rating) FROM venues)), 6) AS gap
+  FROM contrasts WHERE n >= 5 ORDER BY 4 DESC, 1 LIMIT 4),
   cc AS ({' UNION ALL '.join(f"""SELECT '{a}' AS x, '{b}' AS y, corr("{a}", "{b}") AS c FROM venues""" for a, b in PAIRS)}),
   best AS (SELECT name, round(qp_score, 6) AS s, "locationId" AS i FROM qp WHERE rating IS NOT NULL ORDER BY 2 DESC, 3 LIMIT 3),
   facts AS (SELECT 'summary' AS kind, 0e0 AS rank, printf('%d restaurants analyses dans %d arrondissements — note moyenne %.2f/5, mediane %.2f/5',
     count(*), count(DISTINCT arrondissement), avg(rating), median(rating)) AS text FROM venues
-  UNION ALL SELECT 'contrast', -gap, printf('Arr %d : note moyenne %.2f', a, m) FROM arr
+  UNION ALL SELECT 'contrast', -gap, printf('Arr %d : note moyenne %.2f', a, m) || CASE WHEN significant THEN ' (significatif)' ELSE '' END FROM arr
   UNION ALL SELECT 'anticorrelation', round(c, 6), y || ' diminue quand ' || x || ' augmente' FROM cc WHERE c < 0
   UNION ALL SELECT 'recommendation', 1, '**Meilleur rapport qualite/prix** : ' || string_agg(name, ', ' ORDER BY s DESC, i) FROM best),
   placed AS (SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY rank, text) AS INTEGER) AS "position", text FROM facts)
