@@ -47,10 +47,16 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], weight: s
     added, so no task needs a whole key. Empty ``bounds`` mean a table small enough for one window.
     A NULL key is a key, and rows whose order value is NULL come first, in either way.
     """
-    weight = F.col(weight) if isinstance(weight, str) else weight
+    return running_totals(df, keys, order, {out: weight}, bucket, bounds)
+
+
+def running_totals(df: DataFrame, keys: list[str], order: list[Column], weights: dict[str, str | Column],
+                   bucket: Column | str | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """``running_total`` of several weights (by result column) in one pass."""
+    weights = {out: F.col(w) if isinstance(w, str) else w for out, w in weights.items()}
     if bucket is None or bounds == []:
         whole = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(weight).over(whole))
+        return df.withColumns({out: F.sum(w).over(whole) for out, w in weights.items()})
     placed = (df.withColumn("_b", F.coalesce(F.col(bucket) if isinstance(bucket, str) else bucket, F.lit(-1))) if bounds is None
               else bucket_of(df, bucket, bounds, "_b"))
     # a struct is never NULL itself, and its NULL fields are equal
@@ -58,10 +64,26 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], weight: s
     part = ["_part"]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*[F.col(f"_part.{k}") for k in keys]).orderBy("_part._b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (placed.groupBy(*part).agg(F.sum(weight).alias("_t"))
-               .withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t"))
-    return (placed.withColumn(out, F.sum(weight).over(inside)).join(offsets, part)
-            .withColumn(out, F.col(out) + F.col("_before")).drop("_before", "_b", "_part"))
+    offsets = (placed.groupBy(*part).agg(*[F.sum(w).alias(f"_t{i}") for i, w in enumerate(weights.values())])
+               .select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_before{i}") for i in range(len(weights))]))
+    return (placed.withColumns({out: F.sum(w).over(inside) for out, w in weights.items()}).join(offsets, part)
+            .withColumns({out: F.col(out) + F.col(f"_before{i}") for i, out in enumerate(weights)})
+            .drop("_b", "_part", *[f"_before{i}" for i in range(len(weights))]))
+
+
+def running_max(df: DataFrame, order: list[Column], value: str, out: str, bucket: Column | None = None) -> DataFrame:
+    """Largest ``value`` up to and including each row in the given order; NULL values add nothing.
+
+    ``bucket`` is monotonic in the order; without it one window takes the whole table.
+    """
+    if bucket is None:
+        return df.withColumn(out, F.max(value).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    placed = df.withColumn("_b", bucket)
+    inside = W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = (placed.groupBy("_b").agg(F.max(value).alias("_m"))
+               .withColumn("_before", F.max("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).drop("_m"))
+    return (placed.withColumn(out, F.max(value).over(inside)).join(earlier, "_b")
+            .withColumn(out, F.greatest(out, "_before")).drop("_before", "_b"))
 
 
 def value_counts(df: DataFrame, cols: list[str], n: str = "n") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -97,13 +95,7 @@ def flag_analysis(venues: DataFrame, flag: str = "hasMichelin") -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson of every pair plus Spearman, one row per pair."""
-    pearson = stats.pearson_matrix(df, columns)
-    rank = None
-    for a, b in combinations(columns, 2):
-        row = stats.spearman(df, a, b, with_p=False).select(
-            F.lit(a).alias("x"), F.lit(b).alias("y"), F.col("statistic").alias("spearman"))
-        rank = row if rank is None else rank.unionByName(row)
-    return pearson.join(rank, ["x", "y"])
+    return stats.spearman_matrix(df, columns)
 
 
 def multiple_regression(df: DataFrame, predictors: list[str], target: str) -> DataFrame:

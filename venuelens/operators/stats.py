@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,6 +279,111 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(cells).alias("c")).select("c.*")
 
 
+def spearman_matrix(df: DataFrame, columns: list[str], min_n: int = 3, rows_per_bucket: int | None = None) -> DataFrame:
+    """Pearson and rank correlation of every pair of columns over the rows where both are set.
+
+    A column's ranks differ from partner to partner, as other rows are missing. So its values are counted once for
+    every partner (rows of the value where the partner is set), and one ordered pass turns these counts into the ranks among
+    each partner's rows. All columns share that pass; each is then joined once, and all pairs are sums of one aggregate.
+    """
+    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]))
+    own = range(len(columns))
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v"), *[F.col(f"v{j}").isNotNull().cast("long").alias(f"n{j}") for j in own])
+                      for i in own])
+    counts = cut_lineage(data.select(F.explode(cells).alias("z")).select("z.*").filter(F.col("v").isNotNull())
+                         .groupBy("c", "v").agg(F.count("*").alias("n"), *[F.sum(f"n{j}").alias(f"n{j}") for j in own]))
+    ranked = O.running_totals(counts, ["c"], [F.col("v")], {f"t{j}": f"n{j}" for j in own}, "v", O.value_bounds(counts, "v", rows_per_bucket))
+    ranks = cut_lineage(ranked.select("c", "v", "n", *[(F.col(f"t{j}") - F.col(f"n{j}") + (F.col(f"n{j}") + 1) / 2).alias(f"r{j}") for j in own]))
+    placed = data
+    for i in own:
+        mine = ranks.filter(F.col("c") == i)
+        placed = spread_join(placed, mine.select(F.col("v").alias(f"v{i}"), *[F.col(f"r{j}").alias(f"r{i}_{j}") for j in own if j != i]),
+                             [f"v{i}"], "left", counts=(mine.select(F.col("v").alias(f"v{i}"), "n"), "n"))
+    pairs = list(combinations(own, 2))
+    # a rank exists for every value, so only rows with both values may count
+    both = {p: F.col(f"v{p[0]}").isNotNull() & F.col(f"v{p[1]}").isNotNull() for p in pairs}
+    row = placed.agg(*[x.alias(f"{n}{i}_{j}") for i, j in pairs for n, x in (
+        ("p", F.corr(f"v{i}", f"v{j}")), ("n", F.count_if(both[i, j])),
+        ("s", F.corr(F.when(both[i, j], F.col(f"r{i}_{j}")), F.when(both[i, j], F.col(f"r{j}_{i}")))))])
+    out = F.array(*[F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), F.col(f"p{i}_{j}").alias("pearson"), F.col(f"n{i}_{j}").alias("n"),
+                             F.when(F.col(f"n{i}_{j}") >= min_n, F.col(f"s{i}_{j}")).alias("spearman")) for i, j in pairs])
+    return row.select(F.explode(out).alias("z")).select("z.*")
+
+
+REGRESSION = ("term string, coefficient double, std_error double, statistic double, p_value double, aliased boolean, n long, dof long, "
+              "r2 double, adjusted_r2 double, sigma double, f_statistic double, f_p_value double")
+
+
+def regression(df: DataFrame, predictors: list[str], target: str, tolerance: float = 1e-10) -> DataFrame:
+    """Least squares with intercept and inference: one row per term, the figures of the model repeated on each.
+
+    One aggregate gives the means and the covariances of all columns over the rows where all are set; only that square of numbers
+    reaches the driver. Predictors enter by a pivoted Cholesky factorisation of their correlations, always the one with
+    most variance left; what is left below ``tolerance`` of a predictor is a combination of those before it: it is
+    ``aliased``, without figures. Without degrees of freedom left there are coefficients only; without rows all is NULL.
+    """
+    names = [*predictors, target]
+    data = df.na.drop(subset=names).select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    size = len(names)
+    cells = [(i, j) for i in range(size) for j in range(i, size)]
+    row = data.agg(F.count("*").alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(size)],
+                   *[F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i, j in cells]).first()
+    n = row["n"]
+    blank = [None] * 4
+    if not n:
+        return df.sparkSession.createDataFrame([(t, *blank, t != "(intercept)", 0, None, *[None] * 5) for t in ["(intercept)", *predictors]], REGRESSION)
+    mean = np.array([row[f"m{i}"] for i in range(size)])
+    cov = np.zeros((size, size))
+    for i, j in cells:
+        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+    kept, root = pivoted_cholesky(cov[:-1, :-1], tolerance)
+    beta = solve_root(root, cov[kept, -1])
+    total = float(n * cov[-1, -1])
+    rss = max(float(n * (cov[-1, -1] - beta @ cov[kept, -1])), 0.0)
+    k, dof = len(kept), n - len(kept) - 1
+    inverse = solve_root(root, np.eye(k)) / n
+    var = rss / dof if dof > 0 else None
+    values = {"(intercept)": (float(mean[-1] - beta @ mean[kept]), 1 / n + float(mean[kept] @ inverse @ mean[kept]))}
+    values |= {predictors[c]: (float(b), float(inverse[i, i])) for i, (c, b) in enumerate(zip(kept, beta))}
+    r2 = 1 - rss / total if total > 0 else None
+    f = (total - rss) / k / var if k and var else None
+    model = (n, dof, r2, 1 - (1 - r2) * (n - 1) / dof if r2 is not None and dof > 0 else None, var ** 0.5 if var is not None else None,
+             f, P.f_tail(f, k, dof) if f is not None else None)
+    rows = []
+    for term in ["(intercept)", *predictors]:
+        if term not in values:
+            rows.append((term, *blank, True, *model))
+            continue
+        b, share = values[term]
+        error = (var * share) ** 0.5 if var is not None else None
+        t = b / error if error else None
+        rows.append((term, b, error, t, P.t_two_sided(t, dof) if t is not None else None, False, *model))
+    return df.sparkSession.createDataFrame(rows, REGRESSION)
+
+
+def pivoted_cholesky(cov: np.ndarray, tolerance: float) -> tuple[list[int], np.ndarray]:
+    """(columns kept, in order of choice, lower triangular root of their covariance)."""
+    scale = np.sqrt(np.diag(cov))
+    left = (scale > 0).astype(float)
+    rows = np.zeros((len(cov), 0))
+    corr = cov / np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
+    kept: list[int] = []
+    while len(kept) < len(cov):
+        at = int(np.argmax(left))
+        if left[at] <= tolerance:
+            break
+        column = (corr[:, at] - rows @ rows[at]) / np.sqrt(left[at])
+        rows = np.column_stack([rows, column])
+        left = left - column ** 2
+        left[[*kept, at]] = 0.0
+        kept.append(at)
+    return kept, np.tril(rows[kept] * scale[kept][:, None])
+
+
+def solve_root(root: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(root.T, np.linalg.solve(root, right)) if len(root) else right
+
+
 def ols(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     """Least-squares line per group over complete pairs."""
     fx, fy = F.col(x).cast("double"), F.col(y).cast("double")

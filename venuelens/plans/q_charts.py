@@ -8,11 +8,11 @@ from venuelens import lexicons as L
 from venuelens.operators import chartdata as C
 from venuelens.operators import reports as P
 from venuelens.operators import rollups as R
-from venuelens.operators import spatial, stats
+from venuelens.operators import smoothing, spatial, stats
 from venuelens.plans import bindings as B
 from venuelens.plans.q_filters import QP_SQL
 from venuelens.plans.q_joins import REVIEW_TEXTS, season_hits_sql
-from venuelens.plans.q_stats import rho_sql
+from venuelens.plans.q_stats import rho_sql, t_tail_sql
 from venuelens.plans.registry import query
 
 V, RV, SC, IT, MG = B.VENUES_SQL, B.REVIEWS_SQL, B.SCORED_SQL, B.ITEMS_SQL, B.MERGED_SQL
@@ -50,6 +50,16 @@ def _(spark, sf):
     return C.histogram(B.venues(spark, sf), "rating", 20, "priceLevel").drop("lower", "upper")
 
 
+@query("r3_kernel_density", f"""WITH {V}, d AS (SELECT "priceLevel" AS "group", rating AS x FROM venues WHERE rating IS NOT NULL AND "priceLevel" IS NOT NULL), e AS (SELECT min(x) AS lo, max(x) AS hi FROM d),
+  b AS (SELECT "group", count(*) AS n, 1.059e0 * CASE WHEN quantile_cont(x, 0.75) > quantile_cont(x, 0.25) THEN least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349e0) ELSE stddev_samp(x) END
+    * power(count(*), -0.2e0) AS bandwidth FROM d GROUP BY 1), g AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) / 40 * i AS x_at FROM e, generate_series(0, 40) AS s(i))
+  SELECT "group", i, x_at, n, bandwidth, sum(exp(-0.5e0 * power((x_at - x) / bandwidth, 2))) / (n * bandwidth * sqrt(2 * pi())) AS density FROM d JOIN b USING ("group"), g GROUP BY 1, 2, 3, 4, 5""",
+       doubles="x_at bandwidth density")
+def _(spark, sf):
+    # ratings lie on the 41 grid points, where the linear split is exact
+    return smoothing.kernel_density(B.venues(spark, sf), "rating", "priceLevel", 41)
+
+
 @query("r4_density_grid", f"""WITH g AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem)
   SELECT {bin_sql('l_quantity', 'x0', 'x1', 30)} AS bin_x, {bin_sql('l_extendedprice', 'y0', 'y1', 30)} AS bin_y, count(*) AS n FROM lineitem, g GROUP BY 1, 2""")
 def _(spark, sf):
@@ -93,6 +103,17 @@ def _(spark, sf):
     return spatial.grid_density(B.venues(spark, sf), "latitude", "longitude", "reviewCount")
 
 
+@query("r9_kernel_heat", f"""WITH {V}, d AS (SELECT latitude / 0.005e0 AS p, longitude / 0.005e0 AS q, CAST("reviewCount" AS DOUBLE) AS z FROM venues WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+  b AS (SELECT stddev_samp(p) * power(count(*), -1e0 / 6) AS hp, stddev_samp(q) * power(count(*), -1e0 / 6) AS hq FROM d),
+  c AS (SELECT CAST(floor(p) AS BIGINT) + u AS i, CAST(floor(q) AS BIGINT) + v AS j, z * abs(1 - u - (p - floor(p))) * abs(1 - v - (q - floor(q))) AS w FROM d, (VALUES (0), (1)) x(u), (VALUES (0), (1)) y(v)),
+  t AS (SELECT i + m AS cell_lat, j + k AS cell_lon, w * exp(-0.5e0 * (power(m / hp, 2) + power(k / hq, 2))) / (hp * hq * 0.005e0 * 0.005e0 * 2 * pi()) AS w
+    FROM c, b, generate_series(-40, 40) x(m), generate_series(-40, 40) y(k) WHERE abs(m) <= 4 * hp AND abs(k) <= 4 * hq)
+  SELECT cell_lat, cell_lon, round(sum(w), 2) AS heat FROM t WHERE w <> 0 GROUP BY 1, 2""")
+def _(spark, sf):
+    heat = smoothing.kernel_heat(B.venues(spark, sf), "latitude", "longitude", "reviewCount")
+    return heat.withColumn("heat", F.round("heat", 2))
+
+
 @query("r10_category_totals", f"""WITH {V}, v AS (SELECT * FROM venues WHERE nb_items_total > 0 AND rating IS NOT NULL) """ + " UNION ALL ".join(
     f"""SELECT '{c}' AS category, CAST(sum("{c}") AS BIGINT) AS total FROM v""" for c in L.CATEGORIES))
 def _(spark, sf):
@@ -239,6 +260,30 @@ def _(spark, sf):
     return P.multiple_regression(li, ["l_quantity", "l_discount"], "l_extendedprice")
 
 
+@query("p13_regression_inference", f"""WITH d AS (SELECT l_quantity AS x1, l_discount AS x2, l_tax + l_quantity / 10000 AS y FROM lineitem),
+  m AS (SELECT CAST(count(*) AS BIGINT) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) * count(*) AS s1, var_pop(x2) * count(*) AS s2, covar_pop(x1, x2) * count(*) AS s12,
+    covar_pop(x1, y) * count(*) AS c1, covar_pop(x2, y) * count(*) AS c2 FROM d),
+  b AS (SELECT *, s1 * s2 - s12 * s12 AS det, (s2 * c1 - s12 * c2) / (s1 * s2 - s12 * s12) AS b1, (s1 * c2 - s12 * c1) / (s1 * s2 - s12 * s12) AS b2 FROM m),
+  r AS (SELECT sum(power(y - (my + b1 * (x1 - m1) + b2 * (x2 - m2)), 2)) AS rss, sum(power(y - my, 2)) AS tss FROM d, b),
+  f AS (SELECT *, n - 3 AS dof, rss / (n - 3) AS v, 1 - rss / tss AS r2 FROM b, r),
+  t AS (SELECT '(intercept)' AS term, my - b1 * m1 - b2 * m2 AS coefficient, sqrt(v * (1e0 / n + (m1 * m1 * s2 - 2 * m1 * m2 * s12 + m2 * m2 * s1) / det)) AS std_error FROM f
+    UNION ALL SELECT 'l_quantity', b1, sqrt(v * s2 / det) FROM f UNION ALL SELECT 'l_discount', b2, sqrt(v * s1 / det) FROM f
+    UNION ALL SELECT 'copy', NULL, NULL FROM f)
+  SELECT term, coefficient, std_error, coefficient / std_error AS statistic, coefficient IS NULL AS aliased, n, dof, r2, 1 - (1 - r2) * (n - 1) / dof AS adjusted_r2, sqrt(v) AS sigma,
+    (tss - rss) / 2 / v AS f_statistic FROM t, f""", doubles="coefficient std_error statistic r2 adjusted_r2 sigma f_statistic", longs="dof")
+def _(spark, sf):
+    # the third predictor is a multiple of the first
+    li = B.table(spark, sf, "lineitem", ["l_quantity", "l_discount", "l_tax"])
+    rows = li.select("l_quantity", "l_discount", (3 * F.col("l_quantity")).alias("copy"), (F.col("l_tax") + F.col("l_quantity") / 10000).alias("y"))
+    return stats.regression(rows, ["l_quantity", "l_discount", "copy"], "y").drop("p_value", "f_p_value")
+
+
+@query("p13_regression_p", f"""WITH {V}, d AS (SELECT rating AS y, "reviewCount" AS x FROM venues WHERE rating IS NOT NULL), m AS (SELECT count(*) - 2e0 AS dof, corr(x, y) AS r FROM d),
+  t AS (SELECT dof, r * sqrt(dof / (1 - r * r)) AS t FROM m) SELECT t.t AS statistic, {t_tail_sql('t.t', 't.dof')} AS p_value FROM t""", doubles="statistic p_value")
+def _(spark, sf):
+    return stats.regression(B.venues(spark, sf), ["reviewCount"], "rating").filter("term = 'reviewCount'").select("statistic", "p_value")
+
+
 def _terms(ts: list[str]) -> str:
     return "(" + ", ".join(f"'{t}'" for t in ts) + ")"
 

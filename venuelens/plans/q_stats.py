@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from venuelens.operators import smoothing
 from venuelens.operators import stats as K
 from venuelens.plans import bindings as B
 from venuelens.plans.registry import query
@@ -179,3 +180,31 @@ def _(spark, sf):
   SELECT i, x_at, n, (s2*t0 - s1*t1) / (s0*s2 - s1*s1) AS fit FROM m""", doubles="x_at fit")
 def _(spark, sf):
     return K.local_trend(B.table(spark, sf, "lineitem", ["l_quantity", "l_extendedprice"]), "l_quantity", "l_extendedprice")
+
+
+def lowess_sql(rows: str, share: str, points: int, rounds: int) -> str:
+    """The same fits from the rows: nearest distances by sorting, every round written out."""
+    last = points - 1
+    parts = [f"""d AS ({rows}), e AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS n FROM d), g AS (SELECT CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / {last} AS a FROM e, generate_series(0, {last}) AS s(i)),
+  near AS (SELECT i, a, abs(x - a) AS r, row_number() OVER (PARTITION BY i ORDER BY abs(x - a)) AS k FROM d, g),
+  w AS (SELECT i, a, r AS h FROM near WHERE k = (SELECT CAST(floor({share} * n + 1e-10) AS BIGINT) FROM e)), r0 AS (SELECT x, y, 1e0 AS robust FROM d)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""s{k} AS (SELECT i, a, h, x - a AS d, y, robust * power(1 - power(abs(x - a) / h, 3), 3) AS w FROM r{k}, w WHERE abs(x - a) < h),
+  m{k} AS (SELECT i, a, h, count(*) AS n, sum(w) AS s0, sum(w*d) AS s1, sum(w*d*d) AS s2, sum(w*y) AS t0, sum(w*d*y) AS t1 FROM s{k} GROUP BY 1, 2, 3),
+  f{k} AS (SELECT i, a AS x_at, h AS width, n, (s2*t0 - s1*t1) / (s0*s2 - s1*s1) AS fit FROM m{k})""")
+        if k < rounds:
+            parts.append(f"""o{k} AS (SELECT x, y, abs(y - (p.fit + (q.fit - p.fit) * ((x - lo) * {last} / (hi - lo) - p.i))) AS o FROM d, e JOIN f{k} p ON true JOIN f{k} q ON q.i = p.i + 1
+    WHERE p.i = least(CAST(floor((x - lo) * {last} / (hi - lo)) AS INTEGER), {last - 1})),
+  r{k + 1} AS (SELECT x, y, CASE WHEN o < 6 * c THEN power(1 - power(o / (6 * c), 2), 2) ELSE 0 END AS robust FROM o{k}, (SELECT median(o) AS c FROM o{k}))""")
+    return f"WITH {', '.join(parts)} SELECT * FROM f{rounds}"
+
+
+OUTLYING = "SELECT l_extendedprice / 1000 AS x, CASE WHEN l_orderkey % 50 = 0 THEN l_quantity * 20 ELSE l_quantity END AS y FROM lineitem"
+
+
+@query("k10_lowess", lowess_sql(OUTLYING, "0.25e0", 9, 2), doubles="x_at width fit")
+def _(spark, sf):
+    li = B.table(spark, sf, "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice"])
+    rows = li.select((F.col("l_extendedprice") / 1000).alias("x"),
+                     F.when(F.col("l_orderkey") % 50 == 0, F.col("l_quantity") * 20).otherwise(F.col("l_quantity")).alias("y"))
+    return smoothing.lowess(rows, "x", "y", 0.25, 9, 2)
