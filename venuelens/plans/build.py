@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from venuelens import schemas
 from venuelens.functions import scalars as S
@@ -22,7 +23,7 @@ from venuelens.operators import sampling, spatial
 from venuelens.operators.ordering import assign_chunks
 from venuelens.operators.scoring import Scorer, lexicon_scorer, scored_and_failed
 from venuelens.sources import documents as D
-from venuelens.sources import sinks, tables
+from venuelens.sources import files, sinks, tables
 
 
 def _publish(spark: SparkSession, df: DataFrame, path: str, skip_if_exists: bool) -> DataFrame:
@@ -33,8 +34,10 @@ def _publish(spark: SparkSession, df: DataFrame, path: str, skip_if_exists: bool
 def build_venues(spark: SparkSession, raw: str, out: str, skip_if_exists: bool = False) -> dict[str, DataFrame]:
     """restaurants, menu_items, menu_diversity and restaurants_enriched from venue documents."""
     # The text is parsed once; the tables below read only their fields of the stored structure.
-    docs = _publish(spark, D.parsed_venues(D.read_documents(spark, raw)).drop("value"), f"{out}/venue_documents", skip_if_exists)
-    t = {"rejected": D.rejected_documents(docs)}
+    read = D.parsed_venues(D.read_documents(spark, raw))
+    errors = F.when(F.col("r").isNull(), F.coalesce("error", F.when(F.try_parse_json("value").isNotNull(), "no venue in the document").otherwise("not JSON")))
+    docs = _publish(spark, read.withColumn("error", errors).drop("value"), f"{out}/venue_documents", skip_if_exists)
+    t = {"rejected": _publish(spark, D.document_errors(docs), f"{out}/rejected_documents", skip_if_exists)}
     t["restaurants"] = _publish(spark, D.parse_venues(docs), f"{out}/restaurants", skip_if_exists)
     t["menu_items"] = _publish(spark, M.menu_items(D.parse_menu(docs)), f"{out}/menu_items", skip_if_exists)
     t["menu_diversity"] = _publish(spark, M.menu_diversity(t["menu_items"]), f"{out}/menu_diversity", skip_if_exists)
@@ -63,9 +66,12 @@ def build_reviews(spark: SparkSession, raw: str, out: str, min_text_length: int
 
 def build_sentiment(spark: SparkSession, reviews: DataFrame, out: str, primary: Callable[[], Scorer] = lexicon_scorer,
                     fallback: Callable[[], Scorer] | None = None, chunk: tuple[int, int] | None = None,
-                    parts: int = 1) -> tuple[DataFrame, DataFrame]:
+                    parts: int = 1, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Score the reviews that no shard holds yet as new shards, then merge and roll up all shards.
 
+    With ``sample`` only so many of the open reviews are scored, drawn uniformly. Files of shards that cannot be read are left out
+    of the merge and listed, with their errors, in ``unreadable_shards``.
+
     ``chunk`` (i, n) takes the i-th of n chunks in id order; ``parts`` shards are stored one after the other. Reviews
     whose scorer fails go to a table of failed reviews with the error; as no shard holds them, the next run tries again.
     """
@@ -79,6 +85,8 @@ def build_sentiment(spark: SparkSession, reviews: DataFrame, out: str, primary:
         todo = P.drop_matching(todo, done.select("review_id").distinct(), "review_id")
     if chunk is not None:
         todo = assign_chunks(todo, "review_id", chunk[1]).filter(F.col("chunk_id") == chunk[0]).drop("chunk_id")
+    if sample is not None:
+        todo = sampling.uniform_sample(todo, "review_id", sample)
     # Each part is stored before the next is scored: a failed job loses one part at most.
     for part in range(parts):
         own = todo if parts == 1 else todo.filter(F.pmod(F.xxhash64("review_id"), F.lit(parts)) == part)
@@ -87,6 +95,7 @@ def build_sentiment(spark: SparkSession, reviews: DataFrame, out: str, primary:
         failed.write.mode("errorifexists").parquet(f"{out}/failed_reviews_part{shard_no + part:05d}")
     merged = J.keep_one(tables.read_shards(spark, glob, schemas.SENTIMENT_REVIEWS), "review_id", F.asc("shard")).drop("shard")
     merged = _publish(spark, merged, f"{out}/merged_reviews", False)
+    _publish(spark, files.unreadable_shards(files.check_shards(spark, glob)), f"{out}/unreadable_shards", False)
     rollup = _publish(spark, R.sentiment_rollup(merged), f"{out}/sentiment_restaurant_v2", False)
     return merged, rollup
 
@@ -113,7 +122,8 @@ def load_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     rollup = tables.read_table(spark, path) if tables.path_exists(spark, path) else R.sentiment_rollup(scored)
     if "sent_mean_corrected" not in rollup.columns:
         rollup = R.sentiment_rollup(scored)
-    return {"enriched": venues, "menu_items": items, "sentiment_reviews": scored, "sentiment_v2": rollup}
+    unreadable = tables.read_optional(spark, f"{out}/unreadable_shards", T.StructType.fromDDL("path string, shard string, length long, error string"))
+    return {"enriched": venues, "menu_items": items, "sentiment_reviews": scored, "sentiment_v2": rollup, "unreadable_shards": unreadable}
 
 
 def select_view(t: dict[str, DataFrame], **filters) -> dict[str, DataFrame]:

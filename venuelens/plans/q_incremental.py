@@ -8,6 +8,7 @@ from venuelens import lexicons as L
 from venuelens.operators import joins as J
 from venuelens.operators import rollups as R
 from venuelens.operators import scoring as M
+from venuelens.operators.quantiles import grouped_stats
 from venuelens.plans import bindings as B
 from venuelens.plans.q_sources import write_shards
 from venuelens.plans.registry import query
@@ -105,12 +106,35 @@ def _(spark, sf):
     return R.sentiment_rollup(J.keep_one(shards, "review_id", F.asc("shard")))
 
 
-@query("i5_running_rollup", f"""WITH {B.SCORED_SQL}, r AS ({B.rollup_sql('"locationId"')}) SELECT "locationId", n_reviews_scored, sent_mean, sent_std, pct_negative, pct_positive, pct_ironic, rating_mean_reviews FROM r""",
-       doubles="sent_mean sent_std pct_negative pct_positive pct_ironic rating_mean_reviews")
-def _(spark, sf):
+def _running(spark, sf):
+    """The running table of the scored reviews, which arrive in four files, two a batch; every fifth review lies in two files."""
     path, out, state = (scratch_path(spark, n) for n in ("scored", "running", "state"))
     s = B.scored(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in SENTIMENT_REVIEWS.fields])
-    # every fifth review lies in two files
     s.unionByName(s.filter("review_id % 5 = 0")).repartition(4).write.parquet(path)
     I.rollup_stream(I.file_stream(spark, path, SENTIMENT_REVIEWS, files_per_batch=2), out, state)
     return I.latest_version(spark, out)
+
+
+@query("i5_running_rollup", f"""WITH {B.SCORED_SQL}, r AS ({B.rollup_sql('"locationId"')}) SELECT "locationId", n_reviews_scored, sent_mean, sent_std, pct_negative, pct_positive, pct_ironic, rating_mean_reviews FROM r""",
+       doubles="sent_mean sent_std pct_negative pct_positive pct_ironic rating_mean_reviews")
+def _(spark, sf):
+    return _running(spark, sf).select("locationId", "n_reviews_scored", "sent_mean", "sent_std", "pct_negative", "pct_positive", "pct_ironic",
+                                      "rating_mean_reviews")
+
+
+@query("i5_running_quantiles", f"""WITH {B.SCORED_SQL} SELECT "locationId", count(*) AS n, true AS median_in_bound, true AS q75_in_bound, median(sent_stars_expected) AS median
+  FROM scored GROUP BY 1""", doubles="median")
+def _(spark, sf):
+    # the sketched quantiles against the ranks they have among the venue's reviews, besides the exact median of the batch
+    running = _running(spark, sf).select("locationId", "median_expected", "q75_expected")
+    s = B.scored(spark, sf).select("locationId", "sent_stars_expected").join(running, "locationId")
+    x, n = F.col("sent_stars_expected"), F.count("*")
+    slack = I.RANK_ERROR * n + 1
+
+    def inside(q: str, share: float):
+        # the quantile's possible ranks reach from the smaller values to those with its ties
+        return (F.count_if(x < F.col(q)) <= share * n + slack) & (F.count_if(x <= F.col(q)) >= share * n - slack)
+
+    exact = grouped_stats(B.scored(spark, sf), ["locationId"], [F.count("*").alias("n")], {"median": ("sent_stars_expected", 0.5)})
+    checked = s.groupBy("locationId").agg(inside("median_expected", 0.5).alias("median_in_bound"), inside("q75_expected", 0.75).alias("q75_in_bound"))
+    return exact.join(checked, "locationId")

@@ -10,7 +10,7 @@ from venuelens.plans import bindings as B
 from venuelens.plans.registry import query
 from venuelens.session import scratch_path
 from venuelens.sources import documents as D
-from venuelens.sources import sinks, tables
+from venuelens.sources import files, sinks, tables
 from venuelens.schemas import SENTIMENT_REVIEWS
 from pyspark.sql import types as T
 
@@ -53,6 +53,39 @@ def _(spark, sf):
     return D.rejected_documents(venue_documents(spark, sf))
 
 
+def supplier_files(spark, sf):
+    """One file per supplier in the shared folder: a venue document, broken JSON, or JSON that is no venue."""
+    path = scratch_path(spark, "documents")
+    k = F.col("s_suppkey")
+    doc = F.to_json(F.array(F.struct(k.alias("locationId"), F.col("s_name").alias("name"), F.struct(F.col("s_acctbal").alias("rating")).alias("reviewSummary"))))
+    value = F.when(k % 47 == 46, "[{broken").when(k % 31 == 30, '{"data": [1]}').when(k % 37 == 36, F.repeat(F.lit(" "), 5000)).otherwise(doc)
+    B.table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"]).select(k.alias("id"), value.alias("value")).write.partitionBy("id").text(path)
+    return path
+
+
+@query("a1_file_scan", """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 47 = 46 OR s_suppkey % 31 = 30 OR s_suppkey % 37 = 36 THEN NULL ELSE s_name END AS name,
+  CASE WHEN s_suppkey % 47 = 46 THEN 'not JSON' WHEN s_suppkey % 31 = 30 THEN 'no venue in the document' WHEN s_suppkey % 37 = 36 THEN 'longer than 4096 bytes: 5001' END AS error FROM supplier""")
+def _(spark, sf):
+    docs = D.parsed_venues(D.read_documents(spark, supplier_files(spark, sf), "*.txt", 4096)).withColumn(
+        "file_name", F.regexp_extract("path", "id=([0-9]+)", 1).cast("long"))
+    good = D.parse_venues(docs.select("file_name", "r")).select(F.col("locationId").alias("id"), "name")
+    bad = D.document_errors(docs).select(F.col("file_name").alias("id"), "error")
+    return good.join(bad, "id", "full").select("id", "name", "error")
+
+
+@query("a7_corrupt_shard", f"""WITH {B.SCORED_SQL} SELECT 'sentiment_reviews_part' || CAST(i AS VARCHAR) AS shard, n_rows, i = 3 AS damaged, n_rows AS n_scanned FROM (
+  SELECT 0 AS i, count(*) AS n_rows FROM scored WHERE review_id % 3 = 0 UNION ALL SELECT 1, count(*) FROM scored WHERE review_id % 3 <> 2
+  UNION ALL SELECT 2, count(*) FROM scored WHERE review_id % 3 <> 0 UNION ALL SELECT 3, 0)""")
+def _(spark, sf):
+    glob = write_shards(spark, sf, "damaged") + "/sentiment_reviews*"
+    # text where a Parquet file is expected
+    spark.range(1).select(F.lit("no parquet").alias("value")).write.text(glob.replace("*", "_part3"))
+    checked = files.check_shards(spark, glob).groupBy("shard").agg(
+        F.sum(F.coalesce("n_rows", F.lit(0))).alias("n_rows"), (F.count("error") > 0).alias("damaged"))
+    scanned = tables.shard_counts(tables.read_shards(spark, glob, SENTIMENT_REVIEWS)).withColumnRenamed("n", "n_scanned")
+    return checked.join(scanned, "shard", "left").fillna(0, ["n_scanned"])
+
+
 def menu_documents(spark, sf):
     p = B.parsed_items(spark, sf)
     item = F.struct(F.col("item_title").alias("title_unobsfuscated"), F.col("item_description").alias("description_unobsfuscated"),

@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 
 from venuelens import schemas
 from venuelens.functions import scalars as S
+from venuelens.sources import files
 
 
-def read_documents(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per ``*.json`` file: its name and whole text."""
-    return (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(directory)
-            .select(F.col("_metadata.file_name").alias("file_name"), "value"))
+def read_documents(spark: SparkSession, directory: str, pattern: str = "*.json", max_bytes: int = files.MAX_BYTES) -> DataFrame:
+    """One row per file: its path and name, its whole text, and why there is none where it is too long or no text."""
+    return files.read_texts(spark, directory, pattern, max_bytes)
 
 
 def parsed_venues(docs: DataFrame) -> DataFrame:
-    """Element 0 of the top-level array as ``r``; NULL for unreadable documents."""
-    return docs if "r" in docs.columns else docs.withColumn("r", F.get(F.from_json("value", schemas.VENUE_DOCUMENT), F.lit(0)))
+    """Element 0 of the top-level array as ``r``; NULL for unreadable documents and for a top-level object."""
+    first = F.get(F.from_json("value", schemas.VENUE_DOCUMENT), F.lit(0))
+    return docs if "r" in docs.columns else docs.withColumn("r", F.when(F.col("value").rlike(r"^\s*\["), first))
 
 
 def rejected_documents(docs: DataFrame) -> DataFrame:
     return parsed_venues(docs).filter(F.col("r").isNull()).select("file_name")
 
 
+def document_errors(docs: DataFrame) -> DataFrame:
+    """Name of every document without a venue, and why: the file's own error, no JSON, or JSON without a venue in it."""
+    parsed = parsed_venues(docs)
+    known = F.col("error") if "error" in parsed.columns else F.lit(None).cast("string")
+    # a document that was stored parsed has lost its text
+    sound = F.try_parse_json("value").isNotNull() if "value" in parsed.columns else F.lit(True)
+    return parsed.filter(F.col("r").isNull()).select(
+        "file_name", F.coalesce(known, F.when(sound, "no venue in the document").otherwise("not JSON")).alias("error"))
+
+
 def parse_venues(docs: DataFrame) -> DataFrame:
     """The 13 venue fields of every readable document."""
     r = "r."

@@ -59,23 +59,12 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def read_shards(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """All shards behind a glob with the name of their folder; unreadable files are skipped, see ``unreadable_shards``."""
+    """All shards behind a glob with the name of their folder; unreadable files are skipped, see ``files.check_shards``."""
     shard = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
     return normalise(spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(glob)
                      .select("*", shard.alias("shard")))
 
 
-def unreadable_shards(spark: SparkSession, glob: str, schema: T.StructType) -> list[str]:
-    """Folders behind a glob of which some file cannot be read whole: ``read_shards`` leaves rows of them out."""
-    bad = []
-    for folder in list_paths(spark, glob):
-        try:
-            spark.read.schema(schema).parquet(folder).write.format("noop").mode("overwrite").save()
-        except Exception:  # noqa: BLE001
-            bad.append(folder.rstrip("/").rpartition("/")[2])
-    return bad
-
-
 def shard_counts(shards: DataFrame) -> DataFrame:
     return shards.groupBy("shard").agg(F.count("*").alias("n"))
 
