@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -31,8 +31,8 @@ TOP = 2000
 COVER_PERCENT = 50
 SCALE = 1_000_000
 #: Words of a block, and of all open blocks of a task together. They bound memory and change no result.
-BLOCK_WORDS = 4_000_000
-OPEN_WORDS = 8_000_000
+BLOCK_WORDS = 1_500_000
+OPEN_WORDS = 4_000_000
 
 # one byte that UTF-8 never uses ends a piece
 END = b"\xff"
@@ -43,15 +43,8 @@ TASK_BITS, RUNNING_BITS, PLACE_BITS = 21, 16, 26
 WORDS = "block long, lang string, steps array<tinyint>, member array<int>, words array<string>, counts array<long>"
 
 
-def phrase_columns(k: int, kind: str = "long") -> dict[str, str]:
-    """Columns of a phrase of k words: the words' numbers, and the counts of its first and last 1 to k - 1 words."""
-    parts = [f"{x}{j}" for x in "ps" for j in range(1, k)]
-    return {c: kind for c in [*[f"i{j}" for j in range(1, k + 1)], *parts]}
-
-
 def relation_schema(k: int) -> str:
-    columns = {"block": "long", "steps": "array<tinyint>", "member": "array<int>", "f": "array<long>", **phrase_columns(k, "array<long>")}
-    return ", ".join(f"{c} {t}" for c, t in columns.items())
+    return ", ".join(["block long", "steps array<tinyint>", "member array<int>", *[f"i{j} array<long>" for j in range(1, k + 1)]])
 
 
 def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -83,8 +76,8 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     continue
                 first = known.setdefault(name, {END: -1})
                 at = sizes.get(name, 0)
-                own = np.fromiter(map(first.setdefault, words, itertools.count(at)), np.int64, len(words))
-                parts.setdefault(name, []).extend((own, np.array([-1])))
+                own = np.fromiter(map(first.setdefault, words, itertools.count(at)), np.int32, len(words))
+                parts.setdefault(name, []).extend((own, np.array([-1], np.int32)))
                 sizes[name] = at + len(words) + 1
                 whole += len(words) + 1
                 if sizes[name] >= BLOCK_WORDS:
@@ -118,31 +111,25 @@ def keep_words(left: pa.Table, right: pa.Table) -> dict[str, np.ndarray]:
     kept[right.column("g").to_numpy()] = np.arange(right.num_rows, dtype=np.int32)
     member, place = kept[values(left, "member")], np.cumsum(values(left, "steps"), dtype=np.int64)
     there = member >= 0
-    return {"steps": steps_of(place[there]), "member": member[there], "f": right.column("f").to_numpy(), "i1": right.column("i1").to_numpy()}
+    return {"steps": steps_of(place[there]), "member": member[there], "i1": right.column("i1").to_numpy()}
 
 
 def adjacent(relation: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, phrase there, phrase at the next place) of the merge join of a relation with itself, as one number per pair."""
     place, member = np.cumsum(values(relation, "steps"), dtype=np.int64), values(relation, "member")
     follows = np.flatnonzero(place[1:] == place[:-1] + 1)
-    return place[follows], member[follows].astype(np.int64) * len(values(relation, "f")) + member[follows + 1]
+    return place[follows], member[follows].astype(np.int64) * len(values(relation, "i1")) + member[follows + 1]
 
 
 def longer(relation: pa.Table, k: int, pairs: np.ndarray) -> dict[str, np.ndarray]:
-    """Columns of the phrases of k + 1 words that pairs of phrases of k words make."""
-    a, b = np.divmod(pairs, max(len(values(relation, "f")), 1))
-    column = {c: values(relation, c) for c in ["f", *phrase_columns(k)]}
-    out = {f"i{j}": column[f"i{j}"][a] for j in range(1, k + 1)} | {f"i{k + 1}": column[f"i{k}"][b]}
-    out |= {f"p{j}": column[f"p{j}"][a] for j in range(1, k)} | {f"p{k}": column["f"][a]}
-    return out | {f"s{j}": column[f"s{j}"][b] for j in range(1, k)} | {f"s{k}": column["f"][b]}
-
-
-def candidates(relation: DataFrame, k: int, last: bool) -> DataFrame:
-    """The phrases of k + 1 words of each block and how often it has them: (block, pair, words, n); the last length with part counts."""
-    columns = {"block": "long", "pair": "long", "n": "long", **phrase_columns(k + 1)}
-    if not last:
-        columns = {c: t for c, t in columns.items() if c[0] not in "ps" or c == "pair"}
-    schema = ", ".join(f"{c} {t}" for c, t in columns.items())
+    """The words of the phrases of k + 1 words that pairs of phrases of k words make."""
+    a, b = np.divmod(pairs, max(len(values(relation, "i1")), 1))
+    return {f"i{j}": values(relation, f"i{j}")[a] for j in range(1, k + 1)} | {f"i{k + 1}": values(relation, f"i{k}")[b]}
+
+
+def candidates(relation: DataFrame, k: int) -> DataFrame:
+    """The phrases of k + 1 words of each block and how often it has them: (block, n, words)."""
+    schema = ", ".join(["block long", "n long", *[f"i{j} long" for j in range(1, k + 2)]])
     target = to_arrow_schema(schema_of(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +137,7 @@ def candidates(relation: DataFrame, k: int, last: bool) -> DataFrame:
             for at in range(batch.num_rows):
                 row = pa.Table.from_batches([batch.slice(at, 1)])
                 pairs, n = np.unique(adjacent(row)[1], return_counts=True)
-                made = longer(row, k, pairs) | {"pair": pairs, "n": n, "block": np.full(len(n), row.column("block")[0].as_py())}
+                made = longer(row, k, pairs) | {"n": n, "block": np.full(len(n), row.column("block")[0].as_py())}
                 # batches of a bounded size
                 for cut in range(0, len(n), 65_536):
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name][cut:cut + 65_536], f.type) for f in target], schema=target)
@@ -158,14 +145,26 @@ def candidates(relation: DataFrame, k: int, last: bool) -> DataFrame:
     return relation.mapInArrow(run, schema)
 
 
+def positions(have: list[np.ndarray], want: list[np.ndarray]) -> np.ndarray:
+    """Where each row of the columns ``want`` stands among the different rows of the columns ``have``."""
+    code = np.zeros(len(have[0]) + len(want[0]), np.int64)
+    for columns in zip(have, want):
+        _, value = np.unique(np.concatenate(columns), return_inverse=True)
+        _, code = np.unique(code * (value.max() + 1) + value, return_inverse=True)
+    at = np.empty(code.max() + 1, np.int64)
+    at[code[:len(have[0])]] = np.arange(len(have[0]))
+    return at[code[len(have[0]):]]
+
+
 def keep_phrases(left: pa.Table, right: pa.Table, k: int) -> dict[str, np.ndarray]:
     """The relation of length k + 1 from that of length k and the block's frequent phrases of k + 1 words."""
     place, pairs = adjacent(left)
-    order = np.argsort(right.column("pair").to_numpy())
-    wanted, f = right.column("pair").to_numpy()[order], right.column("f").to_numpy()[order]
+    have, words = [values(left, f"i{j}") for j in range(1, k + 1)], [right.column(f"i{j}").to_numpy() for j in range(1, k + 2)]
+    wanted = positions(have, words[:-1]) * len(have[0]) + positions(have, words[1:])
+    wanted.sort()
     member = np.searchsorted(wanted, pairs)
     there = wanted[np.minimum(member, len(wanted) - 1)] == pairs
-    return longer(left, k, wanted) | {"steps": steps_of(place[there]), "member": member[there].astype(np.int32), "f": f}
+    return longer(left, k, wanted) | {"steps": steps_of(place[there]), "member": member[there].astype(np.int32)}
 
 
 def semi_join(relation: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
@@ -201,37 +200,40 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     number = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("g"))
     words = written(listed.withColumn("f", F.sum("n").over(same)).withColumn("i1", F.min(number).over(same))
                     .filter(F.col("f") >= min_count).select("block", "g", "i1", "f", "lang", "word"), "words")
-    relation = semi_join(raw, words.select("block", "g", "i1", "f"), 1)
-    mined = None
+    relation, mined = semi_join(raw, words.select("block", "g", "i1"), 1), None
     for k in range(2, longest + 1):
         phrase = [f"i{j}" for j in range(1, k + 1)]
-        parts = [c for c in phrase_columns(k) if c not in phrase]
-        found = candidates(relation, k - 1, k == longest)
-        if k == longest:
-            counted = found.groupBy(*phrase).agg(F.sum("n").alias("a"), *[F.max(c).alias(c) for c in parts]).filter(F.col("a") >= min_count)
+        found = candidates(relation, k - 1)
+        if k < longest:
+            often = written(found.withColumn("a", F.sum("n").over(W.partitionBy(*phrase))).filter(F.col("a") >= min_count)
+                            .select("block", "a", *phrase), "phrases")
+            relation = semi_join(relation, often.drop("a"), k)
+            counted = often.groupBy(*phrase).agg(F.max("a").alias("a"))
         else:
-            often = written(found.withColumn("f", F.sum("n").over(W.partitionBy(*phrase))).filter(F.col("f") >= min_count)
-                            .select("block", "pair", "f"), "phrases")
-            relation = semi_join(relation, often, k)
-            columns = ["f", *phrase_columns(k)]
-            counted = (relation.select(F.explode(F.arrays_zip(*columns)).alias("z")).select("z.*").dropDuplicates(phrase)
-                       .withColumnRenamed("f", "a"))
-        scored = counted.select(F.array(*phrase).alias("ids"), "a", best_cut(k).alias("cut"))
-        mined = scored if mined is None else mined.unionByName(scored)
+            counted = found.groupBy(*phrase).agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
+        part = counted.select(F.array(*phrase).alias("ids"), "a")
+        mined = part if mined is None else mined.unionByName(part)
     mined = written(mined, "mined")
+    heads = words.filter(F.col("i1") == number).select("i1", "lang", "word", "f")
+    known = mined.unionByName(heads.select(F.array("i1").alias("ids"), F.col("f").alias("a")))
+    scored = best_cuts(uncovered(mined, longest, cover_percent), known)
     sizes = raw.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranked(named(uncovered(mined, longest, cover_percent), words, longest), sizes, top)
+    return ranked(named(scored, heads, longest), sizes, top)
 
 
-def best_cut(k: int) -> Column:
-    """The lowest-scoring cut of a phrase of k words, the earliest of equal ones; 38 digits hold every product exactly."""
-    wide = [F.col(c).cast("decimal(15,0)") for c in ("a", *[f"p{j}" for j in range(1, k)], *[f"s{j}" for j in range(1, k)])]
-    a, first, rest = wide[0], wide[1:k], wide[k:]
-    cuts = []
-    for j in range(1, k):
-        score = F.call_function("div", a * a * F.lit(SCALE).cast("decimal(7,0)"), first[j - 1] * rest[k - j - 1])
-        cuts.append(F.struct(score.cast("long").alias("score"), F.lit(j).alias("k"), F.col(f"p{j}").alias("l"), F.col(f"s{k - j}").alias("r")))
-    return F.array_min(F.array(*cuts))
+def best_cuts(phrases: DataFrame, known: DataFrame) -> DataFrame:
+    """The lowest-scoring cut of each phrase, the earliest of equal ones; 38 digits hold every product exactly.
+
+    Both parts of every cut are frequent, as the phrase is, so their counts are found among the counted phrases.
+    """
+    cuts = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda j: F.struct(
+        j.alias("k"), F.slice("ids", 1, j).alias("first"), F.slice("ids", j + 1, F.size("ids") - j).alias("rest")))
+    parts = (phrases.select("ids", "a", F.explode(cuts).alias("c")).select("ids", "a", "c.*")
+             .join(known.select(F.col("ids").alias("first"), F.col("a").alias("l")), "first")
+             .join(known.select(F.col("ids").alias("rest"), F.col("a").alias("r")), "rest"))
+    a, left, right = (F.col(c).cast("decimal(15,0)") for c in "alr")
+    score = F.call_function("div", a * a * F.lit(SCALE).cast("decimal(7,0)"), left * right).cast("long")
+    return parts.groupBy("ids", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
 
 
 def uncovered(mined: DataFrame, longest: int, cover_percent: int) -> DataFrame:
@@ -245,9 +247,9 @@ def uncovered(mined: DataFrame, longest: int, cover_percent: int) -> DataFrame:
             .filter(F.col("longer").isNull() | (100 * F.col("longer") < cover_percent * F.col("a"))).drop("longer"))
 
 
-def named(mined: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+def named(mined: DataFrame, heads: DataFrame, longest: int) -> DataFrame:
     """The phrases as text, with their language: the words are looked up by number, one place after the other."""
-    names = words.filter(F.col("i1") == F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("g"))).select(F.col("i1").alias("_id"), "lang", "word")
+    names = heads.select(F.col("i1").alias("_id"), "lang", "word")
     out = mined.withColumn("phrase", F.lit(None).cast("string"))
     for at in range(longest):
         out = (out.withColumn("_id", F.get("ids", at)).join(names.drop("lang") if at else names, "_id", "left")
