@@ -162,3 +162,6 @@ CONTRAST_TEXT = "Arr %d : note moyenne %.2f"
 SIGNIFICANT_TEXT = " (significatif)"
 ANTICORRELATION_TEXT = "%s diminue quand %s augmente"
 BEST_VALUE_TEXT = "**Meilleur rapport qualite/prix** : "
+
+# Menu categories that a selection offers.
+FILTER_CATEGORIES = ["entree", "plat", "dessert", "boisson"]

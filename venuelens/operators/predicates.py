@@ -94,5 +94,5 @@ def available_filters(venues: DataFrame, items: DataFrame, top: int = 30) -> Dat
         F.min("rating").alias("rating_min"), F.max("rating").alias("rating_max"),
         F.max("reviewCount").alias("review_count_max"), F.max("nb_restos_500m").alias("concurrence_max"))
     edge = prices.select(F.struct("price_min", "price_max").alias("p")).scalar()
-    return ranges.select("*", top_labels.alias("top_cuisines"), edge["price_min"].alias("price_min"),
+    return ranges.select("*", F.lit("|".join(L.FILTER_CATEGORIES)).alias("menu_categories"), top_labels.alias("top_cuisines"), edge["price_min"].alias("price_min"),
                          edge["price_max"].alias("price_max"))

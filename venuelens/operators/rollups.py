@@ -307,3 +307,32 @@ def ingest_profile(reviews: DataFrame) -> DataFrame:
         F.date_format(F.min("publishedDate"), "yyyy-MM-dd").alias("first_date"),
         F.date_format(F.max("publishedDate"), "yyyy-MM-dd").alias("last_date"),
         (F.count("rating") * 100 / F.count("*")).alias("pct_rated"))
+
+
+def ingest_counts(reviews: DataFrame, venues: DataFrame, errors: DataFrame) -> DataFrame:
+    """Exact counts of an ingest as (kind, name, n): reviews by language, venues by district, venues with and without a district, skipped
+    files by reason."""
+    resolved = F.when(F.col("arrondissement").isNotNull(), "resolved").otherwise("unresolved")
+
+    def counted(df: DataFrame, kind: str, name: Column) -> DataFrame:
+        return df.groupBy(name.cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "name", "n")
+
+    return (counted(reviews, "language", F.coalesce("language", F.lit("unknown")))
+            .unionByName(counted(venues.filter(F.col("arrondissement").isNotNull()), "district", F.col("arrondissement").cast("int")))
+            .unionByName(counted(venues, "resolution", resolved)).unionByName(counted(errors, "skipped", F.col("error"))))
+
+
+#: Size of the distinct sketches (2 to this power of registers) and the relative error that four deviations of it stay below.
+DISTINCT_BITS = 14
+DISTINCT_ERROR = 4 * 1.04 / 2 ** (DISTINCT_BITS / 2)
+
+
+def distinct_sketches(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
+    """One mergeable sketch of the different values of each column, by ``keys`` (a shard, say): a few kilobytes, whatever the rows."""
+    return df.groupBy(*keys).agg(*[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(DISTINCT_BITS)).alias(c) for c in columns])
+
+
+def distinct_estimates(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, estimate) of the different values of each column over all stored sketches together."""
+    row = sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("estimate")) for c in columns])).alias("e")).select("e.*")

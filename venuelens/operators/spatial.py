@@ -10,6 +10,7 @@ quarter as wide. Dense areas therefore never produce all their point pairs.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +55,20 @@ def _cells(points: DataFrame, side: float) -> DataFrame:
             .agg(F.count("*").alias("m"), F.sum("w").alias("w")))
 
 
-def _classified(pairs: DataFrame, side: float, limit: float) -> DataFrame:
-    """Add ``kind``: inner (all neighbours), none, near (compare points) or dense (split first)."""
+def _classified(pairs: DataFrame, side: float, limits: list[float]) -> DataFrame:
+    """Settle cube pairs for every radius r still open (``o{r}``): ``i{r}`` where all their points are neighbours.
+
+    What stays open for some radius is near (compare points) or dense (split first); a pair without anything goes.
+    """
     gaps = [F.abs(F.col(f"b{c}") - F.col(f"a{c}")) for c in CELL]
     near2 = sum((F.greatest(g - 1, F.lit(0)) * side) ** 2 for g in gaps)
     far2 = sum(((g + 1) * side) ** 2 for g in gaps)
-    kind = (F.when(far2 <= limit ** 2 * (1 - SLACK), "inner")
-            .when(near2 > limit ** 2 * (1 + SLACK), "none")
-            .when(F.col("am") * F.col("bm") <= PAIR_LIMIT, "near").otherwise("dense"))
-    return pairs.withColumn("kind", kind).filter(F.col("kind") != "none")
+    inner = {f"i{r}": F.col(f"o{r}") & (far2 <= limit ** 2 * (1 - SLACK)) for r, limit in enumerate(limits)}
+    left = {f"o{r}": F.col(f"o{r}") & (far2 > limit ** 2 * (1 - SLACK)) & (near2 <= limit ** 2 * (1 + SLACK)) for r, limit in enumerate(limits)}
+    settled = pairs.select(*[c for c in pairs.columns if c not in left], *[x.alias(n) for n, x in {**inner, **left}.items()])
+    open_, whole = (reduce(lambda x, y: x | y, [F.col(f"{k}{r}") for r in range(len(limits))]) for k in "oi")
+    kind = F.when(open_, F.when(F.col("am") * F.col("bm") <= PAIR_LIMIT, "near").otherwise("dense")).otherwise("settled")
+    return settled.filter(open_ | whole).withColumn("kind", kind).withColumn("inner", whole)
 
 
 def _renamed(cells: DataFrame, p: str) -> DataFrame:
@@ -77,20 +83,20 @@ def _root_pairs(cells: DataFrame) -> DataFrame:
     return a.join(_renamed(cells, "b"), ["b" + c for c in CELL])
 
 
-def _split_pairs(dense: DataFrame, finer: DataFrame) -> DataFrame:
-    """Children of both cubes of every dense pair."""
+def _split_pairs(dense: DataFrame, finer: DataFrame, flags: list[str]) -> DataFrame:
+    """Children of both cubes of every dense pair, with the radii that are open for it."""
     def parent(p: str) -> DataFrame:
         child = _renamed(finer, "n" + p)
         return child.select("*", *[F.floor(F.col(f"n{p}{c}") / SPLIT).alias(p + c) for c in CELL])
 
-    wide = (dense.select(*["a" + c for c in CELL], *["b" + c for c in CELL])
+    wide = (dense.select(*["a" + c for c in CELL], *["b" + c for c in CELL], *flags)
             .join(parent("a"), ["a" + c for c in CELL]).join(parent("b"), ["b" + c for c in CELL]))
     keep = [*CELL, "m", "w"]
-    return wide.select(*[F.col(f"n{p}{c}").alias(p + c) for p in "ab" for c in keep])
+    return wide.select(*[F.col(f"n{p}{c}").alias(p + c) for p in "ab" for c in keep], *flags)
 
 
-def _compare(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float, limit: float, last: bool) -> DataFrame:
-    """Per location, the weight of the neighbours found in the cubes listed as near."""
+def _compare(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float, limits: list[float], last: bool) -> DataFrame:
+    """Per location and radius, the weight of the neighbours found in the cubes listed as near."""
     placed = points.select(*_cell(side), "_lat", "_lon", "x", "y", "z", "w")
     # Before the last depth a cube with more than PAIR_LIMIT locations is never near. Leave out the points
     # of those that hold a large share of all, so that they do not crowd one task.
@@ -99,45 +105,50 @@ def _compare(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float,
     if crowded:
         placed = placed.filter(~is_one_of(CELL, crowded))
     a, b = _renamed(placed, "a"), _renamed(placed, "b")
-    near = pairs.select(*["a" + c for c in CELL], *["b" + c for c in CELL])
-    hit = sum((F.col("b" + t) - F.col("a" + t)) ** 2 for t in "xyz") <= limit * limit
-    return (near.join(a, ["a" + c for c in CELL]).join(b, ["b" + c for c in CELL]).filter(hit)
-            .groupBy(F.col("a_lat").alias("_lat"), F.col("a_lon").alias("_lon")).agg(F.sum("bw").alias("k")))
-
-
-def _inner(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float) -> DataFrame:
-    """Per location, the weight of the cubes that are neighbours as a whole."""
-    per_cell = pairs.groupBy(*["a" + c for c in CELL]).agg(F.sum("bw").alias("k"))
-    per_cell = per_cell.select(*[F.col("a" + c).alias(c) for c in CELL], "k")
+    near = pairs.select(*["a" + c for c in CELL], *["b" + c for c in CELL], *[f"o{r}" for r in range(len(limits))])
+    gap2 = sum((F.col("b" + t) - F.col("a" + t)) ** 2 for t in "xyz")
+    return (near.join(a, ["a" + c for c in CELL]).join(b, ["b" + c for c in CELL]).filter(gap2 <= max(limits) ** 2)
+            .groupBy(F.col("a_lat").alias("_lat"), F.col("a_lon").alias("_lon"))
+            .agg(*[F.sum(F.when(F.col(f"o{r}") & (gap2 <= limit * limit), F.col("bw")).otherwise(0)).alias(f"k{r}") for r, limit in enumerate(limits)]))
+
+
+def _inner(points: DataFrame, cells: DataFrame, pairs: DataFrame, side: float, radii: int) -> DataFrame:
+    """Per location and radius, the weight of the cubes that are neighbours as a whole."""
+    sums = [F.sum(F.when(F.col(f"i{r}"), F.col("bw")).otherwise(0)).alias(f"k{r}") for r in range(radii)]
+    per_cell = pairs.groupBy(*["a" + c for c in CELL]).agg(*sums)
+    per_cell = per_cell.select(*[F.col("a" + c).alias(c) for c in CELL], *[f"k{r}" for r in range(radii)])
     placed = points.select("_lat", "_lon", *_cell(side))
-    return spread_join(placed, per_cell, CELL, counts=(cells, "m")).select("_lat", "_lon", "k")
+    return spread_join(placed, per_cell, CELL, counts=(cells, "m")).drop(*CELL)
+
 
+def neighbour_weights(points: DataFrame, limits: list[float]) -> DataFrame:
+    """``(_lat, _lon, k0, k1, ...)``: number of points within each chord of each location, itself included.
 
-def neighbour_weights(points: DataFrame, limit: float) -> DataFrame:
-    """``(_lat, _lon, k)``: number of points within the chord of each location, itself included."""
-    side = limit
+    One descent serves all radii: cubes are as wide as the largest, and a pair of cubes is kept as long as some radius is
+    neither wholly inside nor wholly outside.
+    """
+    side, flags = max(limits), [f"o{r}" for r in range(len(limits))]
     cells = _cells(points, side)
-    pairs = _root_pairs(cells)
+    pairs = _root_pairs(cells).select("*", *[F.lit(True).alias(f) for f in flags])
     found = []
     for depth in range(MAX_DEPTH + 1):
         # One pass writes the classified cube pairs; the branches below read that copy.
-        kinds = cut_lineage(_classified(pairs, side, limit))
-        present = {r["kind"] for r in kinds.select("kind").distinct().collect()}
+        kinds = cut_lineage(_classified(pairs, side, limits))
+        present = kinds.agg(F.collect_set("kind").alias("kinds"), F.max("inner").alias("inner")).first()
         last = depth == MAX_DEPTH
         compare = ["near", "dense"] if last else ["near"]
-        if "inner" in present:
-            found.append(_inner(points, cells, kinds.filter(F.col("kind") == "inner"), side))
-        if present & set(compare):
-            found.append(_compare(points, cells, kinds.filter(F.col("kind").isin(compare)), side, limit, last))
-        if last or "dense" not in present:
+        if present["inner"]:
+            found.append(_inner(points, cells, kinds.filter("inner"), side, len(limits)))
+        if set(present["kinds"]) & set(compare):
+            found.append(_compare(points, cells, kinds.filter(F.col("kind").isin(compare)), side, limits, last))
+        if last or "dense" not in present["kinds"]:
             break
         side = side / SPLIT
         cells = _cells(points, side)
-        pairs = _split_pairs(kinds.filter(F.col("kind") == "dense"), cells)
-    total = found[0]
-    for f in found[1:]:
-        total = total.unionByName(f)
-    return total.groupBy("_lat", "_lon").agg(F.sum("k").alias("k"))
+        pairs = _split_pairs(kinds.filter(F.col("kind") == "dense"), cells, flags)
+    none = points.select("_lat", "_lon", *[F.lit(0).cast("long").alias(f"k{r}") for r in range(len(limits))]).limit(0)
+    total = reduce(DataFrame.unionByName, found) if found else none
+    return total.groupBy("_lat", "_lon").agg(*[F.sum(f"k{r}").alias(f"k{r}") for r in range(len(limits))])
 
 
 def competition(df: DataFrame, key: str = "locationId", lat: str = "latitude", lon: str = "longitude",
@@ -148,14 +159,10 @@ def competition(df: DataFrame, key: str = "locationId", lat: str = "latitude", l
     """
     radii = radii or {"nb_restos_500m": 0.5, "nb_restos_1km": 1.0}
     points = cut_lineage(_locations(df, lat, lon))
-    counts = points.select("_lat", "_lon", "w")
-    for name, km in radii.items():
-        k = neighbour_weights(points, chord(km, compat_double_radius)).withColumn(
-            name, (F.col("k") - 1).cast("double")).drop("k")
-        counts = counts.join(k, ["_lat", "_lon"])
+    weights = neighbour_weights(points, [chord(km, compat_double_radius) for km in radii.values()])
+    counts = weights.select("_lat", "_lon", *[(F.col(f"k{r}") - 1).cast("double").alias(name) for r, name in enumerate(radii)])
     venues = df.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    return spread_join(venues, counts.drop("w"), ["_lat", "_lon"], "left",
-                       counts=(points, "w")).select(key, *radii)
+    return spread_join(venues, counts, ["_lat", "_lon"], "left", counts=(points, "w")).select(key, *radii)
 
 
 def grid_density(df: DataFrame, lat: str, lon: str, weight: str, degrees: float = 0.01) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from venuelens import lexicons as L
 from venuelens.operators import chartdata as C
+from venuelens.operators import clusters
 from venuelens.operators import reports as P
 from venuelens.operators import rollups as R
 from venuelens.operators import smoothing, spatial, stats
@@ -191,6 +192,29 @@ def _(spark, sf):
     return centres.select("cluster", (F.col("latitude") * 1000).alias("lat_thousandths"), (F.col("longitude") * 1000).alias("lon_thousandths"))
 
 
+@query("p6_seeded_clusters", f"""WITH {V} SELECT count(*) AS n_venues, CAST(8 AS BIGINT) AS n_clusters, true AS all_nearest, true AS centres_are_means, true AS beats_first_ids
+  FROM venues WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
+def _(spark, sf):
+    # a fixed point of Lloyd's step, no dearer than the clusters that start from the first ids
+    venues = B.venues(spark, sf)
+    places = ["latitude", "longitude"]
+    labels, centres = clusters.kmeans(venues, "locationId", places, 8)
+    first = P.spatial_clusters(venues, 8, 20)[1].select(F.collect_list(F.struct(*places)).alias("c"))
+    rows = labels.join(venues.select("locationId", *places), "locationId")
+
+    def gap(of):
+        return sum((F.col(p) - of[p]) ** 2 for p in places)
+
+    every = centres.select(F.collect_list(F.struct("cluster", *places)).alias("c"))
+    judged = rows.join(F.broadcast(every)).join(F.broadcast(first.withColumnRenamed("c", "f"))).select(
+        "cluster", *places, "distance2", F.array_min(F.transform("c", gap)).alias("least"), F.array_min(F.transform("f", gap)).alias("other"))
+    means = judged.groupBy("cluster").agg(*[F.avg(p).alias(f"m_{p}") for p in places]).join(centres, "cluster").agg(
+        F.count("*").alias("n_clusters"), F.max(sum(F.abs(F.col(f"m_{p}") - F.col(p)) for p in places)).alias("off"))
+    return judged.agg(F.count("*").alias("n_venues"), (F.max(F.col("distance2") - F.col("least")) < 1e-12).alias("all_nearest"),
+                      (F.sum("least") <= F.sum("other")).alias("beats_first_ids")).join(means).select(
+        "n_venues", "n_clusters", "all_nearest", (F.col("off") < 1e-6).alias("centres_are_means"), "beats_first_ids")
+
+
 @query("p7_outliers", """WITH x AS (SELECT l_orderkey, l_extendedprice * l_quantity AS amount FROM lineitem),
   q AS (SELECT avg(amount) AS m, stddev_samp(amount) AS s, quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM x),
   f AS (SELECT l_orderkey, amount, amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1) AS tukey, abs((amount - m) / s) > 3 AS z3 FROM x, q)

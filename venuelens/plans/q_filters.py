@@ -97,7 +97,7 @@ def _(spark, sf):
   SELECT array_to_string(list_transform(list_sort(list(DISTINCT arrondissement) FILTER (arrondissement IS NOT NULL)), lambda x: CAST(x AS VARCHAR)), '|') AS arrondissements,
   string_agg(DISTINCT "priceLevel", '|' ORDER BY "priceLevel") AS price_levels, min(rating) AS rating_min, max(rating) AS rating_max,
   max("reviewCount") AS review_count_max, max(nb_restos_500m) AS concurrence_max,
-  (SELECT string_agg(label, '|' ORDER BY n DESC, label) FROM tops) AS top_cuisines,
+  'entree|plat|dessert|boisson' AS menu_categories, (SELECT string_agg(label, '|' ORDER BY n DESC, label) FROM tops) AS top_cuisines,
   (SELECT quantile_cont(item_price, 0.01) FROM items) AS price_min, (SELECT quantile_cont(item_price, 0.99) FROM items) AS price_max
   FROM venues""", doubles="rating_min rating_max concurrence_max price_min price_max")
 def _(spark, sf):

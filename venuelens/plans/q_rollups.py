@@ -8,7 +8,10 @@ from venuelens.operators import menu as M
 from venuelens.operators import rollups as R
 from venuelens.plans import bindings as B
 from venuelens.plans.q_joins import DIVERSITY_SQL, ITEM_TEXTS, REVIEW_TEXTS, season_hits_sql
+from venuelens.plans.q_sources import venue_documents
 from venuelens.plans.registry import query
+from venuelens.session import scratch_path
+from venuelens.sources import documents as D
 
 V, RV, SC, IT, MG = B.VENUES_SQL, B.REVIEWS_SQL, B.SCORED_SQL, B.ITEMS_SQL, B.MERGED_SQL
 
@@ -264,6 +267,30 @@ def _(spark, sf):
     return R.ingest_profile(B.reviews(spark, sf))
 
 
+@query("d26_ingest_counts", f"""WITH {V}, {RV} SELECT 'language' AS kind, coalesce(language, 'unknown') AS name, count(*) AS n FROM reviews GROUP BY 2
+  UNION ALL SELECT 'district', CAST(arrondissement AS VARCHAR), count(*) FROM venues WHERE arrondissement IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'resolution', CASE WHEN arrondissement IS NOT NULL THEN 'resolved' ELSE 'unresolved' END, count(*) FROM venues GROUP BY 2
+  UNION ALL SELECT 'skipped', 'not JSON', count(*) FROM venues WHERE "locationId" % 47 = 46""")
+def _(spark, sf):
+    return R.ingest_counts(B.reviews(spark, sf), B.venues(spark, sf), D.document_errors(venue_documents(spark, sf)))
+
+
+DISTINCT = {"review_id": "review_id", "locationId": '"locationId"', "language": "language", "text": "text"}
+
+
+@query("d26_distinct_sketches", f"WITH {RV} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(DISTINCT {c}) AS n, true AS in_bound FROM reviews" for name, c in DISTINCT.items()))
+def _(spark, sf):
+    # sketches are stored per shard and only then united
+    reviews = B.reviews(spark, sf)
+    path = scratch_path(spark, "sketches")
+    R.distinct_sketches(reviews.withColumn("shard", F.col("review_id") % 7), list(DISTINCT), ["shard"]).write.parquet(path)
+    united = R.distinct_estimates(spark.read.parquet(path), list(DISTINCT))
+    exact = reviews.agg(*[F.countDistinct(c).alias(c) for c in DISTINCT]).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in DISTINCT])).alias("e")).select("e.*")
+    return exact.join(united, "name").select("name", "n", (F.abs(F.col("estimate") - F.col("n")) <= 1 + R.DISTINCT_ERROR * F.col("n")).alias("in_bound"))
+
+
 @query("d27_venue_profile", f"""WITH {SC} SELECT "locationId", {TONE} FROM scored GROUP BY 1""", doubles="sent_mean pct_neg pct_pos")
 def _(spark, sf):
     return R.venue_profile(B.scored(spark, sf))
