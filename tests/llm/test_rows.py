@@ -97,6 +97,22 @@ def test_full_license_text_is_found(spark):
     assert {r.doc_id: r.labels for r in rows} == {1: "mit-text", 2: ""}
 
 
+@pytest.mark.parametrize("label", sorted(license_scan.TEMPLATES))
+def test_every_template_needs_its_wording_to_the_end(label):
+    a = license_scan.Automaton(license_scan.TEMPLATES)
+    markup = license_scan.TEMPLATES[label]
+    filled = re.sub(r"<<var;min=(\d+);max=(\d+)>>", lambda m: " ".join(f"holder{i}" for i in range(int(m[2]))) if int(m[1]) < int(m[2]) else "3", markup)
+    plain = re.sub(r"<<[^>]*>>", " ", filled).split()
+    assert label in {n for n, _, _ in a.places([w.encode() for w in plain])}
+    # a word of the mandatory wording changed or missing, the last one included
+    bare = re.sub(r"<<beginOptional>>.*?(<<endOptional>>)+", " ", re.sub(r"<<var[^>]*>>", " ", markup), flags=re.S)
+    mandatory = set(re.sub(r"<<[^>]*>>", " ", bare).split())
+    for at in {len(plain) // 2, len(plain) - 1}:
+        if plain[at] in mandatory:
+            for changed in (plain[:at] + ["changed"] + plain[at + 1:], plain[:at] + plain[at + 1:]):
+                assert label not in {n for n, _, _ in a.places([w.encode() for w in changed])} or label == "gpl-grant"
+
+
 def test_every_prefix_count_equals_the_library():
     counter = prefix_tokens.PrefixCounter(public_tokenizers.path(prefix_tokens.MODEL))
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(prefix_tokens.MODEL))

@@ -23,24 +23,58 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-# Published license wording, with regions marked.
+# Published license wording to its end, with regions marked: names and years can be replaced, headings and
+# list marks left out. Words are what counts, so punctuation is left out here.
 TEMPLATES = {
     "all-rights-reserved": "all rights reserved",
     "apache-2.0-grant": "licensed under the <<beginOptional>>terms of the<<endOptional>> apache license version 2 0",
     "apache-2.0-notice": """licensed under the apache license version 2 0 the license you may not use this file except in
         compliance with the license you may obtain a copy of the license at <<var;min=1;max=12>> unless required by
         applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
-        without warranties or conditions of any kind either express or implied""",
+        without warranties or conditions of any kind either express or implied see the license for the specific language
+        governing permissions and limitations under the license""",
     "bsd-2-clause-text": """redistribution and use in source and binary forms with or without modification are permitted
         provided that the following conditions are met <<var;min=0;max=2>> redistributions of source code must retain
         the above copyright notice this list of conditions and the following disclaimer <<var;min=0;max=2>>
         redistributions in binary form must reproduce the above copyright notice this list of conditions and the
-        following disclaimer in the documentation and or other materials provided with the distribution""",
+        following disclaimer in the documentation and or other materials provided with the distribution
+        this software is provided by <<var;min=1;max=12>> as is and any express or implied warranties including but not
+        limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event
+        shall <<var;min=1;max=12>> be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business
+        interruption however caused and on any theory of liability whether in contract strict liability or tort including
+        negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of
+        such damage""",
+    "bsd-3-clause-text": """redistribution and use in source and binary forms with or without modification are permitted
+        provided that the following conditions are met <<var;min=0;max=2>> redistributions of source code must retain
+        the above copyright notice this list of conditions and the following disclaimer <<var;min=0;max=2>>
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+        following disclaimer in the documentation and or other materials provided with the distribution <<var;min=0;max=2>>
+        neither the name of <<var;min=1;max=12>> nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission
+        this software is provided by <<var;min=1;max=12>> as is and any express or implied warranties including but not
+        limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event
+        shall <<var;min=1;max=12>> be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business
+        interruption however caused and on any theory of liability whether in contract strict liability or tort including
+        negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of
+        such damage""",
     "cc-by-nc-grant": """licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>creative commons<<endOptional>>
         cc by nc <<beginOptional>>sa<<endOptional>> <<var;min=0;max=2>>""",
     "gpl-grant": "licensed under the gnu general public license version <<var;min=1;max=1>>",
+    "gpl-notice": """this program is free software you can redistribute it and or modify it under the terms of the gnu general
+        public license as published by the free software foundation either version <<var;min=1;max=1>> of the license or at
+        your option any later version this program is distributed in the hope that it will be useful but without any warranty
+        without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+        license for more details you should have received a copy of the gnu general public license along with this program
+        if not see <<var;min=1;max=6>>""",
     "isc-text": """permission to use copy modify and or distribute this software for any purpose with or without fee is
-        hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
+        hereby granted provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and <<var;min=1;max=12>> disclaims all warranties with regard to this software
+        including all implied warranties of merchantability and fitness in no event shall <<var;min=1;max=12>> be liable for any
+        special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software""",
     "mit-grant": """<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit
         license""",
     "mit-text": """<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;min=1;max=12>><<endOptional>>
@@ -49,7 +83,11 @@ TEMPLATES = {
         rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
         persons to whom the software is furnished to do so subject to the following conditions the above copyright
         notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included
-        in all copies or substantial portions of the software""",
+        in all copies or substantial portions of the software
+        the software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+        <<var;min=1;max=12>> be liable for any claim damages or other liability whether in an action of contract tort or
+        otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
 }
 
 MARK = re.compile(r"<<(beginOptional|endOptional|var;min=(\d+);max=(\d+))>>")
