@@ -147,11 +147,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 
 def taken_words(placed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The documents of a mix with ``taken``, the words that it takes of each, repeats counted."""
-    sums = pieces.groupBy("place", "start").agg(F.sum("words").alias("_taken"))
+    """The documents of a mix with ``taken``, the words that it takes of each (repeats counted), and where: ``first_slot``, the first
+    slot of the schedule that takes some, and ``n_slots``. A document that no slot takes has no first slot."""
+    sums = pieces.groupBy("place", "start").agg(F.sum("words").alias("_taken"), F.min("slot").alias("_first"), F.countDistinct("slot").alias("_slots"))
     # of documents with one start all but one have no words
     words = placed.join(sums, ["place", "start"], "left")
-    return words.withColumn("taken", F.when(F.col("size") > 0, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long")).drop("_taken")
+    held = F.col("size") > 0
+    return words.withColumns({"taken": F.when(held, F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long"), "first_slot": F.when(held, F.col("_first")),
+                              "n_slots": F.when(held, F.coalesce("_slots", F.lit(0))).otherwise(0).cast("long")}).drop("_taken", "_first", "_slots")
 
 
 def first_words(text: str, n: int) -> str:

@@ -16,7 +16,7 @@ def op1(spark, sf):
 @query("op3_mixing")
 def op3(spark, sf):
     placed, pieces = mixing.mix(table(spark, sf, "documents"))
-    return mixing.taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.taken_words(placed, pieces).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot", "n_slots")
 
 
 @query("op5_quality_rules")
