@@ -49,16 +49,16 @@ def node_of(own: np.ndarray) -> int:
 
 
 def fact_rows(rows: Iterable[tuple]) -> Iterator[tuple]:
-    """(doc_id, node, n_shingles, sketch row, sketch counts): a row per document, then the task's sketch."""
+    """(doc_id, text_hash, node, n_shingles, sketch row, sketch counts): a row per document, then the task's sketch."""
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     shift = np.uint64(64 - SKETCH_BITS)
-    for doc_id, text in rows:
+    for doc_id, text, text_hash in rows:
         own = shingle_set(text)
         np.add.at(counts, (own >> shift).astype(np.int64), 1)
-        yield doc_id, node_of(own) if len(own) else None, len(own), None, None
+        yield doc_id, text_hash, node_of(own) if len(own) else None, len(own), None, None
     for i, part in enumerate(counts.reshape(1 << SKETCH_ROW, -1)):
         if part.any():
-            yield None, None, None, i, part.tobytes()
+            yield None, None, None, None, i, part.tobytes()
 
 
 def sketch_ranks(facts: DataFrame) -> np.ndarray:
@@ -224,16 +224,43 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pe
     shingle. Rows of equal texts are linked whatever their ids; a null id is linked with nothing and its component is
     null. An empty table gives no rows. Other columns are not read. Sets are compared by 64-bit hashes.
     """
+    return grouped_rows(docs, doc_id, text, percent).select(
+        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
+
+
+def grouped_rows(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """Every row with a hash of its text, its shingles, its component's ``root`` (a set) and that component's ``lowest`` id."""
     plain = narrow(docs, doc_id=doc_id, text=text)
-    facts = written(map_rows(plain, fact_rows, "doc_id long, node long, n_shingles long, cell_row int, cells binary"), "facts")
+    facts = written(map_rows(plain.withColumn("text_hash", F.xxhash64("text")), fact_rows,
+                             "doc_id long, text_hash long, node long, n_shingles long, cell_row int, cells binary"), "facts")
     ranks = sketch_ranks(facts)
-    own = facts.filter("cell_row IS NULL").select("doc_id", "node", "n_shingles")
+    own = facts.filter("cell_row IS NULL").select("doc_id", "text_hash", "node", "n_shingles")
     labels = components(set_links(plain, own, ranks, percent))
     rooted = written(own.join(labels, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root")), "rooted")
+        "doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root")), "rooted")
     lowest = written(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("lowest")), "lowest")
-    return rooted.join(lowest, "root", "left").select(
-        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("lowest", "doc_id").alias("component_id"))
+    return rooted.join(lowest, "root", "left")
+
+
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row of the smallest id, then of the smallest text hash, stays.
+
+    Rows go, not ids: a row that is like no other stays whatever other rows have its id, and of equal rows one stays. Rows without a
+    word or without an id are like no other. All columns stay as they are; an empty table gives no rows.
+    """
+    rows = written(grouped_rows(docs, doc_id, text, percent).filter("root IS NOT NULL").groupBy("root", "doc_id", "text_hash")
+                   .agg(F.count("*").alias("n")), "groups")
+    best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"))
+    judged = written(rows.join(best, "root").select(F.col("doc_id").alias("__near_d"), F.col("text_hash").alias("__near_h"), "n",
+                                                    (F.struct("doc_id", "text_hash") == F.col("best")).alias("stays")), "judged")
+    hashed = docs.withColumn("__near_hash", F.xxhash64(F.col(f"`{text}`")))
+    on = (F.col(f"`{doc_id}`") == F.col("__near_d")) & (F.col("__near_hash") == F.col("__near_h"))
+    left = hashed.join(judged.filter("NOT stays"), on, "left_anti")
+    repeated = judged.filter("stays AND n > 1")
+    if not repeated.isEmpty():
+        # rare: the texts of repeated rows only are shuffled
+        left = left.join(repeated, on, "left_anti").unionByName(left.join(repeated, on, "left_semi").dropDuplicates([doc_id, "__near_hash"]))
+    return left.drop("__near_hash")
 
 
 def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
