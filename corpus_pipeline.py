@@ -16,33 +16,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep. A null or empty text fails; repeated rows are judged one by one; no rows give none."""
     return repetition.kept_documents(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of similar sets. Rows of one id stay or go together; a null id stays."""
-    groups = jaccard.similar_sets(docs)
-    dropped = written(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.select(COLUMNS).join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of similar texts: that of the smallest id, then of the smallest text hash.
+
+    Rows go, not ids; of equal rows one stays. A row without a word or with a null id is like no other and stays. No rows give none.
+    """
+    return jaccard.kept_documents(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller id has; emptied documents go."""
+    """Texts without the passages that a document with a smaller id has; emptied documents go.
+
+    A null id or text stays as it is; rows of one id are one document, and all of them lose the passages found in one; no rows give none.
+    """
     docs = docs.select(COLUMNS)
     found = compact_windows.repeated_passages(docs)
     return with_length(compact_windows.cut_passages(docs, found))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix takes them."""
+    """Documents as often, and as far, as the mix takes them.
+
+    A null source is a source of its own, last in order; documents without a word are not taken; repeated rows are taken each for
+    itself; ties in the shuffled order are broken by id, size and text hash; no rows give none.
+    """
     docs = docs.select(COLUMNS)
     placed, pieces = mixing.mix(docs)
     return with_length(mixing.mixed_documents(docs, placed, pieces))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences. A null text is empty (its end mark alone); rows of one id are packed each for itself; no
+    rows give none."""
     return packing.pack(docs)
 
 
