@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -241,6 +242,78 @@ def test_passages_of_frequent_lines_are_found(spark):
         assert min(len(a), len(b)) >= 50 and (a == b or similar(shingles(b" ".join(a).decode()), shingles(b" ".join(b).decode())))
 
 
+def near_pairs(changed, n=70):
+    """Pairs of copies of one passage of n words, each with one word changed, that share a similar part of 50 words or more."""
+    out = set()
+    for i, p in enumerate(changed):
+        for j, q in enumerate(changed[:i]):
+            for size in range(50, n + 1):
+                for s in range(n - size + 1):
+                    lost = {k for c in (p, q) for k in range(max(s, c - 4), min(c, s + size - 5) + 1) if s <= c < s + size} if p != q else set(range(max(s, p - 4), min(p, s + size - 5) + 1)) if s <= p < s + size else set()
+                    every = size - 4
+                    if 100 * (every - len(lost)) >= 80 * (every + len(lost)):
+                        out.add((i, j))
+                        break
+                else:
+                    continue
+                break
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_near_passages_of_a_family_are_found(spark, monkeypatch, hot):
+    monkeypatch.setattr(compact_windows, "HOT_WINDOWS", hot)
+    monkeypatch.setattr(compact_windows, "SAMPLED", 1)
+    rng = random.Random(17)
+    passage = prose(777, 70).split()
+    changed, rows = [], []
+    for i in range(120):
+        at = rng.randrange(70)
+        changed.append(at)
+        own = [*passage[:at], f"other{i}", *passage[at + 1:]]
+        rows.append((i, prose(5000 + i, rng.randint(30, 90)) + " " + " ".join(own) + " " + prose(6000 + i, rng.randint(30, 90)), "s"))
+    want = {i for i, _ in near_pairs(changed)}
+    found = compact_windows.repeated_passages(frame(spark, rows).repartition(3)).collect()
+    texts = {i: lowered_words(t) for i, t, _ in rows}
+    for r in found:
+        a, b = (shingles(b" ".join(texts[d][s:e]).decode()) for d, s, e in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)))
+        assert similar(a, b) and min(r.end - r.start, r.other_end - r.other_start) >= 50
+    got = {r.doc_id for r in found}
+    assert len(want) > 100 and len(want & got) >= 0.95 * len(want)
+
+
+def test_near_passages_of_two_documents_are_found(spark):
+    rng, rows = random.Random(4), []
+    for k in range(150):
+        own = prose(30_000 + k, 60).split()
+        rows.append((2 * k, prose(31_000 + k, 40) + " " + " ".join(own) + " " + prose(32_000 + k, 40), "s"))
+        own[rng.randrange(60)] = "changed"
+        rows.append((2 * k + 1, prose(33_000 + k, 50) + " " + " ".join(own), "s"))
+    got = {(r.doc_id, r.other_id) for r in compact_windows.repeated_passages(frame(spark, rows).repartition(3)).collect()}
+    assert got <= {(2 * k + 1, 2 * k) for k in range(150)} and len(got) >= 147
+
+
+def test_windows_by_sliding_minima_are_the_cut_nodes_of_the_tree():
+    rng = np.random.default_rng(8)
+    for n in (0, 3, 5, 40, 300):
+        h = rng.permutation(10 * n + 1)[:n].astype(np.uint64)
+        for span in (5, 17):
+            want = sorted((max(lo, c - span + 1), c, min(hi, c + span - 1)) for lo, c, hi in compact_windows.compact_windows(h, span))
+            assert sorted(zip(*[x.tolist() for x in compact_windows.span_windows(h, span)])) == want
+
+
+def test_half_run_centers_agree_in_every_copy():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        passage = rng.integers(0, rng.choice([2, 50, 10**9]), 46, dtype=np.uint64)
+        places = []
+        for before in (0, int(rng.integers(0, 40))):
+            tokens = np.concatenate([rng.integers(0, 50, before, dtype=np.uint64), passage, rng.integers(0, 50, 9, dtype=np.uint64)])
+            key, at = compact_windows.half_run_windows(tokens, 46)
+            places.append({(int(p) - before, int(k)) for k, p in zip(key, at) if before <= p <= before + 23})
+        assert places[0] & places[1]
+
+
 def test_passages_on_edges_and_cutting(spark, edges, nothing):
     found = compact_windows.repeated_passages(edges)
     assert {(r.doc_id, r.other_id) for r in found.collect()} == {(7, 6), (9, 8)}
@@ -357,3 +430,50 @@ def test_pipeline_on_no_documents(spark, nothing):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, ""), "stage")
     assert docs.filter(F.lit(True)).count() == 0
+
+
+def test_near_duplicates_drop_rows_and_not_ids(spark, nothing):
+    near = prose(60, 90)
+    rows = [(1, near, "s"), (2, edited(near, 1, 1), "s"), (2, prose(61, 70), "s"), (1, near, "s"), (1, prose(62, 70), "s"), (None, near, "s"), (None, near, "s"),
+            (3, None, "s"), (3, "", "s"), (3, "", "s"), (0, prose(63, 50), "s"), (4, prose(63, 50).upper(), "s"), (4, prose(63, 50).upper(), "s")]
+    kept = jaccard.kept_documents(frame(spark, rows).repartition(3))
+    assert kept.columns == nothing.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    want = [(1, near), (2, rows[2][1]), (1, rows[4][1]), (None, near), (None, near), (3, None), (3, ""), (3, ""), (0, rows[10][1])]
+    assert got == sorted(want, key=repr)
+    assert jaccard.kept_documents(nothing).collect() == []
+
+
+def test_slots_follow_the_van_der_corput_points(spark):
+    rng = random.Random(5)
+    docs = [(i, prose(40_000 + i, rng.randint(1, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)]
+    placed, pieces = mixing.mix(frame(spark, docs), block=16)
+    slots = {r.slot: r.place for r in pieces.select("slot", "place").distinct().collect()}
+    goals = {r.place: r.target for r in placed.select("place", "target").distinct().collect()}
+    quota = {p: -(-max(1, round(t)) // 16) for p, t in goals.items()}
+    whole = sum(quota.values())
+    # every point in order goes to the source under it until that has all its slots
+    bounds = np.cumsum([0] + [quota[p] for p in sorted(quota)])
+    used, want = Counter(), {}
+    for i in range(mixing.POINTS * whole):
+        point = int(min(int(f"{i:053b}"[::-1], 2) / 2.0 ** 53 * whole, whole - 1))
+        place = sorted(quota)[int(np.searchsorted(bounds, point, side="right")) - 1]
+        if used[place] < quota[place]:
+            used[place] += 1
+            want[i] = place
+    assert slots == want and used == quota
+    # the points are even: in any prefix a source has about its share of the slots
+    seen = Counter()
+    for n, i in enumerate(range(whole), 1):
+        if i in want:
+            seen[want[i]] += 1
+        for p in quota:
+            share = n * quota[p] / whole
+            assert seen[p] <= share + 2 + np.log2(whole) and (seen[p] >= share - 2 - np.log2(whole) or seen[p] == quota[p])
+    rows = mixing.taken_words(placed, pieces).collect()
+    own = {}
+    for r in pieces.collect():
+        own.setdefault((r.place, r.start), set()).add(r.slot)
+    for r in rows:
+        mine = own.get((r.place, r.start), set()) if r.size else set()
+        assert (r.first_slot, r.n_slots) == (min(mine, default=None), len(mine))
