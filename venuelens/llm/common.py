@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from venuelens.session import scratch_path
 
 
+ROWS_AT_ONCE = 512
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,7 +45,9 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str,
 
         def rows():
             for batch in batches:
-                yield from zip(*[c.to_pylist() for c in batch.columns])
+                # not all texts of a batch at once as Python objects
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    yield from zip(*[c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns])
 
         held: list[tuple] = []
         for row in fn(rows(), *state):

@@ -158,9 +158,8 @@ def kept_documents(docs: DataFrame, text: str = "text", window: int = WINDOW, mi
 
     def run(batches):
         for batch in batches:
-            values = batch.column(at).to_pylist()
-            good = [passes(m[1], m[5], m[6], min_words, max_covered_percent, max_longest_percent)
-                    for m in measure(enumerate(values), window)]
+            values = ((i, v.as_py()) for i, v in enumerate(batch.column(at)))
+            good = [passes(m[1], m[5], m[6], min_words, max_covered_percent, max_longest_percent) for m in measure(values, window)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return map_batches(docs, run, docs)
