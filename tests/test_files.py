@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from venuelens.plans import build
+from venuelens.plans import build, q_sources
 from venuelens.schemas import SENTIMENT_REVIEWS
 from venuelens.sources import documents, files, tables
 from venuelens.streaming import ids, incremental
@@ -37,6 +37,14 @@ def test_listing_and_texts_with_reasons(spark, tmp_path):
     assert documents.read_documents(spark, str(tmp_path / "absent")).collect() == []
 
 
+def test_files_of_one_split_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id AS s_suppkey", "'S' || id AS s_name", "CAST(id AS DOUBLE) AS s_acctbal")
+    rows.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    written = glob.glob(q_sources.supplier_files(spark, str(tmp_path)) + "/id=*/part-*.txt")
+    assert len(written) == 60
+    assert len({os.path.basename(w).split("-")[1] for w in written}) > 1
+
+
 def test_damaged_pages_and_texts_are_reported_per_file(spark, tmp_path):
     base = str(tmp_path / "sentiment_reviews")
     for part in range(3):

@@ -54,12 +54,17 @@ def _(spark, sf):
 
 
 def supplier_files(spark, sf):
-    """One file per supplier in the shared folder: a venue document, broken JSON, or JSON that is no venue."""
+    """One file per supplier in the shared folder: a venue document, broken JSON, or JSON that is no venue.
+
+    A file costs much more than a row, so the rows are dealt out over the cores, and each task moves its own files to their place.
+    """
     path = scratch_path(spark, "documents")
     k = F.col("s_suppkey")
     doc = F.to_json(F.array(F.struct(k.alias("locationId"), F.col("s_name").alias("name"), F.struct(F.col("s_acctbal").alias("rating")).alias("reviewSummary"))))
     value = F.when(k % 47 == 46, "[{broken").when(k % 31 == 30, '{"data": [1]}').when(k % 37 == 36, F.repeat(F.lit(" "), 5000)).otherwise(doc)
-    B.table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"]).select(k.alias("id"), value.alias("value")).write.partitionBy("id").text(path)
+    rows = tables.spread_input(B.table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"]), spark.sparkContext.defaultParallelism, "s_suppkey")
+    (rows.select(k.alias("id"), value.alias("value")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("id").text(path))
     return path
 
 
