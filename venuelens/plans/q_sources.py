@@ -8,7 +8,7 @@ from venuelens.operators import joins as J
 from venuelens.operators import menu as M
 from venuelens.plans import bindings as B
 from venuelens.plans.registry import query
-from venuelens.session import scratch_path
+from venuelens.session import cut_lineage, scratch_path
 from venuelens.sources import documents as D
 from venuelens.sources import files, sinks, tables
 from venuelens.schemas import SENTIMENT_REVIEWS
@@ -105,7 +105,8 @@ def menu_documents(spark, sf):
 @query("a2_menu_documents", f"""WITH {B.ITEMS_SQL} SELECT "locationId", menu_title, section_title, item_title, item_description,
   item_price, category FROM items""", doubles="item_price")
 def _(spark, sf):
-    return M.menu_items(D.parse_menu(menu_documents(spark, sf)))
+    # parsed once: calibration and classification pass over the items several times
+    return M.menu_items(cut_lineage(D.parse_menu(menu_documents(spark, sf))))
 
 
 def review_documents(spark, sf):

@@ -62,12 +62,14 @@ def parse_venues(docs: DataFrame) -> DataFrame:
 def parse_menu(docs: DataFrame) -> DataFrame:
     """One row per menu item with all its price texts; empty levels give no rows."""
     item = F.col("i")
-    return (parsed_venues(docs).select(F.col("r.locationId").alias("locationId"),
-                                F.explode("r.menu.providerContent.providerMenu.menu").alias("m"))
-            .select("locationId", F.coalesce("m.title_unobsfuscated", F.lit("")).alias("menu_title"),
-                    F.explode("m.sections").alias("s"))
-            .select("locationId", "menu_title", F.nullif("s.title_unobsfuscated", F.lit("")).alias("section_title"),
-                    F.explode("s.items").alias("i"))
+    # outer, as Spark tests what a plain explode reads for emptiness as early as it can: there all documents would be parsed
+    # once more, before they are dealt out. Levels without elements have no place.
+    menus = parsed_venues(docs).select(F.col("r.locationId").alias("locationId"),
+                                       F.posexplode_outer("r.menu.providerContent.providerMenu.menu").alias("p", "m")).filter("p IS NOT NULL")
+    sections = menus.select("locationId", F.coalesce("m.title_unobsfuscated", F.lit("")).alias("menu_title"),
+                            F.posexplode_outer("m.sections").alias("p", "s")).filter("p IS NOT NULL")
+    return (sections.select("locationId", "menu_title", F.nullif("s.title_unobsfuscated", F.lit("")).alias("section_title"),
+                            F.posexplode_outer("s.items").alias("p", "i")).filter("p IS NOT NULL")
             .select("locationId", "menu_title", "section_title",
                     F.coalesce(item["title_unobsfuscated"], F.lit("")).alias("item_title"),
                     F.coalesce(item["description_unobsfuscated"], F.lit("")).alias("item_description"),
