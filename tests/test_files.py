@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from venuelens.plans import build, q_sources
+from venuelens.plans import build, q_incremental, q_sources
 from venuelens.schemas import SENTIMENT_REVIEWS
 from venuelens.sources import documents, files, tables
 from venuelens.streaming import ids, incremental
@@ -141,3 +141,27 @@ def test_a_repeated_batch_replaces_its_first_attempt(spark, tmp_path):
 def test_running_table_needs_a_version(spark, tmp_path):
     with pytest.raises(ValueError):
         incremental.latest_version(spark, str(tmp_path / "none"))
+
+
+def test_more_files_land_where_more_splits_are_read(spark, tmp_path):
+    docs = spark.range(200).selectExpr("id AS doc_id", "'a good text ' || id AS text", "'en' AS lang", "'web' AS source")
+    docs.repartition(40).write.parquet(str(tmp_path / "documents.parquet"))
+    path, _, n = q_incremental._landed_reviews(spark, str(tmp_path), copies=True)
+    landed = glob.glob(path + "/part-*.parquet")
+    assert len(landed) == n > 4
+    rows = spark.read.parquet(path).groupBy("review_id").count().collect()
+    assert {r["review_id"]: r["count"] for r in rows} == {i: 1 + (i % 5 == 0) for i in range(200)}
+
+
+def test_menus_are_parsed_after_they_are_dealt_out(spark):
+    texts = ["""[{"locationId": 1, "menu": {"providerContent": {"providerMenu": {"menu": [null, {"title_unobsfuscated": "M", "sections": [
+               {"items": []}, null, {"title_unobsfuscated": "S", "items": [null, {"title_unobsfuscated": "I", "prices": []}]}]}, {"sections": null}]}}}}]""",
+             """[{"locationId": 2, "menu": {"providerContent": {"providerMenu": {"menu": []}}}}]""", "[{broken"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, value string")
+    found = documents.parse_menu(docs)
+    assert [(r.locationId, r.menu_title, r.section_title, r.item_title) for r in found.orderBy("item_title").collect()] == [
+        (1, "M", "S", ""), (1, "M", "S", "I")]
+    dealt = spark.createDataFrame(docs.collect(), docs.schema).repartition(4, "id")
+    plan = documents.parse_menu(dealt)._jdf.queryExecution().optimizedPlan().toString()
+    before, after = plan.split("RepartitionByExpression")
+    assert "from_json" in before and "from_json" not in after

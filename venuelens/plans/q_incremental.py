@@ -53,23 +53,29 @@ def _(spark, sf):
     return M.score_reviews(B.reviews(spark, sf, spread=True), fallback=neutral_scorer).select(*SHOWN)
 
 
+def _arriving(df) -> int:
+    """How many files arrive: four at least, and one for every split that is read, so that a file does not grow with the tables."""
+    return max(4, df.rdd.getNumPartitions())
+
+
 def _landed_reviews(spark, sf, copies: bool):
-    """The reviews as several files in a landing folder; with ``copies``, every fifth twice."""
+    """The reviews as several files in a landing folder, and how many; with ``copies``, every fifth twice."""
     path = scratch_path(spark, "landing")
     r = B.reviews(spark, sf)
     if copies:
         r = r.unionByName(r.filter("review_id % 5 = 0"))
-    r.repartition(4, "review_id").write.parquet(path)
-    return path, r.schema
+    n = _arriving(r)
+    r.repartition(n, "review_id").write.parquet(path)
+    return path, r.schema, n
 
 
 @query("i2_resumed_scoring", model_sql(), doubles=MODEL_D)
 def _(spark, sf):
-    path, schema = _landed_reviews(spark, sf, copies=True)
+    path, schema, n = _landed_reviews(spark, sf, copies=True)
     sink, state = scratch_path(spark, "scores"), scratch_path(spark, "state")
     # The second run finds nothing new.
     for _run in range(2):
-        I.score_stream(I.file_stream(spark, path, schema, files_per_batch=2), sink, state)
+        I.score_stream(I.file_stream(spark, path, schema, files_per_batch=n // 2), sink, state)
     return spark.read.parquet(sink).select(*SHOWN)
 
 
@@ -107,11 +113,13 @@ def _(spark, sf):
 
 
 def _running(spark, sf):
-    """The running table of the scored reviews, which arrive in four files, two a batch; every fifth review lies in two files."""
+    """The running table of the scored reviews, which arrive in four files or more, half of them a batch; every fifth review lies in two files."""
     path, out, state = (scratch_path(spark, n) for n in ("scored", "running", "state"))
     s = B.scored(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in SENTIMENT_REVIEWS.fields])
-    s.unionByName(s.filter("review_id % 5 = 0")).repartition(4).write.parquet(path)
-    I.rollup_stream(I.file_stream(spark, path, SENTIMENT_REVIEWS, files_per_batch=2), out, state)
+    s = s.unionByName(s.filter("review_id % 5 = 0"))
+    n = _arriving(s)
+    s.repartition(n).write.parquet(path)
+    I.rollup_stream(I.file_stream(spark, path, SENTIMENT_REVIEWS, files_per_batch=n // 2), out, state)
     return I.latest_version(spark, out)
 
 
