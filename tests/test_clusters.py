@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from venuelens.operators import clusters, rollups, spatial
+from venuelens.operators import clusters, reports, rollups, spatial
+from venuelens.sources import tables
 
 
 def drawn(key, turn):
@@ -82,3 +83,12 @@ def test_sketches_unite_to_the_sketch_of_all_rows(spark):
     parts = rollups.distinct_sketches(df.withColumn("shard", F.col("a") % 4), ["a", "b", "c"], ["shard"])
     got = {r.name: r.estimate for r in rollups.distinct_estimates(parts, ["a", "b", "c"]).collect()}
     assert abs(got["a"] - 5000) <= rollups.DISTINCT_ERROR * 5000 and got["b"] == 3 and not got["c"]
+
+
+def test_rows_of_one_part_are_dealt_over_the_cores(spark):
+    one = spark.range(400).selectExpr("id AS locationId", "id % 20 / 10 AS latitude", "id % 7 / 10 AS longitude").coalesce(1)
+    assert tables.stored_and_spread(one, "locationId").rdd.getNumPartitions() > 1
+    spread = one.repartition(20)
+    assert tables.stored_and_spread(spread, "locationId").rdd.getNumPartitions() == 20
+    for labels in (clusters.kmeans(one, "locationId", ["latitude", "longitude"], 3)[0], reports.spatial_clusters(one, 3, 2)[0]):
+        assert labels.rdd.getNumPartitions() > 1 and labels.count() == 400

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuelens.session import cut_lineage
+from venuelens.sources.tables import stored_and_spread
 
 OVERSAMPLING = 2.0
 ROUNDS = 5
@@ -72,7 +72,7 @@ def kmeans(df: DataFrame, key: str, columns: list[str], k: int = 8, max_steps: i
     data = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
     for c in columns:
         data = data.filter(F.col(c).isNotNull())
-    data = cut_lineage(data)
+    data = stored_and_spread(data, key)
     centres = seeds(data, key, columns, k, rounds)
     schema = f"cluster int, {', '.join(f'`{c}` double' for c in columns)}, n long, inertia double"
     if not centres:

@@ -15,6 +15,7 @@ from venuelens.operators import stats
 from venuelens.operators.quantiles import grouped_stats
 from venuelens.operators.skew import spread_join
 from venuelens.session import cut_lineage
+from venuelens.sources.tables import stored_and_spread
 
 
 def rankings(df: DataFrame, group: str, metric: str, key: str, rows_per_bucket: int | None = None) -> DataFrame:
@@ -114,8 +115,8 @@ def spatial_clusters(venues: DataFrame, k: int = 8, steps: int = 10, key: str =
     The first centres are the k venues with the smallest ids. A venue belongs to the nearest centre, the first of
     equally near ones; a centre without venues stays. Only the k centres pass through the driver.
     """
-    data = cut_lineage(venues.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-                       .select(key, "latitude", "longitude"))
+    data = stored_and_spread(venues.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+                             .select(key, "latitude", "longitude"), key)
     centres = [(r["latitude"], r["longitude"]) for r in data.orderBy(key).limit(k).collect()]
     if not centres:
         return (data.select(key, F.lit(None).cast("int").alias("cluster")),

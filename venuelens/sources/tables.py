@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venuelens.functions.scalars import nan_to_null
+from venuelens.session import cut_lineage
 
 
 #: A table of at least so many file splits (128 MB each by default) is never moved to be spread.
@@ -42,6 +43,13 @@ def spread_input(df: DataFrame, parts: int, key: str) -> DataFrame:
     return df.repartition(parts, key) if df.rdd.getNumPartitions() < min(parts, SMALL_SPLITS) else df
 
 
+def stored_and_spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` stored, and stored once more in rows dealt over the cores where it lies in few parts: for rows that are read many times."""
+    stored = cut_lineage(df)
+    dealt = spread_input(stored, df.sparkSession.sparkContext.defaultParallelism, key)
+    return stored if dealt is stored else cut_lineage(dealt)
+
+
 def list_paths(spark: SparkSession, glob: str) -> list[str]:
     """Paths behind a glob, in order, through the cluster's own file system API."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
