@@ -260,6 +260,28 @@ def near_pairs(changed, n=70):
     return out
 
 
+def hidden_passage(seed):
+    """Texts 1 to 7 around one line of 30 words; in 3 and 6 the same 50 words are around it. Where 6 meets 3 by its windows as first or previous."""
+    rng = random.Random(seed)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    line, before, after = some(30), some(10), some(10)
+    texts = {i: some(60) + (before + line + after if i in (3, 6) else line) + some(60) for i in range(1, 8)}
+    tokens = [compact_windows.shingle_hashes(lowered_words(" ".join(t))) for t in texts.values()]
+    rows = compact_windows.windows_of(list(texts), tokens, 46, 4, np.zeros(0, np.int64))
+    docs_of = {}
+    for key, doc, place in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist()):
+        docs_of.setdefault((key, (place >> 12 & 15) - 1), set()).add(doc)
+    met = {k for (_, k), docs in docs_of.items() if {3, 6} <= docs and 3 in (min(docs), max(d for d in docs if d < 6))}
+    return {i: " ".join(t) for i, t in texts.items()}, met
+
+
+def test_a_passage_around_a_line_of_many_documents_is_found(spark):
+    texts, _ = next(found for found in map(hidden_passage, range(3000)) if -1 not in found[1] and len(found[1]) < 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = compact_windows.repeated_passages(docs).collect()
+    assert [(r.doc_id, r.other_id, r.start, r.end, r.other_start) for r in rows] == [(6, 3, 60, 110, 60)]
+
+
 @pytest.mark.parametrize("hot", [2, 256])
 def test_near_passages_of_a_family_are_found(spark, monkeypatch, hot):
     monkeypatch.setattr(compact_windows, "HOT_WINDOWS", hot)
