@@ -125,6 +125,26 @@ def test_every_prefix_count_equals_the_library():
             assert counter.longest_prefix(segments, borders, limit) == max(i for i, c in enumerate(counts) if c <= limit)
 
 
+def test_borders_of_tokens_replay_the_merges_of_either_token():
+    counter = prefix_tokens.counter_of(public_tokenizers.path(prefix_tokens.MODEL))
+    # the tasks of one Python process share it
+    assert counter is prefix_tokens.counter_of(public_tokenizers.path(prefix_tokens.MODEL))
+    rng = random.Random(5)
+    numbers = [*range(1, len(counter.tokens)), *[len(counter.tokens) + ord(c) for c in "\t\x00\U0001f600☃"]]
+    for left, right in [(rng.choice(numbers), rng.choice(numbers)) for _ in range(3000)]:
+        one, two = counter.text_of(left), counter.text_of(right)
+        assert counter.apart(left, right) == (counter.merge(one + two) == [one, two])
+        assert counter.apart(0, right) == (counter.merge(two) == [two])
+    # no merging per pair of neighbours, but one per token at most
+    made = []
+    plain = counter.merging
+    counter.merging = lambda text: made.append(text) or plain(text)
+    for word in prose(4, 2000).split():
+        counter.prefixes(" " + word)
+    assert len(made) == len(set(made)) and set(made) <= {counter.text_of(n) for n in counter.edges}
+    del counter.merging
+
+
 def test_token_counts_on_edges(edges, nothing):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(prefix_tokens.MODEL))
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in prefix_tokens.token_counts(edges).collect())
