@@ -324,6 +324,22 @@ def test_windows_by_sliding_minima_are_the_cut_nodes_of_the_tree():
             assert sorted(zip(*[x.tolist() for x in compact_windows.span_windows(h, span)])) == want
 
 
+def test_runs_of_many_documents_are_told_by_half_run_windows_alone(spark, copies, monkeypatch):
+    tokens = [compact_windows.shingle_hashes(lowered_words(prose(s, 900))) for s in (1, 2)]
+    full, half = (compact_windows.windows_of([4, 5], tokens, 46, n, np.zeros(0, np.int64)).to_pylist() for n in (4, 0))
+    assert half and half == [r for r in full if not r["place"] >> 12 & 15]
+    plans = {}
+
+    def kept(df, name, written=compact_windows.written):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(compact_windows, "written", kept)
+    compact_windows.repeated_passages(frame(spark, copies))
+    # not the windows of all functions are shuffled, and of the others the centers
+    assert "collect_set(center" in plans["crowded-passages"]
+
+
 def test_half_run_centers_agree_in_every_copy():
     rng = np.random.default_rng(2)
     for _ in range(200):
