@@ -1,6 +1,7 @@
 """Operators on pairs and groups: Jaccard join, embeddings, repeated passages, mixing, components, and the pipeline."""
 
 import itertools
+import pathlib
 import random
 from collections import Counter
 
@@ -13,6 +14,7 @@ import corpus_pipeline
 from venuelens.llm import compact_windows, hnsw, jaccard, mixing
 from venuelens.llm.components import components
 from venuelens.llm.shingles import lowered_words
+from venuelens.session import shared_dir
 
 
 def reachable(nodes, links):
@@ -91,6 +93,15 @@ def test_similar_sets_on_edges(edges, nothing):
     assert jaccard.similar_sets(nothing).collect() == []
 
 
+def test_the_join_keeps_no_intermediate_tables_on_disk(spark, copies):
+    jaccard.similar_sets(frame(spark, copies)).collect()
+    at = pathlib.Path(shared_dir(spark).removeprefix("file://")) / "venuelens"
+    before = set(at.iterdir())
+    jaccard.similar_sets(frame(spark, copies)).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in set(at.iterdir()) - before}
+    assert left and not left & {"prefixes", "several", "shared", "good", "left", "sets", "homes", "dense", "placed", "leaves"}
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(4)
     ranks = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from venuelens.llm.common import map_rows, narrow, written
+from venuelens.llm.common import dropped, map_rows, narrow, written
 from venuelens.llm.components import components
 from venuelens.llm.shingles import lowered_words, shingle_hashes, signed
 
@@ -124,7 +124,9 @@ def leaf_tables(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
         F.collect_set(F.struct("node", "root", "hashes")).alias("members"), F.min("n").alias("low_n"), F.max("n").alias("high_n"),
         F.min("root").alias("low_root"), F.max("root").alias("high_root"),
         F.array(*[F.max(F.col("counts")[g]) for g in range(GROUPS)]).alias("high"))
-    return placed, written(members, "leaves")
+    leaves = written(members, "leaves")
+    dropped(load)
+    return placed, leaves
 
 
 def meeting_leaves(shared: DataFrame, placed: DataFrame, leaves: DataFrame, star: bool, percent: int) -> DataFrame:
@@ -281,13 +283,17 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
     # copies in several tasks make a key look shared; the prunings below tell
     several = written(keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "several")
     shared = written(keys.join(several, "key", "left_semi").distinct(), "shared")
+    dropped(keys, several)
     sizes = written(own.filter("node IS NOT NULL").select("node", "n_shingles").distinct(), "sizes")
     for _ in range(PRUNINGS):
-        good = (shared.groupBy("node").agg(F.count("*").alias("_s")).join(sizes, "node")
-                .filter(F.col("_s") >= least_shared("n_shingles", percent)).select("node"))
-        left = written(shared.join(written(good, "good"), "node", "left_semi"), "left")
-        several = left.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key")
-        shared = written(left.join(written(several, "several"), "key", "left_semi"), "shared")
+        good = written(shared.groupBy("node").agg(F.count("*").alias("_s")).join(sizes, "node")
+                       .filter(F.col("_s") >= least_shared("n_shingles", percent)).select("node"), "good")
+        left = written(shared.join(good, "node", "left_semi"), "left")
+        dropped(shared, good)
+        several = written(left.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"),
+                          "several")
+        shared = written(left.join(several, "key", "left_semi"), "shared")
+        dropped(left, several)
     nodes = written(shared.groupBy("node").agg(F.min("key").alias("home")), "nodes")
     # one document per node gives its set; the ids are broadcast if they are few enough
     wanted = written(own.join(nodes.select("node"), "node", "left_semi").filter("doc_id IS NOT NULL").groupBy("node")
@@ -312,11 +318,13 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
     alone = nodes.join(inside, "node", "left_semi").withColumn("root", F.col("node"))
     placed, leaves = leaf_tables(alone, sets)
     first = written(leaf_links(meeting_leaves(dense, placed, leaves, True, percent), leaves, percent), "links")
+    dropped(dense, placed, leaves)
     roots = components(first)
     # members of a component found so far lie in leaves of their own, which meet only others; single nodes share leaves
     by_root = nodes.join(roots, "node", "left").select(
         "node", F.when(F.col("root").isNull(), F.col("home")).otherwise(F.xxhash64("home", "root")).alias("home"),
         F.coalesce("root", "node").alias("root"))
     placed, leaves = leaf_tables(by_root, sets)
-    second = leaf_links(meeting_leaves(shared, placed, leaves, False, percent), leaves, percent)
-    return first.unionByName(written(second, "links"))
+    second = written(leaf_links(meeting_leaves(shared, placed, leaves, False, percent), leaves, percent), "links")
+    dropped(shared, sizes, nodes, sets, placed, leaves)
+    return first.unionByName(second)
