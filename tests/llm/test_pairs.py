@@ -11,7 +11,7 @@ from llm_data import EDGES, frame, prose, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from venuelens.llm import compact_windows, hnsw, jaccard, mixing
+from venuelens.llm import common, compact_windows, hnsw, jaccard, mixing
 from venuelens.llm.components import components
 from venuelens.llm.shingles import lowered_words
 from venuelens.session import shared_dir
@@ -526,3 +526,40 @@ def test_slots_follow_the_van_der_corput_points(spark):
     for r in rows:
         mine = own.get((r.place, r.start), set()) if r.size else set()
         assert (r.first_slot, r.n_slots) == (min(mine, default=None), len(mine))
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    def files() -> int:
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    kept = spark.conf.get(common.FREE_SHUFFLES)
+    frames = [spark.range(1000).repartition(3 + k, "id").groupBy((F.col("id") % 7).alias("k")).count() for k in range(3)]
+    before = files()
+    out = [common.written(f, "step") for f in frames]
+    assert files() <= before and [o.count() for o in out] == [7, 7, 7]
+    assert spark.conf.get(common.FREE_SHUFFLES) == kept
+
+
+def test_passages_store_no_texts_and_free_what_was_crowded(spark, copies, monkeypatch):
+    stored = {}
+
+    def kept(df, name, written=compact_windows.written):
+        stored[name] = written(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(compact_windows, "written", kept)
+    found = compact_windows.repeated_passages(frame(spark, copies)).collect()
+    assert found and set(stored) == {"crowded-passages", "pairs", "involved"}
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored["crowded-passages"].stored_at)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_anchors_keep_their_fields_as_numbers(spark):
+    rows = [(1, prose(1, 90), "s"), (2, prose(2, 700) + " " + prose(1, 90) + " " + prose(3, 30), "s")]
+    pairs = compact_windows.candidates(frame(spark, rows).select("doc_id", "text"), 46, 4, 2).collect()
+    assert [(r.doc_id, r.other_id) for r in pairs] == [(2, 1)]
+    anchors = pairs[0].anchors
+    assert {a.k for a in anchors} == {-1, 0, 1, 2, 3}
+    for a in anchors:
+        assert a.center - a.other_center == 700 and 0 <= a.before <= 63 and 0 <= a.after <= 63
+        assert a.k < 0 or a.before + a.after + 1 >= 46
