@@ -563,3 +563,36 @@ def test_anchors_keep_their_fields_as_numbers(spark):
     for a in anchors:
         assert a.center - a.other_center == 700 and 0 <= a.before <= 63 and 0 <= a.after <= 63
         assert a.k < 0 or a.before + a.after + 1 >= 46
+
+
+def test_best_part_and_equal_runs_hold_to_their_definition():
+    rng = np.random.default_rng(5)
+    sizes = []
+    argmax, kept = np.argmax, []
+
+    def size_of(table, *rest):
+        kept.append(table.size)
+        return argmax(table, *rest)
+
+    for k in range(200):
+        a = rng.integers(0, 1 << 60, 260, dtype=np.uint64)
+        b = np.concatenate([rng.integers(0, 1 << 60, 30, dtype=np.uint64), a])
+        b[30 + rng.choice(260, 3 * (k % 9), replace=False)] += np.uint64(1)
+        x = next(i for i in range(60 + k % 100, 260) if b[i + 30] == a[i])
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(compact_windows.np, "argmax", size_of)
+            got = compact_windows.best_part(a, b, x, x + 30, 46, 80)
+        p = np.flatnonzero(a[max(0, x - 150):x + 150] == b[30:][max(0, x - 150):x + 150]) + max(0, x - 150)
+        sizes.append(len(p) ** 2)
+        fits = [(j - i + 1, -i, -j) for i in range(len(p)) for j in range(i, len(p)) if p[i] <= x <= p[j] and p[j] - p[i] + 1 >= 46
+                and 100 * (j - i + 1) >= 80 * (2 * (p[j] - p[i] + 1) - (j - i + 1))]
+        n, i, j = max(fits) if fits else (0, 0, 0)
+        assert got == ((p[-i], p[-j], p[-i] + 30, p[-j] + 30) if fits else None)
+        anchors = {"k": np.array([-1]), "center": np.array([x]), "other_center": np.array([x + 30])}
+        same = np.flatnonzero(np.diff(np.concatenate([[0], a == b[30:], [0]])))
+        want = [(s, s + 30, e - s) for s, e in zip(same[::2].tolist(), same[1::2].tolist()) if e - s >= 46 and e > x - 46]
+        assert set(compact_windows.equal_runs(a, b, anchors, 46)) >= {w for w in want if w[0] <= x < w[0] + w[2]}
+        one, two = a[:80] % np.uint64(60), b[:90] % np.uint64(60)
+        assert compact_windows.jaccard(one, two) == (len(set(one.tolist()) & set(two.tolist())), len(set(one.tolist()) | set(two.tolist())))
+    # only passages around the place are tabled
+    assert sum(kept) < 0.5 * sum(sizes)
