@@ -253,3 +253,19 @@ def test_conversations_read_back(spark):
     r = got[3]
     assert "".join(chat.unescape(r.formatted[m.start:m.end]) for m in r.loss_mask) == loss and r.formatted_chars == len(r.formatted)
     assert chat.format_conversations(c.filter(F.lit(False))).collect() == []
+
+
+def test_line_ends_and_marks_are_encoded_apart_from_words(monkeypatch):
+    e = packing.ChunkEncoder(public_tokenizers.path(packing.MODEL))
+    whole, asked = e.whole, []
+    monkeypatch.setattr(e, "whole", lambda text: asked.append(text) or whole(text))
+    e.encode("Was\nWas, the\nthe.\nÉté")
+    assert "\nWas," not in asked and set(asked) <= {"\n", ",", "."}
+    monkeypatch.setattr(packing, "CACHED_CHUNKS", 8)
+    small = packing.ChunkEncoder(public_tokenizers.path(packing.MODEL))
+    rng = random.Random(7)
+    parts = ["a", "Be", " word", "é", "ɏ", " ", "\n", "\n\n", "\t", "\r", ".", ",", "!?", "'s", "1", "ß", "ǅ", "日", "\x1c", "<s>", "_", "x" * 50]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert e.encode(text) == small.encode(text) == whole(text)
+        assert len(small.known) <= 8 and len(small.known.old) <= 8

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from venuelens.llm.common import Memo, map_rows, narrow, written
+from venuelens.llm.common import map_rows, narrow, written
 
 MODEL = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -31,8 +31,9 @@ LONGEST_CACHED = 40
 
 #: White space goes with what follows it; no pre-token of the model spans from other characters to white space.
 CHUNK = re.compile(r"\s*\S+|\s+")
-#: A chunk of letters, a pre-token, and of marks, another one.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+#: A chunk of letters, a pre-token; the marks behind it are another one.
+PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+MARKS = ".,;:!?"
 #: Characters that Python counts as white space and the model's pattern does not.
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -46,15 +47,37 @@ def byte_symbols() -> dict[int, str]:
     return dict(zip(shown, map(chr, shown))) | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Chunks(dict):
+    """Ids of chunks as bytes. What is missing is encoded, so that known chunks cost no Python call; two generations bound the size."""
+
+    def __init__(self, encode: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.encode, self.size, self.old = encode, size, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+            if len(chunk) > LONGEST_CACHED:
+                return ids
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian 32-bit numbers; chunks are encoded once and kept in a bounded cache."""
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(model)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.symbols = byte_symbols()
-        self.known = Memo(CACHED_CHUNKS)
+        self.space = self.symbols[32]
+        self.known = Chunks(self.chunk, CACHED_CHUNKS)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -62,27 +85,26 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if OTHER_SPACE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        chunks = CHUNK.findall(text)
-        found = list(map(self.known.new.get, chunks))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.chunk(chunks[i])
-        return b"".join(found)
+        return b"".join(map(self.known.__getitem__, CHUNK.findall(text)))
+
+    def word(self, symbols: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        ids = self.known.get(chunk)
-        if ids is None:
-            plain = PLAIN.fullmatch(chunk)
-            if plain:
-                symbols = plain[1].encode().decode("latin-1").translate(self.symbols)
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
-                ids += self.chunk(plain[2]) if plain[2] else b""
-            else:
-                ids = self.whole(chunk)
-            if len(chunk) <= LONGEST_CACHED:
-                self.known.put(chunk, ids)
-        return ids
+        """Ids of a chunk: marks behind a word, and a line's end before it, are pre-tokens of their own."""
+        word = chunk.rstrip(MARKS)
+        if word and word != chunk and PLAIN.fullmatch(word):
+            return self.known[word] + self.known[chunk[len(word):]]
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self.word(chunk)
+            if chunk[0] == " " and chunk[1:].isalpha():
+                return self.word(self.space + chunk[1:])
+        if PLAIN.fullmatch(chunk):
+            return self.word(chunk.encode().decode("latin-1").translate(self.symbols))
+        if chunk[0] == "\n" and chunk[1:2] != " " and PLAIN.fullmatch(word[1:]):
+            return self.known["\n"] + self.known[chunk[1:]]
+        return self.whole(chunk)
 
 
 def piece_lengths(capacity: int = CAPACITY, widest: int = WIDEST) -> list[int]:
