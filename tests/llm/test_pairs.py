@@ -102,6 +102,37 @@ def test_the_join_keeps_no_intermediate_tables_on_disk(spark, copies):
     assert left and not left & {"prefixes", "several", "shared", "good", "left", "sets", "homes", "dense", "placed", "leaves"}
 
 
+def test_a_family_of_near_copies_fills_few_leaves_and_meets_once(spark, monkeypatch):
+    # changes that two or three copies have in common, so that the smallest shared shingle differs from copy to copy
+    rng, rows = random.Random(5), []
+    for i in range(150):
+        own = prose(7, 300).split(" ")
+        for _ in range(6):
+            own[rng.randrange(300)] = f"new{rng.randrange(3)}"
+        rows.append((i, " ".join(own), "a"))
+    stored = {}
+
+    def kept(df, name, written=jaccard.written):
+        stored[name] = written(df, name)
+        if name == "key-leaf":
+            stored["most"] = max(r["count"] for r in stored[name].groupBy("key").count().collect())
+        if name == "leaves":
+            stored["n_leaves"] = stored[name].count()
+        return stored[name]
+
+    monkeypatch.setattr(jaccard, "written", kept)
+    sets = {i: shingles(t) for i, t, _ in rows}
+    want = reachable(sets, [(i, j) for i, j in itertools.combinations(sets, 2) if similar(sets[i], sets[j])])
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_sets(docs).collect()}
+    assert got == want
+    # a leaf a shingle for each 64 nodes of each of a few homes; by the smallest shingles a leaf for nearly every copy
+    assert stored["n_leaves"] <= 20 and stored["most"] <= 20
+    # large tables are joined and not broadcast, with the same result
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_sets(docs).collect()} == want
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(4)
     ranks = rng.integers(0, 3, 1 << jaccard.SKETCH_BITS).astype(np.uint8)

@@ -7,8 +7,9 @@ leaf bound all its points at once. What a bound cannot rule out is verified on t
 Which leaves can meet at all follows from prefixes: of two sets with a Jaccard of at least 0.8, ordered alike, the
 first fifths share a shingle, and prefixes longer by some shingles share that many. So a document that shares few of its
 prefix with any other, and leaves that share few with each other, are ruled out. The order puts frequent shingles
-last, by a sketch of fixed size, so that passages many documents share bring no leaves together. Documents of one
-set are one node throughout.
+last, by a sketch of fixed size, so that passages many documents share bring no leaves together. Nodes share leaves by their
+most frequent prefix shingle, so that a family of near copies fills few leaves whatever its members have changed. Documents of
+one set are one node throughout.
 """
 
 from __future__ import annotations
@@ -33,12 +34,17 @@ LEAF_NODES = 64
 #: Prefixes are longer than needed by this part of the set, three at least, and partners share as many shingles.
 EXTRA_PERCENT = 5
 EXTRA_LEAST = 3
-#: Up to so many document ids (8 bytes each) are broadcast to fetch texts; beyond, Spark joins them.
+#: Up to so many documents or nodes (at most 32 bytes each) are broadcast to fetch texts, sets and shingles; beyond, Spark joins them.
 BROADCAST_IDS = 1_000_000
 PRUNINGS = 2
 LEAF_SHINGLES = 50_000
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Stored narrow rows, broadcast if they are few, so that what is joined with them is not shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(lowered_words(text)))
 
@@ -111,18 +117,18 @@ def set_row(node: int, own: np.ndarray) -> tuple:
 
 
 def leaf_tables(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, leaf) and the leaves of nodes that have a ``home``: leaves hold a bounded number of nodes and shingles.
+    """(node, leaf, root, family) and the leaves of nodes that have a ``home``: leaves hold a bounded number of nodes and shingles.
 
-    A crowded home is dealt out by a hash over as many leaves as it needs.
+    A crowded home is dealt out by a hash over as many leaves as it needs. All leaves of a home have its ``family``.
     """
     known = nodes.join(sets.select("node", "n").distinct(), "node")
     load = written(known.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / LEAF_NODES), F.ceil(F.sum("n") / LEAF_SHINGLES))
                                              .alias("_m")), "homes")
     placed = written(known.join(load, "home").select(
-        "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_m"))).alias("leaf"), "root"), "placed")
-    members = placed.join(sets, "node").groupBy("leaf").agg(
+        "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("_m"))).alias("leaf"), "root", "family"), "placed")
+    members = sets.join(few(placed), "node").groupBy("leaf").agg(
         F.collect_set(F.struct("node", "root", "hashes")).alias("members"), F.min("n").alias("low_n"), F.max("n").alias("high_n"),
-        F.min("root").alias("low_root"), F.max("root").alias("high_root"),
+        F.min("family").alias("family"), F.min("root").alias("low_root"), F.max("root").alias("high_root"),
         F.array(*[F.max(F.col("counts")[g]) for g in range(GROUPS)]).alias("high"))
     leaves = written(members, "leaves")
     dropped(load)
@@ -130,29 +136,38 @@ def leaf_tables(nodes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def meeting_leaves(shared: DataFrame, placed: DataFrame, leaves: DataFrame, star: bool, percent: int) -> DataFrame:
-    """Pairs of leaves that share a prefix shingle and pass the bounds; with ``star`` only the first leaf of each shingle."""
-    info = leaves.select("leaf", "low_n", "high_n", "low_root", "high_root", "high")
-    keyed = written(shared.join(placed.select("node", "leaf"), "node").select("key", "leaf").distinct(), "key-leaf")
+    """Pairs of leaves that share prefix shingles or a family and pass the bounds; with ``star`` only the first leaf of each shingle.
+
+    The leaves of a family share many shingles, so they meet once by their family and not once by every shingle.
+    """
+    keyed = written(shared.join(few(placed.select("node", "leaf", "family")), "node").select("key", "leaf", "family").distinct(), "key-leaf")
     if star:
         first = written(keyed.groupBy("key").agg(F.min("leaf").alias("x")), "first")
-        pairs = keyed.join(first, "key").select("x", F.col("leaf").alias("y"))
+        pairs = keyed.join(first, "key").select("x", F.col("leaf").alias("y")).filter("x <> y")
     else:
-        pairs = (keyed.select("key", F.col("leaf").alias("x")).join(keyed.select("key", F.col("leaf").alias("y")), "key")
-                 .filter(F.col("x") <= F.col("y")).select("x", "y"))
-    # every pair with the number of shingles that it shares; a leaf meets itself
+        pairs = (keyed.select("key", F.col("leaf").alias("x"), F.col("family").alias("x_family"))
+                 .join(keyed.select("key", F.col("leaf").alias("y"), F.col("family").alias("y_family")), "key")
+                 .filter((F.col("x") < F.col("y")) & (F.col("x_family") != F.col("y_family"))).select("x", "y"))
+    # every pair with the number of shingles that it shares
     pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("_s"))
-    if star:
-        pairs = pairs.filter("x <> y").unionByName(leaves.select(F.col("leaf").alias("x"), F.col("leaf").alias("y"), F.lit(None).alias("_s")))
-    for side in "xy":
-        pairs = pairs.join(info.select(F.col("leaf").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in info.columns[1:]]), side)
-    most = F.aggregate(F.zip_with("x_high", "y_high", lambda a, b: F.least(a, b).cast("long")), F.lit(0).cast("long"),
-                       lambda s, v: s + v)
-    need = F.lit(percent) * (F.col("x_low_n") + F.col("y_low_n"))
+    narrow_info = ["leaf", "family", "low_n", "high_n", "low_root", "high_root"]
+    sides = [leaves.select(*[F.col(c).alias(side if c == "leaf" else f"{side}_{c}") for c in narrow_info]) for side in "xy"]
     sizes = (100 * F.col("x_high_n") >= percent * F.col("y_low_n")) & (100 * F.col("y_high_n") >= percent * F.col("x_low_n"))
     apart = (F.col("x_low_root") != F.col("x_high_root")) | (F.col("y_low_root") != F.col("y_high_root")) \
         | (F.col("x_low_root") != F.col("y_low_root"))
     enough = F.lit(True) if star else F.col("_s") >= F.greatest(least_shared("x_low_n", percent), least_shared("y_low_n", percent))
-    return pairs.filter(enough & sizes & apart & ((100 + percent) * most >= need)).select("x", "y")
+    across = pairs.join(sides[0], "x").join(sides[1], "y").filter(enough & sizes & apart)
+    # a leaf meets itself, and without ``star`` the others of its family
+    of_family = (F.col("x") == F.col("y")) if star else (F.col("x_family") == F.col("y_family")) & (F.col("x") <= F.col("y"))
+    inside = sides[0].join(sides[1], of_family & sizes & apart)
+    met = across.select("x", "y", "x_low_n", "y_low_n").unionByName(inside.select("x", "y", "x_low_n", "y_low_n"))
+    # the wide bounds last, for the pairs that are left
+    for side in "xy":
+        met = met.join(leaves.select(F.col("leaf").alias(side), F.col("high").alias(f"{side}_high")), side)
+    most = F.aggregate(F.zip_with("x_high", "y_high", lambda a, b: F.least(a, b).cast("long")), F.lit(0).cast("long"),
+                       lambda s, v: s + v)
+    need = F.lit(percent) * (F.col("x_low_n") + F.col("y_low_n"))
+    return met.filter((100 + percent) * most >= need).select("x", "y")
 
 
 class Leaf:
@@ -288,19 +303,19 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
     for _ in range(PRUNINGS):
         good = written(shared.groupBy("node").agg(F.count("*").alias("_s")).join(sizes, "node")
                        .filter(F.col("_s") >= least_shared("n_shingles", percent)).select("node"), "good")
-        left = written(shared.join(good, "node", "left_semi"), "left")
+        left = written(shared.join(few(good), "node", "left_semi"), "left")
         dropped(shared, good)
-        several = written(left.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).filter("_a < _b").select("key"),
-                          "several")
-        shared = written(left.join(several, "key", "left_semi"), "shared")
+        several = written(left.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count("*").alias("often"))
+                          .filter("_a < _b").select("key", "often"), "several")
+        shared = written(left.select("key", "node").join(several, "key"), "shared")
         dropped(left, several)
-    nodes = written(shared.groupBy("node").agg(F.min("key").alias("home")), "nodes")
+    # the home is the shingle of the most nodes: a family of near copies fills leaves, whichever shingles its members have changed
+    nodes = written(shared.groupBy("node").agg(F.max(F.struct("often", "key")).alias("top")).select("node", F.col("top.key").alias("home")),
+                    "nodes")
+    stored, shared = shared, shared.select("key", "node")
     # one document per node gives its set; the ids are broadcast if they are few enough
-    wanted = written(own.join(nodes.select("node"), "node", "left_semi").filter("doc_id IS NOT NULL").groupBy("node")
-                     .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted")
-
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = few(written(own.join(nodes.select("node"), "node", "left_semi").filter("doc_id IS NOT NULL").groupBy("node")
+                     .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "wanted"))
 
     def sets_of(rows):
         for _, text in rows:
@@ -309,22 +324,22 @@ def set_links(plain: DataFrame, own: DataFrame, ranks: np.ndarray, percent: int)
                 yield set_row(node_of(one), one)
 
     sets = map_rows(plain.join(wanted, "doc_id", "left_semi"), sets_of, "node long, n int, hashes binary, counts array<int>")
-    # repeated rows give a set twice, which the leaves fold
-    sets = written(sets.join(nodes.select("node"), "node", "left_semi"), "sets")
+    # repeated rows give a set twice, and rows that repeat an id other sets: the leaves fold the ones and join none of the others
+    sets = written(sets, "sets")
     # large families first: of their leaves each meets itself and the first of a shingle, so that most members are linked
     crowded = shared.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > LEAF_NODES).select("key")
     dense = written(shared.join(crowded, "key", "left_semi"), "dense")
     inside = dense.select("node").distinct()
-    alone = nodes.join(inside, "node", "left_semi").withColumn("root", F.col("node"))
+    alone = nodes.join(inside, "node", "left_semi").withColumn("root", F.col("node")).withColumn("family", F.col("home"))
     placed, leaves = leaf_tables(alone, sets)
     first = written(leaf_links(meeting_leaves(dense, placed, leaves, True, percent), leaves, percent), "links")
     dropped(dense, placed, leaves)
     roots = components(first)
-    # members of a component found so far lie in leaves of their own, which meet only others; single nodes share leaves
+    # members of a component found so far are a family with leaves of its own, which meet only others; single nodes share leaves
     by_root = nodes.join(roots, "node", "left").select(
         "node", F.when(F.col("root").isNull(), F.col("home")).otherwise(F.xxhash64("home", "root")).alias("home"),
-        F.coalesce("root", "node").alias("root"))
+        F.coalesce("root", "node").alias("root"), F.coalesce("root", "home").alias("family"))
     placed, leaves = leaf_tables(by_root, sets)
     second = written(leaf_links(meeting_leaves(shared, placed, leaves, False, percent), leaves, percent), "links")
-    dropped(shared, sizes, nodes, sets, placed, leaves)
+    dropped(stored, sizes, nodes, sets, placed, leaves)
     return first.unionByName(second)
