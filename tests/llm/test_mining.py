@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from llm_data import EDGES, LONG, frame, prose
 
-from venuelens.llm import collocations, disclosure, periodic_runs
+from venuelens.llm import collocations, common, disclosure, periodic_runs
 
 
 # ---- periodic runs ------------------------------------------------------------------------
@@ -241,6 +241,33 @@ def test_collocations_on_edges(spark, edges, nothing):
     assert got and got[0][0] == "en"
 
 
+def test_blocks_of_words_are_stored_shuffled_and_sent_few_at_once(spark, monkeypatch):
+    import pyarrow.dataset as ds
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "transform(sequence(0, 999), i -> xxhash64(id, i)) AS own")
+    stored = common.written(rows, "wide", {**common.WIDE_ROWS, "parquet.block.size": 1 << 14})
+    files = list(ds.dataset(stored.stored_at.removeprefix("file://")).get_fragments())
+    assert sum(f.metadata.num_row_groups for f in files) >= 20 and sorted(stored.collect()) == sorted(rows.collect())
+    seen = {}
+
+    def kept(df, name, options=None, settings=None):
+        seen.setdefault(name, []).append((df.sparkSession.conf.get(common.PARTITIONS), options, settings, df._jdf.queryExecution().optimizedPlan().toString()))
+        return common.written(df, name, options, settings)
+
+    monkeypatch.setattr(collocations, "written", kept)
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 20)
+    before = {k: spark.conf.get(k, None) for k in (common.PARTITIONS, common.ROWS_SENT)}
+    docs = spark.createDataFrame([("the red fox " * 3 + ".") for _ in range(300)], "string").toDF("text").selectExpr("text", "'en' AS lang")
+    assert collocations.collocations(docs).count() > 0
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    assert all(options for name in seen if name.startswith("occurrences") for _, options, _, _ in seen[name])
+    blocks = 300 // 2
+    assert int(seen["words"][0][2][common.PARTITIONS]) >= blocks // 2 and seen["mined"][0][2][common.ROWS_SENT] == "1"
+    # the words of a block are not shuffled with its occurrences
+    joined = seen["occurrences-1"][1][3]
+    assert "FlatMapCoGroupsInArrow" in joined and "words" not in joined.split("Relation")[0].split("FlatMapCoGroupsInArrow")[1].split("Project")[0]
+
+
 def test_scores_beyond_64_bits(spark):
     big = 10 ** 13
     known = spark.createDataFrame([([1], 3 * big), ([2], 2 * big + 1), ([1, 2], big)], "ids array<long>, a long")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from venuelens.llm.common import narrow, schema_of, written
+from venuelens.llm.common import ROWS_SENT, WIDE_ROWS, at_least, narrow, schema_of, written
 
 MIN_COUNT = 10
 TOP = 2000
@@ -89,7 +89,7 @@ def occurrences(docs: DataFrame, text: str, lang: str) -> DataFrame:
         yield from map(block, list(parts))
 
     named = narrow(docs, lang=lang, text=text).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return written(named.mapInArrow(run, WORDS), "occurrences-1")
+    return written(named.mapInArrow(run, WORDS), "occurrences-1", WIDE_ROWS)
 
 
 def steps_of(place: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def keep_phrases(left: pa.Table, right: pa.Table, k: int) -> dict[str, np.ndarra
     return longer(left, k, wanted) | {"steps": steps_of(place[there]), "member": member[there].astype(np.int32)}
 
 
-def semi_join(relation: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
+def semi_join(relation: DataFrame, frequent: DataFrame, k: int, settings: dict[str, str] | None = None) -> DataFrame:
     """Occurrences of frequent phrases of k words, stored: ``relation`` is of length k - 1, or the raw one for words."""
     target = to_arrow_schema(schema_of(relation_schema(k)))
 
@@ -178,7 +178,8 @@ def semi_join(relation: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
         made["block"] = left.column("block")[0].as_py()
         return pa.Table.from_batches([record([made[f.name] for f in target], target)])
 
-    return written(relation.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(run, relation_schema(k)), f"occurrences-{k}")
+    return written(relation.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(run, relation_schema(k)), f"occurrences-{k}",
+                   WIDE_ROWS, settings)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 3, min_count: int = MIN_COUNT,
@@ -194,26 +195,30 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     are taken whole; an empty table gives no rows; other columns are not read.
     """
     raw = occurrences(docs, text, lang)
+    # two blocks a partition, of which Spark puts small ones together: what a task holds does not grow with the corpus; a block is sent alone
+    many = at_least(docs.sparkSession, raw.count() // 2)
+    alone = {**many, ROWS_SENT: "1"}
     listed = raw.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select(
         "block", "lang", F.col("pos").cast("long").alias("g"), F.col("col.words").alias("word"), F.col("col.counts").alias("n"))
     same = W.partitionBy("lang", "word")
     number = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("g"))
     words = written(listed.withColumn("f", F.sum("n").over(same)).withColumn("i1", F.min(number).over(same))
-                    .filter(F.col("f") >= min_count).select("block", "g", "i1", "f", "lang", "word"), "words")
-    relation, mined = semi_join(raw, words.select("block", "g", "i1"), 1), None
+                    .filter(F.col("f") >= min_count).select("block", "g", "i1", "f", "lang", "word"), "words", settings=many)
+    # the words stand in ``words`` by now; of the counts only their number is wanted
+    relation, mined = semi_join(raw.select("block", "steps", "member", "counts"), words.select("block", "g", "i1"), 1, many), None
     for k in range(2, longest + 1):
         phrase = [f"i{j}" for j in range(1, k + 1)]
         found = candidates(relation, k - 1)
         if k < longest:
             often = written(found.withColumn("a", F.sum("n").over(W.partitionBy(*phrase))).filter(F.col("a") >= min_count)
-                            .select("block", "a", *phrase), "phrases")
-            relation = semi_join(relation, often.drop("a"), k)
+                            .select("block", "a", *phrase), "phrases", settings=alone)
+            relation = semi_join(relation, often.drop("a"), k, many)
             counted = often.groupBy(*phrase).agg(F.max("a").alias("a"))
         else:
             counted = found.groupBy(*phrase).agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
         part = counted.select(F.array(*phrase).alias("ids"), "a")
         mined = part if mined is None else mined.unionByName(part)
-    mined = written(mined, "mined")
+    mined = written(mined, "mined", settings=alone)
     heads = words.filter(F.col("i1") == number).select("i1", "lang", "word", "f")
     known = mined.unionByName(heads.select(F.array("i1").alias("ids"), F.col("f").alias("a")))
     scored = best_cuts(uncovered(mined, longest, cover_percent), known)
