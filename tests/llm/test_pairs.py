@@ -324,6 +324,29 @@ def test_a_passage_around_a_line_of_many_documents_is_found(spark):
     assert [(r.doc_id, r.other_id, r.start, r.end, r.other_start) for r in rows] == [(6, 3, 60, 110, 60)]
 
 
+def test_a_passage_around_a_line_that_one_document_repeats_is_found(spark):
+    some = lambda rng, n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    rows = []
+    for k in range(150):
+        rng = random.Random(k)
+        line, sides = some(rng, 40), [(some(rng, 5), some(rng, 5)) for _ in range(5)]
+        around = [[*a, *line, *b] for a, b in sides]
+        rows.append((2 * k, " ".join(w for p in around for w in [*p, *some(rng, 60)]), "s"))
+        rows.append((2 * k + 1, " ".join([*some(rng, 60), *around[2], *some(rng, 60)]), "s"))
+    found = compact_windows.repeated_passages(frame(spark, rows).repartition(3)).collect()
+    assert len(repeated_words(rows)) == 150 and uncovered(rows, found) == {}
+
+
+def test_three_documents_all_meet_though_the_first_one_has_the_surroundings(spark):
+    rows = []
+    for k in range(150):
+        own = prose(40_000 + k, 105).replace(".", "").split()
+        rows += [(3 * k, " ".join(own[20:75]), "s"), (3 * k + 1, " ".join(own[30:81]), "s"), (3 * k + 2, " ".join(own), "s")]
+    pairs = compact_windows.candidates(frame(spark, rows).select("doc_id", "text"), 46, 4, 2).collect()
+    met = {(r.doc_id, r.other_id): {a.k for a in r.anchors} for r in pairs}
+    assert all(-1 in met.get((3 * k + 2, 3 * k + 1), ()) for k in range(150))
+
+
 @pytest.mark.parametrize("hot", [2, 256])
 def test_near_passages_of_a_family_are_found(spark, monkeypatch, hot):
     monkeypatch.setattr(compact_windows, "HOT_WINDOWS", hot)
